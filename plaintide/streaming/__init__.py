@@ -1,0 +1,5 @@
+"""Empty on purpose: the work this library covers has no streaming operator.
+
+The operators that only add columns or filter rows (priority factors, label
+rules, answer parsing, page text) take a streaming DataFrame as it is.
+"""
