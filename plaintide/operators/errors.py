@@ -93,14 +93,14 @@ def error_suggestions(
 
     Both shares are strict lower bounds on the part of all errors.
     """
-    total = errors.agg(F.count(F.lit(1))).scalar()
+    by_length = errors_by_length(errors)
+    total = by_length.agg(F.sum("n")).scalar()
     worst = top_pairs(errors, 1).select(
         F.lit("confused_pair").alias("kind"),
         F.concat_ws(" -> ", *PAIR).alias("subject"), "n",
     )
     short = (
-        errors_by_length(errors)
-        .filter((F.col("bucket") == "very_short") & (F.col("n") > total * short_share))
+        by_length.filter((F.col("bucket") == "very_short") & (F.col("n") > total * short_share))
         .select(F.lit("short_text").alias("kind"), F.col("bucket").alias("subject"), "n")
     )
     label = (

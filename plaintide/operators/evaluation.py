@@ -6,7 +6,7 @@ aggregated once to at most labels x labels rows, and the rest works on those.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import display_name, preview
 
@@ -160,10 +160,11 @@ def strategy_accuracy(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def strategy_summary(accuracy: DataFrame, baseline: str = "zero_shot") -> DataFrame:
     """Improvement of each strategy over ``baseline`` in points, and the best one."""
-    base = accuracy.filter(F.col("strategy") == baseline).agg(F.max("accuracy")).scalar()
-    best = accuracy.agg(
-        F.max_by("strategy", F.struct("accuracy", -F.col("strategy_order")))
-    ).scalar()
+    # One row per strategy: a window over all of them is small, and the
+    # predictions behind them are evaluated once.
+    everything = Window.partitionBy()
+    base = F.max(F.when(F.col("strategy") == baseline, F.col("accuracy"))).over(everything)
+    best = F.max_by("strategy", F.struct("accuracy", -F.col("strategy_order"))).over(everything)
     return accuracy.select(
         "strategy",
         "accuracy",
@@ -178,10 +179,12 @@ def stage_report(stages: DataFrame, baseline: str = "baseline", skip: str = "tem
     Stages with ``skip`` in their name are left out; without a baseline the
     improvement is 0, and the baseline itself has none.
     """
-    base = stages.filter(F.col("stage") == baseline).agg(F.max("accuracy")).scalar()
+    # One row per stage, see above.
+    base = F.max(F.when(F.col("stage") == baseline, F.col("accuracy"))).over(Window.partitionBy())
     gain = F.coalesce(F.bround((F.col("accuracy") - base) * 100, 1), F.lit(0.0))
-    return stages.filter(~F.col("stage").contains(skip)).select(
-        display_name(F.col("stage")).alias("stage"),
+    report = stages.select(
+        "stage",
         F.bround(F.col("accuracy") * 100, 2).alias("accuracy_pct"),
         F.when(F.col("stage") != baseline, gain).alias("improvement"),
     )
+    return report.filter(~F.col("stage").contains(skip)).withColumn("stage", display_name(F.col("stage")))

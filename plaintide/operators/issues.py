@@ -45,12 +45,21 @@ def example_lists(df: DataFrame, k: int, name: str, order: str, text: str = "bri
     )
 
 
-def _top_counts(df: DataFrame, n: int, order: str) -> DataFrame:
-    total = df.agg(F.count(F.lit(1))).scalar()
+def _items(counts: DataFrame):
+    """The sum of ``n`` as a scalar.
+
+    Taking the first position with it keeps the plan below equal to that of
+    ``counts`` in use, so both share one scan and one shuffle.
+    """
+    sums = counts.agg(F.struct(F.sum("n").alias("items"), F.min("first_position").alias("first")))
+    return sums.scalar()["items"]
+
+
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest of ``category, n, first_position`` with their percent of all."""
     return (
-        category_counts(df, order)
-        .orderBy(F.desc("n"), "first_position").limit(n)
-        .withColumn("percentage", percent(F.col("n"), total))
+        counts.orderBy(F.desc("n"), "first_position").limit(n)
+        .withColumn("percentage", percent(F.col("n"), _items(counts)))
     )
 
 
@@ -60,10 +69,17 @@ def _of_categories(df: DataFrame, top: DataFrame, category: str = "category") ->
 
 
 def top_issues(
-    df: DataFrame, n: int = 3, examples: int = 3, order: str = "review_number"
+    df: DataFrame,
+    n: int = 3,
+    examples: int = 3,
+    order: str = "review_number",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``n`` most frequent categories: count, percent of all items, examples."""
-    top = _top_counts(df, n, order)
+    """The ``n`` most frequent categories: count, percent of all items, examples.
+
+    ``counts`` spares the count where the caller has it already.
+    """
+    top = most_frequent(category_counts(df, order) if counts is None else counts, n)
     lists = example_lists(_of_categories(df, top), examples, "examples", order)
     return (
         top.join(lists, "category", "left").orderBy(F.desc("n"), "first_position")
@@ -84,10 +100,13 @@ def period_compare(df: DataFrame, order: str = "review_number") -> DataFrame:
     )
 
 
-def surging(
-    df: DataFrame, min_rate: float = 0.2, min_new: int = 5, order: str = "review_number"
-) -> DataFrame:
-    """All categories that grew by more than ``min_rate``.
+def recent_counts(compared: DataFrame) -> DataFrame:
+    """The recent side of a comparison as ``category, n, first_position``."""
+    return compared.select("category", F.col("recent_count").alias("n"), "first_position")
+
+
+def surging(compared: DataFrame, min_rate: float = 0.2, min_new: int = 5) -> DataFrame:
+    """All compared categories that grew by more than ``min_rate``.
 
     A category without comparison counts if it has ``min_new`` items; its rate
     is infinite. The threshold is applied to the unrounded rate.
@@ -98,8 +117,7 @@ def surging(
     )
     shown = F.when(F.col("is_new"), F.col("_rate")).otherwise(F.bround(F.col("_rate") * 100, 1))
     return (
-        period_compare(df, order)
-        .withColumn("is_new", F.col("comparison_count") == 0)
+        compared.withColumn("is_new", F.col("comparison_count") == 0)
         .filter(~F.col("is_new") | (F.col("recent_count") >= min_new))
         .withColumn("_rate", rate)
         .filter(F.col("_rate") > min_rate)
@@ -109,11 +127,17 @@ def surging(
 
 
 def emerging_issues(
-    df: DataFrame, n: int = 3, min_rate: float = 0.2, min_new: int = 5, order: str = "review_number"
+    df: DataFrame,
+    n: int = 3,
+    min_rate: float = 0.2,
+    min_new: int = 5,
+    order: str = "review_number",
+    compared: DataFrame | None = None,
 ) -> DataFrame:
     """The ``n`` fastest growing categories, ties by first appearance."""
+    compared = period_compare(df, order) if compared is None else compared
     return (
-        surging(df, min_rate, min_new, order)
+        surging(compared, min_rate, min_new)
         .orderBy(F.desc("increase_rate"), "first_position").limit(n)
         .select("category", "recent_count", "comparison_count", "increase_rate", "is_new")
     )
@@ -127,11 +151,15 @@ def issue_brief(
     order: str = "review_number",
 ) -> DataFrame:
     """What an action plan is written from: one row per top category of the
-    recent period, with examples, complaint texts and its surge, if any."""
+    recent period, with examples, complaint texts and its surge, if any.
+
+    Counts of both periods come from one aggregation.
+    """
+    compared = period_compare(df, order)
+    top = most_frequent(recent_counts(compared), n)
     recent = df.filter(F.col("period") == "recent")
-    top = _top_counts(recent, n, order)
     texts = example_lists(_of_categories(recent, top), complaints, "complaints", order)
-    surge = emerging_issues(df, order=order).select("category", "increase_rate")
+    surge = emerging_issues(df, compared=compared).select("category", "increase_rate")
     return (
         top.join(texts, "category", "left")
         .join(F.broadcast(surge), "category", "left")
@@ -146,16 +174,9 @@ def chart_top(counts: DataFrame, n: int = 5, other: str = "others") -> DataFrame
 
     ``counts`` has ``category, n, first_position``, one row per category.
     """
-    top = (
-        counts.orderBy(F.desc("n"), "first_position").limit(n)
-        .select("category", "n")
-    )
-    # Left anti against a frame cut by limit: no ranking of the whole list.
-    rest = (
-        counts.join(F.broadcast(top.select("category")), "category", "left_anti")
-        .agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
-        .select(F.lit(other).alias("category"), "n")
-    )
+    top = counts.orderBy(F.desc("n"), "first_position").limit(n)
+    rest = top.agg((_items(counts) - F.sum("n")).alias("n")).filter(F.col("n") > 0)
+    top, rest = top.select("category", "n"), rest.select(F.lit(other).alias("category"), "n")
     return top.unionByName(rest)
 
 

@@ -33,7 +33,7 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def _nearest(q_ids, q, c_ids, c, k: int, skip_self: bool):
-    """Indices (query, example, distance) of the k nearest examples per query.
+    """(query, example, distance, rank) of the k nearest examples per query.
 
     A matrix product finds all examples within rounding error of the k-th
     distance; those few are then measured directly, which makes the order of
@@ -57,27 +57,27 @@ def _nearest(q_ids, q, c_ids, c, k: int, skip_self: bool):
         dist = ((part[at_q] - c[at_c]) ** 2).sum(axis=1)
         order = np.lexsort((c_ids[at_c], dist, at_q))
         at_q, at_c, dist = at_q[order], at_c[order], dist[order]
-        first = np.searchsorted(at_q, at_q, side="left")
-        keep = np.arange(len(at_q)) - first < k
-        out.append((at_q[keep] + start, at_c[keep], dist[keep]))
+        rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q, side="left") + 1
+        keep = rank <= k
+        out.append((at_q[keep] + start, at_c[keep], dist[keep], rank[keep].astype("int32")))
     return [np.concatenate(parts) for parts in zip(*out)]
 
 
+def _slices(batch: pd.DataFrame, rows: int = 256) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(batch), rows):
+        yield batch.iloc[start : start + rows]
+
+
 def _result(q_ids, c_ids, labels, found) -> pd.DataFrame:
-    at_q, at_c, dist = found
+    at_q, at_c, dist, rank = found
     return pd.DataFrame({
         "review_id": q_ids[at_q], "neighbor_id": c_ids[at_c],
-        "category": labels[at_c], "distance": dist,
+        "category": labels[at_c], "distance": dist, "neighbor_rank": rank,
     })
 
 
 def _schema(label_type: str) -> str:
-    return f"review_id bigint, neighbor_id bigint, category {label_type}, distance double"
-
-
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("review_id").orderBy("distance", "neighbor_id"))
-    return pairs.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
+    return f"review_id bigint, neighbor_id bigint, category {label_type}, distance double, neighbor_rank int"
 
 
 def knn_retrieve(
@@ -94,6 +94,7 @@ def knn_retrieve(
     embedding, category``. Returns ``review_id, neighbor_id, category,
     distance, neighbor_rank``. Runs a count of the examples up front.
     """
+    vector_type = dict(queries.dtypes)["embedding"]
     queries = queries.select(F.col("review_id").cast("bigint"), "embedding")
     examples = examples.select(F.col("neighbor_id").cast("bigint"), "embedding", "category")
     size = examples.agg(
@@ -101,13 +102,12 @@ def knn_retrieve(
     ).first()
     label_type = dict(examples.dtypes)["category"]
     if size["n"] == 0:
-        none = queries.sparkSession.createDataFrame([], _schema(label_type))
-        return none.withColumn("neighbor_rank", F.lit(0))
+        return queries.sparkSession.createDataFrame([], _schema(label_type))
     if size["n"] * size["dim"] * 8 <= broadcast_bytes:
-        pairs = _against_all(queries, examples, k, skip_self, label_type)
-    else:
-        pairs = _against_cells(queries, examples, k, skip_self, label_type, size["n"], block_rows)
-    return _ranked(pairs, k)
+        return _against_all(queries, examples, k, skip_self, label_type)
+    return _against_cells(
+        queries, examples, k, skip_self, label_type, size["n"], block_rows, vector_type
+    )
 
 
 def _against_all(queries, examples, k, skip_self, label_type) -> DataFrame:
@@ -128,7 +128,7 @@ def _against_all(queries, examples, k, skip_self, label_type) -> DataFrame:
     return queries.mapInPandas(scan, _schema(label_type))
 
 
-def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows) -> DataFrame:
+def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows, vector_type) -> DataFrame:
     spark = queries.sparkSession
     # A fixed number of vectors, chosen by hash: reproducible and of bounded size.
     pivot_rows = (
@@ -154,7 +154,7 @@ def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows) -
 
     placed = examples.mapInPandas(
         assign,
-        f"neighbor_id bigint, embedding array<float>, category {label_type}, cell int, radius double",
+        f"neighbor_id bigint, embedding {dict(examples.dtypes)['embedding']}, category {label_type}, cell int, radius double",
     )
     # Per cell: size, the range of radii, and the radii of the examples nearest
     # to the pivot. One more of them than k, as a review may meet itself.
@@ -178,9 +178,7 @@ def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows) -
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell_ids, lo, hi, inner_radii = sent_cells.value
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in _slices(whole)):
             far = to_pivots(_matrix(batch["embedding"]))[:, cell_ids]
             # ``need`` examples lie within this distance of the review.
             known = np.concatenate(
@@ -196,8 +194,8 @@ def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows) -
             row, col = np.nonzero(least <= (reach + slack)[:, None])
             yield batch.iloc[row].assign(cell=cell_ids[col].astype("int32"))
 
-    routed = queries.mapInPandas(route, "review_id bigint, embedding array<float>, cell int")
-    visits = {row["cell"]: row["n"] for row in routed.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}
+    routed = queries.mapInPandas(route, f"review_id bigint, embedding {vector_type}, cell int")
+    visits = {row["cell"]: row["n"] for row in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(
         [
             (int(cell), -(-int(rows) // block_rows), max(1, -(-int(visits.get(cell, 0)) // block_rows)))
@@ -226,12 +224,15 @@ def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows) -
         ids, labels = c["neighbor_id"].to_numpy(), c["category"].to_numpy()
         q_ids = q["review_id"].to_numpy()
         if not len(ids) or not len(q_ids):
-            return _result(q_ids[:0], ids[:0], labels[:0], (np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
+            return _result(q_ids[:0], ids[:0], labels[:0], (np.zeros(0, int),) * 4)
         found = _nearest(q_ids, _matrix(q["embedding"]), ids, _matrix(c["embedding"]), k, skip_self)
         return _result(q_ids, ids, labels, found)
 
     keys = ["cell", "c_block", "q_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, _schema(label_type))
+    nearest = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, _schema(label_type))
+    # Each block gave its own k nearest; the k nearest of all are among them.
+    rank = F.row_number().over(Window.partitionBy("review_id").orderBy("distance", "neighbor_id"))
+    return nearest.withColumn("neighbor_rank", rank).filter(F.col("neighbor_rank") <= k)
 
 
 def knn_votes(neighbors: DataFrame, sizes: list[int]) -> DataFrame:

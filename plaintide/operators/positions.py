@@ -97,17 +97,22 @@ def newest_sample(
     group: list[str] | None = None,
     time: str = "created_at",
     key: str = "review_id",
+    rank_name: str | None = None,
 ) -> DataFrame:
-    """The ``size`` newest rows, or of each group.
+    """The ``size`` newest rows, or of each group; ``rank_name`` keeps their rank.
 
     Without groups this is a top-k; with groups every task keeps at most
     ``size`` rows per group before the shuffle, so a hot group stays small.
     """
     order = [F.desc(time), F.col(key)]
     if not group:
-        return df.orderBy(*order).limit(size)
+        sample = df.orderBy(*order).limit(size)
+        # At most ``size`` rows are ranked here.
+        return sample.withColumn(rank_name, F.row_number().over(Window.orderBy(*order))) if rank_name else sample
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
+    name = rank_name or "_rank"
+    sample = df.withColumn(name, rank).filter(F.col(name) <= size)
+    return sample if rank_name else sample.drop(name)
 
 
 def paginate(df: DataFrame, order: list, page: int, page_size: int = 20) -> DataFrame:

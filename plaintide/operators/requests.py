@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .positions import ROWS_PER_BLOCK, chunk_requests, newest_sample
 
@@ -34,11 +34,10 @@ def build_category_requests(
     At scale ``group`` names a product and a period; a group's request holds at
     most ``size * chars`` characters whatever the size of the group.
     """
-    sample = newest_sample(df.filter(F.col("review_text").isNotNull()), size, group, time, key)
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(time), key))
+    sample = newest_sample(df.filter(F.col("review_text").isNotNull()), size, group, time, key, "_number")
     line = F.concat_ws(". ", F.col("_number").cast("string"), F.substring("review_text", 1, chars))
     return (
-        sample.withColumn("_number", number).withColumn("_line", line)
+        sample.withColumn("_line", line)
         .groupBy(*group).agg(
             F.count(F.lit(1)).alias("review_count"),
             _joined("_number", "_line", REVIEW_SEPARATOR).alias("request_text"),

@@ -48,41 +48,40 @@ def train_valid_split(
 
     ``text`` has to be unique. In place of sorting the table, the key of the
     last training row is found by counting: first per 4-digit prefix of the
-    key, then per 8-digit prefix inside the prefix that holds the cut, then
-    among the few keys of that. The split itself is a comparison per row.
+    key, then per 8-digit prefix inside the one that holds the cut, then among
+    the few keys of that. The split itself is a comparison per row.
     """
     keyed = df.withColumn("_key", shuffle_key(F.col(text), seed))
     keys = keyed.select("_key")
-    total = keys.agg(F.count(F.lit(1)))
-    cut = total.select(F.floor(F.col(total.columns[0]) * F.lit(1 - valid_share))).scalar()
-    inside, before = keys, F.lit(0).cast("bigint")
-    for digits in (4, 8):
-        prefix, before = _cut_prefix(inside, digits, cut, before)
-        inside = inside.filter(F.substring("_key", 1, digits) == prefix)
-    rank = F.row_number().over(Window.orderBy("_key"))
-    last_key = (
-        inside.withColumn("_rank", rank).filter(F.col("_rank") <= cut - before)
-        .agg(F.max("_key")).scalar()
+    first = keys.groupBy(F.substring("_key", 1, 4).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    first = first.withColumns({
+        "_cut": F.floor(total * F.lit(1 - valid_share)), "_before": F.lit(0).cast("bigint"),
+    })
+    second = (
+        _keys_at_cut(keys, first, 4)
+        .groupBy(F.substring("_key", 1, 8).alias("_prefix"), "_cut", "_before")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    last = _keys_at_cut(keys, second, 8).withColumn("_rank", F.row_number().over(Window.orderBy("_key")))
+    last_key = last.filter(F.col("_rank") <= F.col("_cut") - F.col("_before")).agg(F.max("_key")).scalar()
     is_train = F.coalesce(F.col("_key") <= last_key, F.lit(False))
     return keyed.withColumn("part", F.when(is_train, "train").otherwise("valid")).drop("_key")
 
 
-def _cut_prefix(keys: DataFrame, digits: int, cut: Column, before: Column) -> tuple[Column, Column]:
-    """The prefix in which row number ``cut`` lies, and the rows ahead of it.
+def _keys_at_cut(keys: DataFrame, counts: DataFrame, digits: int) -> DataFrame:
+    """The keys whose prefix holds row number ``_cut``, and the rows before it.
 
-    At most 16**4 prefixes exist at each step, so their running sum is one
-    small task.
+    ``counts`` has at most 16**4 rows, so their running sum is one small task,
+    and the prefix chosen is a single row.
     """
-    counts = keys.groupBy(F.substring("_key", 1, digits).alias("_prefix")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    running = F.sum("_n").over(Window.orderBy("_prefix")) + before
-    ends = counts.withColumn("_end", running)
-    at = ends.filter(F.col("_end") >= cut).agg(
-        F.min(F.struct("_prefix", (F.col("_end") - F.col("_n")).alias("_ahead"))).alias("_at")
+    ends = counts.withColumn("_end", F.sum("_n").over(Window.orderBy("_prefix")) + F.col("_before"))
+    at = (
+        ends.filter(F.col("_end") >= F.col("_cut")).orderBy("_prefix").limit(1)
+        .select("_prefix", "_cut", (F.col("_end") - F.col("_n")).alias("_before"))
     )
-    return at.select("_at._prefix").scalar(), at.select("_at._ahead").scalar()
+    prefix = F.substring("_key", 1, digits)
+    return keys.join(F.broadcast(at), prefix == F.col("_prefix")).drop("_prefix")
 
 
 def chat_examples(
@@ -130,14 +129,13 @@ def cleaning_report(
 
 def train_label_distribution(split: DataFrame, label: str = "manual_label") -> DataFrame:
     """Training rows per label in percent, and the size of both parts."""
-    sizes = split.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    train = sizes.filter(F.col("part") == "train").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    valid = sizes.filter(F.col("part") == "valid").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    return (
-        split.filter(F.col("part") == "train").groupBy(F.col(label).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "label", "n", percent(F.col("n"), train).alias("percentage"),
-            train.alias("train_rows"), valid.alias("valid_rows"),
-        )
+    counts = split.groupBy("part", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+    def size(part: str) -> Column:
+        # Over the counts, two rows per label.
+        return F.sum(F.when(F.col("part") == part, F.col("n")).otherwise(0)).over(Window.partitionBy())
+
+    sized = counts.withColumns({"train_rows": size("train"), "valid_rows": size("valid")})
+    return sized.filter(F.col("part") == "train").select(
+        "label", "n", percent(F.col("n"), F.col("train_rows")).alias("percentage"), "train_rows", "valid_rows"
     )

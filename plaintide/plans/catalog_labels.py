@@ -350,12 +350,12 @@ def _(spark, folder):
 
 
 @query("vote_weighted", with_fixtures("ev_vote vote_sums", """
-SELECT review_id, category AS final_category, round_even(weight, 6) AS weighted_score,
-       round_even(total_weight, 6) AS total_weight FROM vote_sums
+SELECT review_id, category AS final_category, round_even(weight, 9) AS weighted_score,
+       round_even(total_weight, 9) AS total_weight FROM vote_sums
 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY weight DESC, first_agent) = 1"""))
 def _(spark, folder):
     voted = consensus.vote_weighted(fx.ev_vote(spark, folder))
-    return voted.withColumns({name: F.bround(name, 6) for name in ("weighted_score", "total_weight")})
+    return voted.withColumns({name: F.bround(name, 9) for name in ("weighted_score", "total_weight")})
 
 
 @query("consensus_batch", with_fixtures(VOTES, """

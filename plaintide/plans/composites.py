@@ -37,12 +37,14 @@ def full_analysis(
     periods = split_by_period(negative, recent_days, comparison_days)
     recent = periods.filter(F.col("period") == "recent")
     order = "review_id"
+    compared = issues.period_compare(periods, order)
+    counts = issues.recent_counts(compared)
     return {
         "stats": review_stats(reviews, threshold),
         "rating_distribution": rating_distribution(reviews),
-        "top_issues": issues.top_issues(recent, top_n, order=order),
-        "all_categories": issues.category_counts(recent, order).select("category", "n"),
-        "emerging_issues": issues.emerging_issues(periods, order=order),
+        "top_issues": issues.top_issues(recent, top_n, order=order, counts=counts),
+        "all_categories": counts.select("category", "n"),
+        "emerging_issues": issues.emerging_issues(periods, compared=compared),
         "priority_reviews": priority_top(negative_scored(reviews, threshold, as_of=as_of, **scoring_args), priority_n),
     }
 

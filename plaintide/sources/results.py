@@ -27,6 +27,6 @@ def write_metrics_json(df: DataFrame, path: str, kind: str, run_id: str) -> str:
 def read_latest_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All rows of the last run of each kind; run ids sort as text."""
     history = spark.read.schema(f"{schema}, kind string, run_id string").json(path)
-    # The partition columns alone say which run is last; one row per kind.
+    # The partition columns alone say which run is last.
     last = history.groupBy("kind").agg(F.max("run_id").alias("run_id"))
-    return history.join(F.broadcast(last), ["kind", "run_id"], "left_semi")
+    return history.join(last, ["kind", "run_id"], "left_semi")
