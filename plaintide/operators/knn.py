@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 1024
-PAIR_BUDGET = 1 << 17  # pairs whose exact distance is computed at a time
+ROUGH_PAIRS = 1 << 21  # entries of the matrix product held at a time
+EXACT_PAIRS = 1 << 17  # pairs measured directly at a time
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -40,26 +41,30 @@ def _nearest(q_ids, q, c_ids, c, k: int, skip_self: bool):
     near-ties independent of how the data was split.
     """
     out = []
-    step = max(1, PAIR_BUDGET // max(1, len(c_ids)))
     c_norm = (c * c).sum(axis=1)
+    kth = min(k, len(c_ids)) - 1
+    step = max(1, ROUGH_PAIRS // len(c_ids))
     for start in range(0, len(q_ids), step):
-        rows = slice(start, start + step)
-        part = q[rows]
+        ids, part = q_ids[start : start + step], q[start : start + step]
         norm = (part * part).sum(axis=1)
         rough = norm[:, None] + c_norm[None, :] - 2.0 * (part @ c.T)
         if skip_self:
-            rough[q_ids[rows][:, None] == c_ids[None, :]] = np.inf
-        kth = min(k, rough.shape[1]) - 1
+            rough[ids[:, None] == c_ids[None, :]] = np.inf
         limit = np.partition(rough, kth, axis=1)[:, kth]
         slack = 1e-9 * (norm + c_norm.max() + 1.0)
         near = (rough <= (limit + slack)[:, None]) & np.isfinite(rough)
-        at_q, at_c = np.nonzero(near)
-        dist = ((part[at_q] - c[at_c]) ** 2).sum(axis=1)
-        order = np.lexsort((c_ids[at_c], dist, at_q))
-        at_q, at_c, dist = at_q[order], at_c[order], dist[order]
-        rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q, side="left") + 1
-        keep = rank <= k
-        out.append((at_q[keep] + start, at_c[keep], dist[keep], rank[keep].astype("int32")))
+        # Many copies of one vector are all near; take fewer rows at a time then.
+        sizes = near.sum(axis=1).cumsum()
+        cuts = np.flatnonzero(np.diff(sizes // EXACT_PAIRS)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(part)]):
+            at_q, at_c = np.nonzero(near[low:high])
+            at_q += low
+            dist = ((part[at_q] - c[at_c]) ** 2).sum(axis=1)
+            order = np.lexsort((c_ids[at_c], dist, at_q))
+            at_q, at_c, dist = at_q[order], at_c[order], dist[order]
+            rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q, side="left") + 1
+            keep = rank <= k
+            out.append((at_q[keep] + start, at_c[keep], dist[keep], rank[keep].astype("int32")))
     return [np.concatenate(parts) for parts in zip(*out)]
 
 
@@ -245,8 +250,11 @@ def knn_votes(neighbors: DataFrame, sizes: list[int]) -> DataFrame:
     agents = F.array(*[
         F.struct(F.lit(i).alias("agent_id"), F.lit(size).alias("k")) for i, size in enumerate(sizes)
     ])
+    # A review has a handful of neighbours, so no review makes a large partition;
+    # placed by review, both aggregations and later joins on it stay in place.
     counted = (
-        neighbors.withColumn("agent", F.explode(agents))
+        neighbors.select("review_id", "category", "neighbor_rank").repartition("review_id")
+        .withColumn("agent", F.explode(agents))
         .filter(F.col("neighbor_rank") <= F.col("agent.k"))
         .groupBy("review_id", F.col("agent.agent_id").alias("agent_id"), "category")
         .agg(F.count(F.lit(1)).alias("n"), F.min("neighbor_rank").alias("nearest"))

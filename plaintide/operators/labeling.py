@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scoring import contains_any
 from ..functions.vocabulary import RULE_WORDS
 
 
@@ -29,8 +30,10 @@ def label_by_rules(
     scores = []
     for place, (category, words) in enumerate(rules.items()):
         pattern = F.lit(word_pattern(words))
-        hits = F.regexp_count(F.col("_lower"), pattern)
-        first = F.regexp_instr(F.col("_lower"), pattern)
+        # Most categories are not mentioned at all; a plain search tells at once.
+        mentioned = contains_any(F.col("_lower"), words)
+        hits = F.when(mentioned, F.regexp_count(F.col("_lower"), pattern)).otherwise(0)
+        first = F.when(mentioned, F.regexp_instr(F.col("_lower"), pattern)).otherwise(0)
         scores.append(F.struct(
             hits.alias("hits"), (-first).alias("earlier"), F.lit(-place).alias("place"),
             F.lit(category).alias("category"),

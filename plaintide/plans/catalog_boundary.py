@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, issues, labeling, periods, requests, responses, training
-from ..session import new_path
+from ..session import cut_lineage, new_path
 from ..sources import results, tables
 from . import composites, fixtures as fx
 from .catalog_labels import _CHAT_SQL, _SPLIT, _split, _union
@@ -266,6 +266,10 @@ UNION ALL SELECT 'priority', name, detail, value FROM (
   SELECT CAST(review_id AS VARCHAR) AS name, level AS detail, score AS value FROM scored WHERE rating <= 3
   ORDER BY score DESC, created_at DESC, review_id LIMIT 20)"""))
 def _(spark, folder):
-    reviews = labeling.label_by_rules(fx.f_doc(spark, folder), fx.DOC_RULES)
-    reviews = reviews.withColumn("brief_issue", F.concat_ws(" ", "lang", "source"))
-    return _union(_flat(composites.full_analysis(reviews, **fx.SCORING)), "part", "name", "detail", "value")
+    reviews = fx.f_doc(spark, folder)
+    labels = labeling.label_by_rules(filters.filter_negative(reviews), fx.DOC_RULES).select(
+        "review_id", "rating", "created_at", "category", F.concat_ws(" ", "lang", "source").alias("brief_issue")
+    )
+    # The texts are searched once; what is kept of them is a few bytes per review.
+    parts = composites.full_analysis(reviews, cut_lineage(labels), **fx.SCORING)
+    return _union(_flat(parts), "part", "name", "detail", "value")

@@ -22,6 +22,7 @@ __all__ = [
 
 def full_analysis(
     reviews: DataFrame,
+    labeled: DataFrame | None = None,
     threshold: int = 3,
     recent_days: int = 30,
     comparison_days: int = 60,
@@ -31,9 +32,14 @@ def full_analysis(
     **scoring_args,
 ) -> dict[str, DataFrame]:
     """Statistics, top and surging issues, category counts and the reviews to
-    answer first. ``reviews`` has a ``category`` and a ``brief_issue`` already.
-    Without negative reviews all parts but the statistics are empty."""
-    negative = filter_negative(reviews, threshold)
+    answer first.
+
+    ``labeled`` has the negative reviews' ``review_id, rating, created_at,
+    category, brief_issue``; by default these are columns of ``reviews``. It is
+    read for several parts, so labels that are costly to make should come from
+    a table. Without negative reviews all parts but the statistics are empty.
+    """
+    negative = filter_negative(reviews if labeled is None else labeled, threshold)
     periods = split_by_period(negative, recent_days, comparison_days)
     recent = periods.filter(F.col("period") == "recent")
     order = "review_id"

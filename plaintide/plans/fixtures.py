@@ -148,7 +148,7 @@ def f_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["f_err_all"] = """
 SELECT d.doc_id AS review_id, text AS review_text,
-       CASE WHEN source IS NULL THEN NULL ELSE CAST(d.doc_id % 5 + 1 AS DOUBLE) END AS rating,
+       CASE WHEN lang <> 'fr' THEN CAST(d.doc_id % 5 + 1 AS DOUBLE) END AS rating,
        'q' || quality || 't' || toxic AS true_label,
        'q' || (CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) || 't' || (CASE WHEN lang = 'de' THEN 1 ELSE 0 END)
          AS predicted_label
@@ -165,7 +165,7 @@ def f_err_all(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
         F.col("doc_id").alias("review_id"),
         F.col("text").alias("review_text"),
-        F.when(F.col("source").isNotNull(), (F.col("doc_id") % 5 + 1).cast("double")).alias("rating"),
+        F.when(F.col("lang") != "fr", (F.col("doc_id") % 5 + 1).cast("double")).alias("rating"),
         F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
         .alias("true_label"),
         F.concat(F.lit("q"), flag(F.col("n_chars") > 1000), F.lit("t"), flag(F.col("lang") == "de"))
