@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import let
 from .text import strip
 
 # How answers mark JSON, and the one repair that is tried.
@@ -13,13 +14,18 @@ COMMA_BEFORE_CLOSE = r",\s*([}\]])"
 
 def json_candidate(answer: Column) -> Column:
     """Fenced block, else first ``{`` to last ``}``, else the whole text."""
-    first = F.locate("{", answer)
-    last = F.length(answer) - F.locate("}", F.reverse(answer)) + 1
-    has_pair = (first > 0) & answer.contains("}") & (last > first)
-    return (
-        F.when(answer.rlike(FENCED_BLOCK), strip(F.regexp_extract(answer, FENCED_BLOCK, 1)))
-        .when(has_pair, F.substring(answer, first, last - first + 1))
-        .otherwise(strip(answer))
+
+    def between(place: Column) -> Column:
+        size = place["last"] - place["first"] + 1
+        return F.when((place["first"] > 0) & (size > 1), F.substring(answer, place["first"], size))
+
+    place = F.struct(
+        F.locate("{", answer).alias("first"),
+        (F.length(answer) - F.length(F.substring_index(answer, "}", -1))).alias("last"),
+    )
+    is_fenced = answer.contains("```") & answer.rlike(FENCED_BLOCK)
+    return F.when(is_fenced, strip(F.regexp_extract(answer, FENCED_BLOCK, 1))).otherwise(
+        F.coalesce(let(place, between), strip(answer))
     )
 
 
@@ -39,3 +45,13 @@ def repaired(text: Column) -> Column:
     """Doubled braces made single, commas before a closing bracket dropped."""
     single = F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
     return F.regexp_replace(single, COMMA_BEFORE_CLOSE, "$1")
+
+
+def json_of(answer: Column) -> Column:
+    """The JSON text inside an answer, repaired if need be, else null."""
+
+    def checked(text: Column) -> Column:
+        fixed = let(repaired(text), lambda fixed: F.when(is_json(fixed), fixed))
+        return F.when(is_json(text), text).otherwise(fixed)
+
+    return let(json_candidate(answer), checked)

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import let
 from .vocabulary import MEDIUM_WORDS, SEVERE_WORDS
 
 
@@ -28,15 +29,17 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 
 def keyword_factor(
-    lower_text: Column,
+    text: Column,
     severe: Sequence[str] = SEVERE_WORDS,
     medium: Sequence[str] = MEDIUM_WORDS,
 ) -> Column:
-    """Up to 25 points. The text must be in lower case already."""
-    known = F.coalesce(lower_text, F.lit(""))
-    return (
-        F.when(contains_any(known, severe), 25).when(contains_any(known, medium), 15).otherwise(5)
-    )
+    """Up to 25 points by words found in the lower-case text."""
+
+    def points(lower: Column) -> Column:
+        severe_points = F.when(contains_any(lower, severe), 25)
+        return severe_points.when(contains_any(lower, medium), 15).otherwise(5)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), points)
 
 
 def moment(as_of: datetime | str | None) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.arrays import unnest
 from ..functions.numbers import ordered_pair
 from ..functions.text import length_bucket, rating_key, tokens
 from ..functions.vocabulary import STOPWORDS
@@ -71,9 +72,9 @@ def confusion_keywords(
     before the shuffle, so frequent words cost one row per task. Ties go to
     the word that appears first.
     """
-    words = errors_of_top_pairs(errors, pairs).select(
-        "pair_rank", *PAIR, "review_id",
-        F.posexplode(tokens(F.col("review_text"), stopwords)).alias("pos", "keyword"),
+    words = unnest(
+        errors_of_top_pairs(errors, pairs), ["pair_rank", *PAIR, "review_id"],
+        tokens(F.col("review_text"), stopwords), "pos", "keyword",
     )
     counts = words.groupBy("pair_rank", *PAIR, "keyword").agg(
         F.count(F.lit(1)).alias("n"),

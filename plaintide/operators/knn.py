@@ -16,10 +16,12 @@ Both give the same rows. Equal distances are ordered by example id.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 BROADCAST_BYTES = 64 << 20
@@ -28,6 +30,10 @@ MAX_PIVOTS = 1024
 ROUGH_PAIRS = 1 << 21  # entries of the matrix product held at a time
 EXACT_PAIRS = 1 << 17  # pairs measured directly at a time
 
+# The functions below go to the tasks as code, so that executors need numpy and
+# pandas but not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _matrix(vectors) -> np.ndarray:
     return np.array(list(vectors), dtype=np.float64) if len(vectors) else np.zeros((0, 0))

@@ -26,15 +26,14 @@ def with_factors(
     rating = F.col("rating") if "rating" in types else F.lit(None).cast("int")
     text = F.col("review_text") if "review_text" in types else F.lit("")
     created = F.col("created_at") if "created_at" in types else F.lit(None).cast("timestamp_ntz")
-    # A column of its own: the words are looked up in it many times.
-    return df.withColumn("_lower", F.lower(text)).withColumns({
+    return df.withColumns({
         "rating_score": scoring.rating_factor(rating),
         "length_score": scoring.length_factor(text),
-        "keyword_score": scoring.keyword_factor(F.col("_lower"), severe, medium),
+        "keyword_score": scoring.keyword_factor(text, severe, medium),
         "recency_score": scoring.recency_factor(
             created, as_of, is_text=types.get("created_at") == "string"
         ),
-    }).drop("_lower")
+    })
 
 
 def with_priority(

@@ -6,9 +6,10 @@ can use, so that nothing is lost without a trace.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.answers import is_json, json_candidate, repaired
+from ..functions.answers import json_of
+from ..functions.arrays import unnest
 
 CATEGORIES = "categories array<struct<review_number: int, category: string, brief_issue: string>>"
 REPLY = "reply: string, tone: string, key_points_addressed: array<string>, suggested_action: string"
@@ -18,31 +19,21 @@ STRICT = {"allowSingleQuotes": "false"}
 
 def with_json(df: DataFrame, answer: str = "answer", name: str = "answer_json") -> DataFrame:
     """Adds the JSON text inside each answer, repaired if need be, else null."""
-    return (
-        df.withColumn("_found", json_candidate(F.col(answer)))
-        .withColumn("_fixed", F.when(~is_json(F.col("_found")), repaired(F.col("_found"))))
-        .withColumn(
-            name,
-            F.when(F.col("_fixed").isNull(), F.col("_found"))
-            .when(is_json(F.col("_fixed")), F.col("_fixed")),
-        )
-        .drop("_found", "_fixed")
-    )
+    return df.withColumn(name, json_of(F.col(answer)))
 
 
-def _parsed(df: DataFrame, schema: str, answer: str) -> DataFrame:
-    return with_json(df, answer).withColumn(
-        "_parsed", F.from_json("answer_json", schema, STRICT)
-    )
+def _parsed(schema: str, answer: str) -> Column:
+    return F.from_json(json_of(F.col(answer)), schema, STRICT)
+
+
+def _others(df: DataFrame, answer: str) -> list[str]:
+    return [name for name in df.columns if name != answer]
 
 
 def ingest_model_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """One row per categorized review; adds the number, category, issue and position."""
-    return (
-        _parsed(df, CATEGORIES, answer)
-        .select(*[c for c in df.columns if c != answer], F.posexplode("_parsed.categories").alias("item_pos", "_item"))
-        .select("*", "_item.*").drop("_item")
-    )
+    items = unnest(df, _others(df, answer), _parsed(CATEGORIES, answer)["categories"], "item_pos", "_item")
+    return items.select("*", "_item.*").drop("_item")
 
 
 def quarantine(df: DataFrame, answer: str = "answer") -> DataFrame:
@@ -53,13 +44,11 @@ def quarantine(df: DataFrame, answer: str = "answer") -> DataFrame:
 def ingest_reply_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Replies of batch answers; the index is shifted by ``chunk_start``, missing counts as 1."""
     schema = f"replies array<struct<review_index: int, {REPLY}>>"
-    reply = F.explode("_parsed.replies").alias("_reply")
     return (
-        _parsed(df, schema, answer)
-        .select(*[c for c in df.columns if c != answer], reply)
+        unnest(df, _others(df, answer), _parsed(schema, answer)["replies"], "_pos", "_reply")
         .withColumn("review_index", F.col("chunk_start") + F.coalesce(F.col("_reply.review_index"), F.lit(1)))
         .select("*", *[f"_reply.{c}" for c in ("reply", "tone", "key_points_addressed", "suggested_action")])
-        .drop("_reply")
+        .drop("_reply", "_pos")
     )
 
 
@@ -69,14 +58,14 @@ def ingest_single_replies(df: DataFrame, answer: str = "answer") -> DataFrame:
     good = F.col("_parsed.reply").isNotNull()
     empty = F.array().cast("array<string>")
     return (
-        _parsed(df, schema, answer)
+        df.withColumn("_parsed", _parsed(schema, answer))
         .withColumns({
             "reply": F.when(good, F.col("_parsed.reply")).otherwise(F.col(answer)),
             "tone": F.when(good, F.col("_parsed.tone")).otherwise(""),
             "key_points_addressed": F.when(good, F.col("_parsed.key_points_addressed")).otherwise(empty),
             "suggested_action": F.when(good, F.col("_parsed.suggested_action")).otherwise(""),
         })
-        .drop("_parsed", "answer_json", answer)
+        .drop("_parsed", answer)
     )
 
 
@@ -84,7 +73,7 @@ def ingest_knn_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Category, issue and confidence per review; an unusable answer is ``other`` with 0."""
     good = F.col("_parsed.category").isNotNull()
     return (
-        _parsed(df, SINGLE, answer)
+        df.withColumn("_parsed", _parsed(SINGLE, answer))
         .withColumns({
             "category": F.coalesce(F.col("_parsed.category"), F.lit("other")),
             "brief_issue": F.when(good, F.coalesce(F.col("_parsed.reasoning"), F.lit(""))).otherwise(
@@ -92,13 +81,15 @@ def ingest_knn_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
             ),
             "confidence": F.when(good, F.coalesce(F.col("_parsed.confidence"), F.lit(0.0))).otherwise(0.0),
         })
-        .drop("_parsed", "answer_json", answer)
+        .drop("_parsed", answer)
     )
 
 
 def ingest_vote_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
-    """Votes with a category; answers without one are left out."""
-    return (
-        _parsed(df, SINGLE, answer).filter(F.col("_parsed.category").isNotNull())
-        .select(*[c for c in df.columns if c != answer], "_parsed.*")
-    )
+    """Votes with a category; answers without one are left out.
+
+    The test is part of the generator: as a filter it would be moved below the
+    parsing and parse each answer a second time.
+    """
+    vote = F.filter(F.array(_parsed(SINGLE, answer)), lambda v: v["category"].isNotNull())
+    return df.select(*_others(df, answer), F.inline(vote))

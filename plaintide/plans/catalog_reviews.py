@@ -511,19 +511,19 @@ def _(spark, folder):
 _STOP_SQL = ", ".join(f"'{word}'" for word in STOPWORDS)
 _LETTERS = fx.BLANK_SQL.replace("[", r"[^\p{L}", 1)
 fx.SQL["words"] = f"""
-SELECT doc_id AS review_id, unnest(range(len(parts))) AS place, unnest(parts) AS word
-FROM (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '{_LETTERS}', '', 'g'), '{fx.BLANK_SQL}+') AS parts
-      FROM documents)"""
+SELECT doc_id AS review_id,
+       string_split_regex(regexp_replace(lower(text), '{_LETTERS}', '', 'g'), '{fx.BLANK_SQL}+') AS parts
+FROM documents"""
 
 
 @query("tokenize", with_fixtures("words", f"""
-SELECT review_id, word, count(*) AS n FROM words WHERE length(word) >= 2 AND word NOT IN ({_STOP_SQL})
-GROUP BY review_id, word"""))
+SELECT review_id,
+       array_to_string(list_filter(parts, lambda w: length(w) >= 2 AND w NOT IN ({_STOP_SQL})), ' ') AS words
+FROM words"""))
 def _(spark, folder):
-    words = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("review_id"), F.explode(tokens(F.col("text"), STOPWORDS)).alias("word")
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("review_id"), F.array_join(tokens(F.col("text"), STOPWORDS), " ").alias("words")
     )
-    return words.groupBy("review_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("text_preview", """

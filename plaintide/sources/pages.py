@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import let, unnest
 from ..functions.text import strip, title_and_body
 from ..functions.vocabulary import PAGE_RATING_PATTERNS, PAGE_SCRIPT_PATTERN, PAGE_SKIP_WORDS
 
@@ -20,10 +21,8 @@ rData struct<
 def ingest_review_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """One row per rated item of captured API pages; text is null if there is none."""
     parsed = pages.withColumn("_page", F.from_json(body, API_PAGE))
-    items = parsed.select(
-        *[c for c in pages.columns if c != body],
-        F.posexplode("_page.rData.paging.contents").alias("item_pos", "_item"),
-    )
+    contents = parsed["_page"]["rData"]["paging"]["contents"]
+    items = unnest(parsed, [c for c in pages.columns if c != body], contents, "item_pos", "_item")
     return items.filter(F.col("_item.rating").isNotNull()).select(
         *[c for c in items.columns if c != "_item"],
         F.col("_item.rating").alias("rating"),
@@ -65,38 +64,43 @@ def extract_reviews_from_text(
     only pages whose ``platform`` column is equal to it are read.
 
     The lines of a page never leave their row until they are reviews: the text
-    is cut at its rating lines, and each cut is exploded. No shuffle, no sort.
+    is cut at its rating lines, and each cut becomes rows. No shuffle, no sort,
+    and every line is copied once, however many ratings a page has.
     """
     if platform is not None:
         pages = pages.filter(F.col("platform") == platform)
     kept = [c for c in pages.columns if c != text]
+
+    def marks(lines: Column) -> Column:
+        """Place and rating of every rating line."""
+        rated = F.transform(
+            lines, lambda line, at: F.struct(at.alias("at"), line_rating(line, patterns).alias("rating"))
+        )
+        return F.filter(rated, lambda mark: mark["rating"].isNotNull())
+
+    def sections(lines: Column) -> Column:
+        """Each rating with the lines below it, up to the next rating line."""
+
+        def section(mark: Column, place: Column, all_marks: Column) -> Column:
+            first = mark["at"] + 1
+            end = F.coalesce(F.get(all_marks, place + 1)["at"], F.size(lines))
+            return F.struct(
+                mark["rating"].alias("rating"), first.alias("first"),
+                F.slice(lines, first + 1, end - first).alias("lines"),
+            )
+
+        return let(marks(lines), lambda found: F.transform(found, lambda m, i: section(m, i, found)))
+
     lines = F.transform(F.split(F.col(text), "\n"), lambda line: strip(line))
-    marks = F.filter(
-        F.transform(
-            F.col("_lines"),
-            lambda line, i: F.struct(i.alias("at"), line_rating(line, patterns).alias("rating")),
-        ),
-        lambda mark: mark["rating"].isNotNull(),
-    )
-    # The line count closes the last section.
-    section_end = F.coalesce(
-        F.get(F.col("_marks"), F.col("_place") + 1)["at"], F.size("_lines")
+    cut = unnest(pages, kept, let(lines, sections), "_place", "_section")
+    rows = cut.select(
+        *kept, F.col("_section.rating").alias("rating"), F.col("_section.first").alias("_first"),
+        F.posexplode("_section.lines").alias("_offset", "review_text"),
     )
     line = F.col("review_text")
     good = (F.length(line) >= min_chars) & line.rlike(script)
     for word in skip_words:
         good = good & ~line.contains(word)
-    return (
-        pages.select(*kept, lines.alias("_lines"))
-        .withColumn("_marks", marks)
-        .select(*kept, "_lines", "_marks", F.posexplode("_marks").alias("_place", "_mark"))
-        .withColumn("_from", F.col("_mark.at") + 1)
-        .select(
-            *kept, F.col("_mark.rating").alias("rating"), "_from",
-            F.slice("_lines", F.col("_from") + 1, section_end - F.col("_from")).alias("_section"),
-        )
-        .select(*kept, "rating", "_from", F.posexplode("_section").alias("_offset", "review_text"))
-        .withColumn("line_no", F.col("_from") + F.col("_offset"))
-        .filter(good)
-        .select(*kept, "line_no", "rating", "review_text")
+    return rows.filter(good).select(
+        *kept, (F.col("_first") + F.col("_offset")).alias("line_no"), "rating", "review_text"
     )
