@@ -50,7 +50,11 @@ def moment(as_of: datetime | str | None) -> Column:
 
 def recency_factor(created_at: Column, as_of: datetime | str | None, is_text: bool = False) -> Column:
     """Up to 15 points. Missing or unreadable times give 8, future ones 15."""
-    at = (F.try_to_timestamp(created_at) if is_text else created_at).cast("timestamp_ntz")
+    if is_text:
+        # A bare year or month is no time here, though the parser would take it.
+        has_date = created_at.rlike(r"^\d{4}-\d{2}-\d{2}")
+        created_at = F.when(has_date, F.try_to_timestamp(created_at))
+    at = created_at.cast("timestamp_ntz")
     now = moment(as_of)
     return (
         F.when(at.isNull(), 8)

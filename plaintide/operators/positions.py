@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-ROWS_PER_BLOCK = 1 << 20
+ROWS_PER_BLOCK = 1 << 18
 
 
 def with_position(

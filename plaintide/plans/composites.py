@@ -11,7 +11,7 @@ from ..operators.consensus import consensus_batch
 from ..operators.filters import clean_labels, filter_negative
 from ..operators.joins import attach_predictions
 from ..operators.periods import split_by_period
-from ..operators.priority import negative_scored, priority_top
+from ..operators.priority import priority_top, with_priority
 from ..operators.stats import rating_distribution, review_stats
 
 __all__ = [
@@ -51,7 +51,9 @@ def full_analysis(
         "top_issues": issues.top_issues(recent, top_n, order=order, counts=counts),
         "all_categories": counts.select("category", "n"),
         "emerging_issues": issues.emerging_issues(periods, compared=compared),
-        "priority_reviews": priority_top(negative_scored(reviews, threshold, as_of=as_of, **scoring_args), priority_n),
+        "priority_reviews": priority_top(
+            with_priority(filter_negative(reviews, threshold), as_of, **scoring_args), priority_n
+        ),
     }
 
 

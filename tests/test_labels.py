@@ -190,6 +190,16 @@ def test_split(spark, n, share, parts):
     assert {r.review_text for r in split if r.part == "train"} == set(ordered[: int(n * (1 - share))])
 
 
+def test_dedup_with_many_copies(spark):
+    rows = [(i, "copy" if i % 3 == 0 else f"t{i % 50}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "review_id int, review_text string").repartition(8)
+    kept = {r.review_text: r.review_id for r in training.dedup_text(frame).collect()}
+    expected = {}
+    for i, text in rows:
+        expected.setdefault(text, i)
+    assert kept == expected
+
+
 def test_sample(spark):
     frame = spark.range(500).select(F.col("id").alias("review_id"), F.lit("t").alias("review_text"), F.lit(1).alias("rating"))
     first, again = (training.sample_for_labeling(frame.repartition(p)).collect() for p in (1, 8))

@@ -42,6 +42,8 @@ def test_recency_of_odd_values(spark):
     rows = score(spark, (3.0, "x", None), (3.0, "x", "not-a-date"), (3.0, "x", ""), (3.0, "x", "2024-06-01T11:00:00Z"),
                  (3.0, "x", "2024-06-01T13:00:00+09:00"))
     assert [r.recency_score for r in rows] == [8, 8, 8, 15, 15]
+    rows = score(spark, *[(3.0, "x", text) for text in ("2024", "2024-06", " 2024-06-01", "2024-05-31", "2024-06-01 10:00:00.5")])
+    assert [r.recency_score for r in rows] == [8, 8, 8, 10, 15]
 
 
 def test_levels(spark):

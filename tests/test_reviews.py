@@ -33,6 +33,21 @@ def test_periods(reviews):
     assert sorted(fixed) == sorted(split)
 
 
+def test_full_analysis(spark, reviews):
+    from plaintide.plans.composites import full_analysis
+
+    labeled = reviews.withColumns({"category": F.lit("poor_quality"), "brief_issue": F.col("review_text")})
+    parts = full_analysis(labeled, as_of="2024-06-01")
+    assert parts["stats"].first().negative_reviews == 6
+    assert [(r.category, r.n) for r in parts["top_issues"].collect()] == [("poor_quality", 4)]
+    assert [r.increase_rate for r in parts["emerging_issues"].collect()] == [100.0]
+    assert [r.review_id for r in parts["priority_reviews"].collect()][:2] == [1, 6]
+    none = full_analysis(labeled.filter("rating > 3"), as_of="2024-06-01")
+    counts = {name: part.count() for name, part in none.items()}
+    assert counts == {"stats": 1, "rating_distribution": 2, "top_issues": 0, "all_categories": 0,
+                      "emerging_issues": 0, "priority_reviews": 0}
+
+
 def test_period_bounds(spark):
     base = datetime(2024, 6, 1)
     rows = [(d, base - timedelta(days=d)) for d in (0, 30, 31, 60, 61)] + [(99, None)]
