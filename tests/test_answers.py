@@ -1,6 +1,7 @@
 """Model answers, pages, URLs, requests."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,8 +122,9 @@ def test_urls(spark, url, platform, product):
 
 
 def plain_tokens(text):
-    words = ["".join(c for c in w if c.isalpha()) for w in (text or "").strip().lower().split()]
-    return [w for w in words if len(w) >= 2 and w not in STOPWORDS]
+    """Letters and blanks of the whole text, by Unicode category, then split."""
+    kept = [ch for ch in (text or "").lower() if ch.isspace() or unicodedata.category(ch)[0] == "L"]
+    return [word for word in "".join(kept).split() if word[1:] and word not in STOPWORDS]
 
 
 @pytest.mark.parametrize("text", [
