@@ -67,6 +67,30 @@ def read_reviews_csv(
     return drop_null_text(synthesize_id_time(reviews, as_of))
 
 
+def read_uploaded_csv(
+    spark: SparkSession, path: str, null_tokens: Sequence[str] = CSV_NULL_TOKENS
+) -> DataFrame:
+    """Ratings and texts of a CSV in either spelling, rows without text included.
+
+    Ratings stay text here: ``filter_negative_truncated`` and the priority
+    factors read them as they are.
+    """
+    reviews = normalize_review_schema(read_csv_text(spark, path))
+    return reviews.withColumns({name: null_if_token(F.col(name), null_tokens) for name in reviews.columns})
+
+
+def read_labeled_csv(
+    spark: SparkSession, path: str, null_tokens: Sequence[str] = CSV_NULL_TOKENS
+) -> DataFrame:
+    """A labeling set that was filled in by hand: text, rating, label and notes."""
+    raw = read_csv_text(spark, path)
+    missing = sorted({"manual_label", "review_text"} - set(raw.columns))
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    labeled = raw.withColumns({name: null_if_token(F.col(name), null_tokens) for name in raw.columns})
+    return labeled.withColumn("rating", F.col("rating").cast("double")) if "rating" in raw.columns else labeled
+
+
 def reviews_with_orders(reviews: DataFrame, orders: DataFrame) -> DataFrame:
     """Order reviews with text and purchase time in the common schema."""
     joined = join_reviews_orders(reviews, orders)

@@ -109,6 +109,37 @@ def test_read_many_files(spark, tmp_path):
     assert {r.review_text for r in rows} == {str(i) for i in range(1000)}
 
 
+def test_labeled_csv_round_trip(spark, reviews, tmp_path):
+    sample = training.sample_for_labeling(reviews)
+    filled = sample.withColumn("manual_label", F.when(F.col("rating") < 4, " Other ").otherwise(""))
+    path = tables.write_labeling_csv(filled, str(tmp_path / "labels"))
+    read = tables.read_labeled_csv(spark, path)
+    assert tuple(filters.unlabeled_guard(read).first()) == (10, 4)
+    assert {r.rating for r in filters.clean_labels(read).collect()} == {1.0, 2.0, 3.0}
+    with pytest.raises(ValueError, match="manual_label"):
+        tables.read_labeled_csv(spark, tables.write_reviews_csv(reviews, str(tmp_path / "plain")))
+
+
+def test_uploaded_csv(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("review_text,rating,more\nbad,2.0,x\n,3.9,x\nok,4,x\nno stars,,x\n")
+    upload = tables.read_uploaded_csv(spark, str(tmp_path / "u.csv"))
+    assert [tuple(r) for r in filters.filter_negative_truncated(upload).collect()] == [("2.0", "bad"), ("3.9", None)]
+    assert [r.review_text for r in filters.fill_null_preview(upload, "rating", 2).collect()] == ["no stars", "bad"]
+
+
+def test_analyze_csv(spark, tmp_path):
+    from plaintide.plans.jobs import analyze_csv
+
+    lines = [f"{i % 5 + 1},{'late' if i % 2 else 'broke at once'}" for i in range(200)]
+    (tmp_path / "in.csv").write_text("Ratings,Reviews\n" + "\n".join(lines) + "\n")
+    out = analyze_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "run_1", AS_OF)
+    stats = spark.read.json(f"{out}/kind=stats").first()
+    assert (stats.total_reviews, stats.negative_reviews, stats.negative_ratio) == (200, 120, 60.0)
+    top = {r.category for r in spark.read.json(f"{out}/kind=top_issues").collect()}
+    assert top == {"delivery_delay", "poor_quality"}
+    assert spark.read.json(f"{out}/kind=priority_reviews").count() == 20
+
+
 def test_read_csv_needs_columns(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("Name,Value\nA,1\n")
