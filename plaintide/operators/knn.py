@@ -106,8 +106,9 @@ def knn_retrieve(
     distance, neighbor_rank``. Runs a count of the examples up front.
     """
     vector_type = dict(queries.dtypes)["embedding"]
-    queries = queries.select(F.col("review_id").cast("bigint"), "embedding")
-    examples = examples.select(F.col("neighbor_id").cast("bigint"), "embedding", "category")
+    known = F.col("embedding").isNotNull()
+    queries = queries.filter(known).select(F.col("review_id").cast("bigint"), "embedding")
+    examples = examples.filter(known).select(F.col("neighbor_id").cast("bigint"), "embedding", "category")
     size = examples.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")
     ).first()
@@ -148,11 +149,13 @@ def _against_cells(queries, examples, k, skip_self, label_type, n, block_rows, v
         .select("embedding").toPandas()
     )
     pivots = _matrix(pivot_rows["embedding"])
-    sent_pivots = spark.sparkContext.broadcast(pivots)
+    sent_pivots, middle = spark.sparkContext.broadcast(pivots), pivots.mean(axis=0)
 
     def to_pivots(vectors: np.ndarray) -> np.ndarray:
         """Distances to the pivots, one column each."""
-        p = sent_pivots.value
+        # Measured from the middle of the pivots, so that vectors far from the
+        # origin lose no digits in the difference of squares.
+        p, vectors = sent_pivots.value - middle, vectors - middle
         square = (vectors**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2.0 * (vectors @ p.T)
         return np.sqrt(np.maximum(square, 0.0))
 

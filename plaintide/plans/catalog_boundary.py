@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, issues, labeling, periods, requests, responses, training
+from ..operators import filters, labeling, periods, requests, responses, training
 from ..session import cut_lineage, new_path
 from ..sources import results, tables
 from . import composites, fixtures as fx

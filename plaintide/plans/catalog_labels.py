@@ -169,7 +169,9 @@ def _(spark, folder):
 
 
 # Long answer tables: every event is an answer about the order of its user.
-fx.SQL["ev_truth"] = "SELECT o_orderkey AS review_number, CASE WHEN o_orderstatus = 'F' THEN 'click' WHEN o_orderstatus = 'O' THEN 'error' ELSE 'other' END AS true_label FROM orders"
+fx.SQL["ev_truth"] = """
+SELECT o_orderkey AS review_number,
+       CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'O' THEN 'error' ELSE 'other' END AS true_label FROM orders"""
 fx.SQL["ev_answers"] = """
 SELECT CASE event_id % 2 WHEN 0 THEN 'zero_shot' ELSE 'cot' END AS strategy, user_id AS review_number,
        arg_max(event_type, event_id) AS category FROM events GROUP BY 1, 2"""

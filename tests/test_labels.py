@@ -155,9 +155,9 @@ def brute_force(data, k, skip_self):
 
 @pytest.mark.parametrize("copies", [False, True])
 @pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 40}, {"broadcast_bytes": 0, "block_rows": 4096}])
-@pytest.mark.parametrize("k, skip_self", [(1, True), (5, True), (3, False)])
-def test_neighbours(spark, copies, options, k, skip_self):
-    data = vectors(copies)
+@pytest.mark.parametrize("k, skip_self, shift", [(1, True, 0), (5, True, 1000), (3, False, 0)])
+def test_neighbours(spark, copies, options, k, skip_self, shift):
+    data = vectors(copies) + np.float32(shift)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, embedding array<float>").repartition(3)
     found = knn.knn_retrieve(
         frame.withColumnRenamed("id", "review_id"),
