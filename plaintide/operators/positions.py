@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 ROWS_PER_BLOCK = 1 << 18
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+SLICES = 64
 
 
 def with_position(
@@ -101,14 +103,20 @@ def newest_sample(
 ) -> DataFrame:
     """The ``size`` newest rows, or of each group; ``rank_name`` keeps their rank.
 
-    Without groups this is a top-k; with groups every task keeps at most
-    ``size`` rows per group before the shuffle, so a hot group stays small.
+    Without groups this is a top-k; with groups no task sees more than a few
+    times ``size`` rows of a group, so a hot group stays small.
     """
     order = [F.desc(time), F.col(key)]
     if not group:
         sample = df.orderBy(*order).limit(size)
         # At most ``size`` rows are ranked here.
         return sample.withColumn(rank_name, F.row_number().over(Window.orderBy(*order))) if rank_name else sample
+    if size > GROUP_LIMIT:
+        # Beyond this size Spark does not cut groups before the shuffle by
+        # itself. Each slice of a group gives up what cannot be in its newest.
+        part = F.pmod(F.xxhash64(key), F.lit(SLICES))
+        in_slice = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))
+        df = df.withColumn("_in_slice", in_slice).filter(F.col("_in_slice") <= size).drop("_in_slice")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     name = rank_name or "_rank"
     sample = df.withColumn(name, rank).filter(F.col(name) <= size)

@@ -92,6 +92,19 @@ def test_newest(reviews):
     assert {r.review_id for r in per_rating.collect()} == {1, 2, 3, 4, 5}
 
 
+def test_newest_of_large_groups(spark):
+    """A group with most rows, and a size above the optimizer's own limit."""
+    frame = spark.range(6000).select(
+        F.col("id").alias("review_id"), F.when(F.col("id") % 6 == 0, "rare").otherwise("hot").alias("product"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 7919 % 3000).cast("int"))).alias("created_at"),
+    )
+    kept = positions.newest_sample(frame, 1500, ["product"]).collect()
+    rows = frame.collect()
+    for product in ("rare", "hot"):
+        ordered = sorted((r for r in rows if r.product == product), key=lambda r: (-r.created_at.timestamp(), r.review_id))
+        assert {r.review_id for r in kept if r.product == product} == {r.review_id for r in ordered[:1500]}
+
+
 def test_read_csv(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('Ratings,Reviews,Other\n5,Good,x\n1,,y\n3,"two\nlines, ""quoted""",z\n,NA,z\n2, spaced ,z\n')
