@@ -103,7 +103,8 @@ def knn_retrieve(
 
     ``queries``: ``review_id, embedding``; ``examples``: ``neighbor_id,
     embedding, category``. Returns ``review_id, neighbor_id, category,
-    distance, neighbor_rank``. Runs a count of the examples up front.
+    distance, neighbor_rank``. Counts the examples right away; the way by cells
+    also gathers its pivots and one row of figures per cell.
     """
     vector_type = dict(queries.dtypes)["embedding"]
     known = F.col("embedding").isNotNull()
