@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, sentence_pieces, token_counts
+from . import decontamination, language_id, quality_classifier, quality_rules, sentence_pieces, token_counts
 from .common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,8 +46,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and whether the rules keep it."""
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and the longest prefix of at most 1024 tokens."""
     counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "within")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of documents that are not held out."""
+    scored, _ = quality_classifier.quality_classifier(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~held_out("id"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
