@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, quality_classifier, quality_rules, sentence_pieces, token_counts
-from .common import documents, held_out
+from . import decontamination, language_id, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
+from .common import documents, held_out, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "within")
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans, their digest, and all spans of every document."""
+    found = saved(personal_data.candidates(documents(spark, sf_dir), keep=("doc_id",)), "candidates")
+    model = personal_data.fit(found)
+    base = F.filter("candidates", lambda c: c["o"] < len(personal_data.BASE))
+    count = lambda k: F.size(F.filter("candidates", lambda c: c["o"] == k)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(personal_data.BASE)],
+        F.sha2(personal_data.listed(base), 256).alias("base_sha256"),
+        personal_data.listed(personal_data.kept_spans(model)).alias("spans"))
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of documents that are not held out."""
