@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
+from . import decontamination, language_id, ngram_join, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
 from .common import documents, held_out, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and the smallest document it is linked with."""
+    return ngram_join.shingle_components(documents(spark, sf_dir))[0]
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and the longest prefix of at most 1024 tokens."""
