@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
+from . import decontamination, language_id, licences, ngram_join, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
 from .common import documents, held_out, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_pieces", "ids", F.col("decoded").eqNullSafe(plain).alias("round_trip"))
 
 
+@query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line, paragraph or text that is like a licence template."""
+    return licences.licences(documents(spark, sf_dir))
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in a document: item, place and edits."""
