@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, licences, ngram_join, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
+from . import decontamination, language_id, licences, ngram_join, passages, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
 from .common import documents, held_out, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(documents(spark, sf_dir))
 
 
+@query
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that an earlier document has too."""
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in a document: item, place and edits."""
