@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,22 @@ def held_out(doc_id: Column | str) -> Column:
                                      else doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def in_tasks(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with the folder of this package on the workers' path.
+
+    That serves where all machines have the package in one place; elsewhere it
+    is sent with ``--py-files``.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [_ROOT])
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows, so that a task holds few texts as Python objects."""
     for batch in batches:

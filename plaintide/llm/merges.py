@@ -17,7 +17,7 @@ Whether two pieces stay apart is found by merging them once and remembered.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 #: Words and pairs a worker remembers before it starts anew, so that its memory is bounded.
 REMEMBERED = 300_000
@@ -26,16 +26,21 @@ REMEMBERED = 300_000
 class Lattice:
     """Encodes words over any alphabet whose slices can be looked up (``str`` or ``bytes``).
 
-    ``ids`` has the id of every piece; ``rank(a, b)`` the order of the merge of
-    two neighbouring pieces, smaller first, or None where they don't merge.
-    Symbols outside ``ids`` are pieces of their own, which never merge; their
-    ids are made by ``unknown``.
+    ``ids`` has the id of every piece, 0 or more; ``rank(a, b)`` the order of the
+    merge of two neighbouring pieces, smaller first, or None where they don't
+    merge. Symbols outside ``ids`` never merge, so what follows one begins anew.
     """
 
-    def __init__(self, ids: dict, rank: Callable, unknown: Callable[[Hashable], tuple[int, ...]]):
-        self.ids, self.rank, self.unknown = ids, rank, unknown
-        self.longest = max(map(len, ids), default=1)
-        self.apart: dict = {}
+    #: Stands for the start of a word, and for a symbol outside ``ids``.
+    START = -1
+
+    def __init__(self, ids: dict, rank: Callable):
+        self.ids, self.rank = ids, rank
+        self.longest: dict = {}  # longest piece with these last two symbols
+        for piece in ids:
+            if len(piece) > 1:
+                self.longest[piece[-2:]] = max(self.longest.get(piece[-2:], 1), len(piece))
+        self.apart: dict[int, bool] = {}
 
     def merged(self, word: Sequence) -> list:
         """The pieces of a short word, by merging."""
@@ -50,43 +55,49 @@ class Lattice:
         return parts
 
     def fits(self, before: Sequence, piece: Sequence) -> bool:
-        """Whether ``piece`` stays whole behind ``before`` (empty at the start of a word)."""
-        key = (before, piece)
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) >= REMEMBERED:
-                self.apart.clear()
-            known = self.apart[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return known
-
-    def fold(self, word: Sequence) -> tuple[list[int], list[int]]:
-        """Of every prefix of ``word`` (the empty one first): start of its last piece, number of pieces."""
-        ids, longest, apart = self.ids, self.longest, self.apart
-        last, starts, counts = [word[:0]], [0], [0]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if piece in ids or start == end - 1:
-                    before = last[start]
-                    known = apart.get((before, piece))
-                    if known or known is None and self.fits(before, piece):
-                        last.append(piece)
-                        starts.append(start)
-                        counts.append(counts[start] + 1)
+        """Whether ``piece`` stays whole behind the piece ``before`` (empty at a start)."""
+        return self.merged(before + piece) == ([before, piece] if before else [piece])
+
+    def folds(self, words: Iterable[Sequence]) -> Iterator[tuple[Sequence, list[int], list[int], list[int]]]:
+        """Each word with, for every prefix (the empty one first), its last piece's id and start, and its number of pieces.
+
+        The fold goes on from the prefix that a word shares with the one before
+        it, so sorted words cost least. The lists are only good until the next word.
+        """
+        get, longest, apart = self.ids.get, self.longest.get, self.apart
+        if len(apart) >= REMEMBERED:
+            apart.clear()
+        last, starts, counts, before = [self.START], [0], [0], None
+        for word in words:
+            shared = 0
+            if before is not None:
+                for a, b in zip(before, word):
+                    if a != b:
                         break
-        return starts, counts
-
-    def pieces(self, word: Sequence) -> list:
-        starts, _ = self.fold(word)
-        out, end = [], len(word)
-        while end:
-            out.append(word[starts[end]:end])
-            end = starts[end]
-        return out[::-1]
-
-    def encode(self, word: Sequence) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self.pieces(word):
-            known = self.ids.get(piece)
-            out.extend(self.unknown(piece) if known is None else (known,))
-        return tuple(out)
+                    shared += 1
+            del last[shared + 1:], starts[shared + 1:], counts[shared + 1:]
+            before = word
+            for end in range(shared + 1, len(word) + 1):
+                size = longest(word[end - 2:end], 1) if end > 1 else 1
+                for start in range(end - size if end > size else 0, end):
+                    piece = get(word[start:end], -1)
+                    if piece >= 0:
+                        previous = last[start]
+                        key = (previous << 24) + piece
+                        known = apart.get(key)
+                        if known is None:
+                            behind = word[starts[start]:start] if previous >= 0 else word[:0]
+                            known = apart[key] = self.fits(behind, word[start:end])
+                        if not known:
+                            continue
+                    elif start < end - 1:
+                        continue
+                    last.append(piece)
+                    starts.append(start)
+                    counts.append(counts[start] + 1)
+                    break
+            yield word, last, starts, counts
+
+    def counts(self, word: Sequence) -> list[int]:
+        """The number of pieces of every prefix of a word."""
+        return next(self.folds([word]))[3]

@@ -19,6 +19,7 @@ the text, once for each different word; see README for figures.
 
 from __future__ import annotations
 
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import in_tasks, slices
 from .merges import REMEMBERED, Lattice
 
 MARK = "▁"
@@ -46,42 +47,67 @@ class Pieces:
         self.control = {i for i in every if table.is_control(i) or table.is_unknown(i)}
         ids = {self.names[i]: i for i in every if i not in self.control and i not in self.codes and not table.is_unused(i)}
         order = {name: -table.get_score(i) for name, i in ids.items()}
-        unknown = table.unk_id()
-        by_bytes = len(self.bytes) == 256
-        self.lattice = Lattice(ids, lambda a, b: order.get(a + b),
-                               lambda s: tuple(self.bytes[b] for b in s.encode()) if by_bytes else (unknown,))
-        mixed = any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in ids)
-        self.words = regex.compile(r"(?s).+" if mixed else rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            ids = self.known[word] = self.lattice.encode(word)
-        return ids
+        self.unknown = table.unk_id()
+        self.lattice = Lattice(ids, lambda a, b: order.get(a + b))
+        self.words = regex.compile(self._pattern(ids))
+        self.known: dict[str, bytes] = {}
+        # What each id alone decodes to; bytes beyond ASCII only mean something together.
+        plain = ["" if i in self.control else chr(c) if (c := self.codes.get(i, 128)) < 128 else self.names[i].replace(MARK, " ") for i in every]
+        self.plain = np.array(plain, object)
+        self.hard = np.array([self.codes.get(i, 0) >= 128 for i in every])
+
+    @staticmethod
+    def _pattern(ids: dict[str, int]) -> str:
+        """Parts of a text that no piece reaches across, as far as this vocabulary allows."""
+        letter = r"\p{L}\p{M}"
+        if any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in ids):
+            return r"(?s).+"
+        kinds = regex.compile(rf"[{letter}][^{letter}]|[^{letter}][{letter}]")
+        if any(kinds.search(p.lstrip(MARK)) for p in ids):
+            return rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
+        return rf"{MARK}+(?:[{letter}]+|[^{letter}{MARK}\n]*)|[{letter}]+|[^{letter}{MARK}\n]+|\n"
+
+    def _ids(self, word: str, last: list[int], starts: list[int]) -> bytes:
+        out, end = [], len(word)
+        while end:
+            if last[end] >= 0:
+                out.append(last[end])
+            elif len(self.bytes) == 256:
+                out += [self.bytes[b] for b in reversed(word[end - 1].encode())]
+            else:
+                out.append(self.unknown)
+            end = starts[end]
+        return array("i", out[::-1]).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; every different word is folded once."""
+        known = self.known
+        if len(known) >= REMEMBERED:
+            known.clear()
+        rows = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        fresh = set(chain.from_iterable(rows)).difference(known)
+        for word, last, starts, _ in self.lattice.folds(sorted(fresh)):
+            known[word] = self._ids(word, last, starts)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in rows]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        known = self.known
-        words = self.words.findall(MARK + text.replace(" ", MARK))
-        return list(chain.from_iterable([known[w] if w in known else self.word(w) for w in words]))
-
-    def decode(self, ids: list[int]) -> str:
-        out, pending = [], bytearray()
-        for i in ids:
-            if i in self.codes:
-                pending.append(self.codes[i])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            if i not in self.control:
-                out.append(self.names[i])
-        out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        return self.encode_all([text])[0].tolist()
+
+    def decode(self, ids: np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        if not self.hard[ids].any():
+            text = "".join(self.plain[ids].tolist())
+        else:
+            out, pending = [], bytearray()
+            for i in ids.tolist():
+                if i in self.codes:
+                    pending.append(self.codes[i])
+                    continue
+                if pending:
+                    out.append(pending.decode("utf-8", "replace"))
+                    pending.clear()
+                out.append(self.plain[i])
+            text = "".join(out) + pending.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -114,14 +140,16 @@ def encode(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str =
     def run(batches):
         pieces = _pieces(shared)
         for batch in slices(batches):
-            rows = [None if t is None else np.fromiter(pieces.encode(t), np.int32) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(rows, pa.list_(pa.int32())),
-                 pa.array([0 if r is None else len(r) for r in rows], pa.int64())], names=[*columns, "ids", "n_pieces"])
+            texts = batch.column(0).to_pylist()
+            rows = pieces.encode_all(texts)
+            sizes = [len(r) for r in rows]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, pa.array(sizes, pa.int64())], names=[*columns, "ids", "n_pieces"])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     source = df.select(df[text_col].alias("__text"), *columns)
-    return source.mapInArrow(run, f"{fields}, ids array<int>, n_pieces bigint")
+    return in_tasks(source, run, f"{fields}, ids array<int>, n_pieces bigint")
 
 
 def decode(df: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "text",
@@ -138,9 +166,9 @@ def decode(df: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: str =
     def run(batches):
         pieces = _pieces(shared)
         for batch in slices(batches):
-            texts = [None if r is None else pieces.decode(r) for r in batch.column(0).to_pylist()]
+            texts = [pieces.decode(r.values.to_numpy(zero_copy_only=False)) if r.is_valid else None for r in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*columns, out_col])
 
     columns = [id_col, *keep]
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(df[ids_col].alias("__ids"), *columns).mapInArrow(run, f"{fields}, `{out_col}` string")
+    return in_tasks(df.select(df[ids_col].alias("__ids"), *columns), run, f"{fields}, `{out_col}` string")

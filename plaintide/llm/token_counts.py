@@ -15,13 +15,13 @@ tokenizer gives for that prefix alone.
 from __future__ import annotations
 
 import json
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import in_tasks, slices
 from .merges import REMEMBERED, Lattice
 
 # The blanks and the word pattern of byte-level BPE vocabularies.
@@ -48,35 +48,38 @@ class ByteCounter:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         ids = {raw(p): i for p, i in model["vocab"].items() if p not in self.specials}
-        self.lattice = Lattice(ids, lambda a, b: ranks.get((a, b)), lambda symbol: ())
+        self.lattice = Lattice(ids, lambda a, b: ranks.get((a, b)))
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) \
             if self.specials else None
         self.known: dict[str, int] = {}
 
-    def count(self, word: str) -> int:
-        """Tokens of one word of the pattern."""
-        n = self.known.get(word)
-        if n is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            n = self.known[word] = self.lattice.fold(word.encode())[1][-1]
-        return n
-
-    def cut(self, text: str) -> tuple[list[str], list[int]]:
-        """The words of a text, special strings among them, and the tokens of each."""
+    def split(self, text: str) -> list[str]:
+        """The words of a text, special strings among them."""
         if self.special is None or not any(s in text for s in self.specials):
-            words = self.words.findall(text)
-            known = self.known
-            return words, [known[w] if w in known else self.count(w) for w in words]
-        words, counts, at = [], [], 0
+            return self.words.findall(text)
+        words, at = [], 0
         for m in self.special.finditer(text):
-            more = self.words.findall(text[at:m.start()])
-            words += [*more, m.group()]
-            counts += [*map(self.count, more), 1]
+            words += [*self.words.findall(text[at:m.start()]), m.group()]
             at = m.end()
-        more = self.words.findall(text[at:])
-        return words + more, counts + [*map(self.count, more)]
+        return words + self.words.findall(text[at:])
+
+    def cut_all(self, texts: list[str]) -> list[tuple[list[str], list[int]]]:
+        """For each text its words and the tokens of each; every different word is folded once."""
+        known = self.known
+        if len(known) >= REMEMBERED:
+            known.clear()
+        rows = [self.split(t) for t in texts]
+        fresh = {w.encode(): w for w in set(chain.from_iterable(rows)).difference(known)}
+        for special in self.specials:
+            known[special] = 1
+            fresh.pop(special.encode(), None)
+        for raw, _, _, counts in self.lattice.folds(sorted(fresh)):
+            known[fresh[raw]] = counts[-1]
+        return [(words, list(map(known.__getitem__, words))) for words in rows]
+
+    def cut(self, text: str) -> tuple[list[str], list[int]]:
+        return self.cut_all([text])[0]
 
     def total(self, text: str) -> int:
         return sum(self.cut(text)[1])
@@ -118,7 +121,7 @@ class ByteCounter:
             counts = [self.total(text[ends[first]:start + n]) for n in range(1, len(word) + 1)]
         else:
             # Letters, numbers or signs: the word's prefixes are words too, and what stands before stays as it is.
-            folded = self.lattice.fold(word.encode())[1]
+            folded = self.lattice.counts(word.encode())
             sizes = list(accumulate(len(c.encode()) for c in word))
             counts = [sums[i] - sums[first] + folded[b] for b in sizes]
             if word[0] == " ":
@@ -161,7 +164,7 @@ def token_counts(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
         counter = _counter(shared)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = [counter.cut(t) for t in texts]
+            rows = counter.cut_all(texts)
             totals = [sum(c) for _, c in rows]
             out = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(totals, pa.int64()),
                    pa.array([counter.within(t, budget) if n > budget else len(t) for t, n in zip(texts, totals)], pa.int64())]
@@ -176,4 +179,4 @@ def token_counts(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, within bigint"
     if prefixes:
         schema += ", ends array<int>, counts array<int>"
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return in_tasks(df.select(id_col, text_col), run, schema)
