@@ -32,8 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     they are. Each copy of a row is judged alike.
     """
     fitted = language_id.train(docs, PIECES)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = language_id.predict(docs.select("doc_id", *others), fitted, keep=others)
+    found = language_id.predict(docs, fitted, keep=tuple(c for c in COLUMNS if c != "doc_id"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import in_tasks, slices
 
 #: Characters of benchmark text in one broadcast; more are handled block by block.
 BLOCK_CHARACTERS = 500_000
@@ -217,8 +217,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_c
     shorter than ``q``. A leak has ``item_id``, ``start`` and ``end`` (code
     points, end exclusive) and ``distance``. Null and empty texts have none, nor
     has anything when the benchmark is empty; null items and those without a
-    letter or digit are found nowhere. Copies of a row each give a row, copies
-    of an item each a leak.
+    letter or digit are found nowhere. Copies of a row each give a row;
+    copies of an item, with the same id and text, count once.
     """
     kind = benchmark.schema[item_col].dataType
     one = T.StructType().add("item_id", kind).add("start", T.LongType()).add("end", T.LongType()).add("distance", T.IntegerType())
@@ -246,5 +246,5 @@ def leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:-1], pa.array(rows, batch.schema.field(batch.num_columns - 1).type)], schema=batch.schema)
 
-        source = source.mapInArrow(run, schema)
+        source = in_tasks(source, run, schema)
     return source.select(*columns, F.coalesce("__leaks", F.array().cast(T.ArrayType(one))).alias("leaks"))

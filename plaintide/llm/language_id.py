@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import in_tasks, saved, slices
 
 MARK = "▁"
 LONGEST = 48
@@ -171,7 +171,7 @@ def train(df: DataFrame, model: str, *, text_col: str = "text", lang_col: str =
 
         found: dict[str, dict[str, float]] = {n: {} for n in languages}
         # At most one row for each piece of the fixed vocabulary and language.
-        totals = counted.mapInArrow(gather, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        totals = in_tasks(counted, gather, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         for r in totals.collect():
             found[r.lang][r.piece] = r.n
         whole = {n: sum(c.values()) + SMOOTHING * len(pieces) for n, c in found.items()}
@@ -207,4 +207,4 @@ def predict(df: DataFrame, fitted: Unigrams, *, id_col: str = "doc_id", text_col
                 names=[*columns, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(F.col(text_col).alias("__text"), *columns).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return in_tasks(df.select(F.col(text_col).alias("__text"), *columns), run, f"{fields}, lang_pred string, score double")
