@@ -45,15 +45,17 @@ DISPLAY_LABELS = {
 }
 
 # Words left out of keyword mining.
-STOPWORDS = """
-the a an is are was were be been being have has had do does did will would could
-should may might must shall can need dare ought used to of in for on with at by
-from as into through during before after above below between under again further
-then once here there when where why how all each few more most other some such no
-nor not only own same so than too very just and but if or because until while this
-that these those am it its i me my myself we our you your he him his she her they
-them what which who whom also get got like even
-""".split()
+STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare",
+    "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through",
+    "during", "before", "after", "above", "below", "between", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "and", "but",
+    "if", "or", "because", "until", "while", "this", "that", "these", "those", "am", "it", "its", "i", "me",
+    "my", "myself", "we", "our", "you", "your", "he", "him", "his", "she", "her", "they", "them", "what",
+    "which", "who", "whom", "also", "get", "got", "like", "even",
+]
 
 # Lines of a captured page that are not review text.
 PAGE_SKIP_WORDS = ["작성", "구매", "옵션", "판매자", "신고"]

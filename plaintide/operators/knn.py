@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
@@ -56,9 +56,10 @@ def _nearest(q_ids, q, c_ids, c, k: int, skip_self: bool):
         rough = norm[:, None] + c_norm[None, :] - 2.0 * (part @ c.T)
         if skip_self:
             rough[ids[:, None] == c_ids[None, :]] = np.inf
-        limit = np.partition(rough, kth, axis=1)[:, kth]
-        slack = 1e-9 * (norm + c_norm.max() + 1.0)
-        near = (rough <= (limit + slack)[:, None]) & np.isfinite(rough)
+        # Each pair has its own rounding error: a single very long vector must not widen all others.
+        slack = 1e-9 * (norm[:, None] + c_norm[None, :] + 1.0)
+        limit = np.partition(rough + slack, kth, axis=1)[:, kth]
+        near = (rough - slack <= limit[:, None]) & np.isfinite(rough)
         # Many copies of one vector are all near; take fewer rows at a time then.
         sizes = near.sum(axis=1).cumsum()
         cuts = np.flatnonzero(np.diff(sizes // EXACT_PAIRS)) + 1
@@ -91,6 +92,17 @@ def _schema(label_type: str) -> str:
     return f"review_id bigint, neighbor_id bigint, category {label_type}, distance double, neighbor_rank int"
 
 
+def usable_vector(name: str = "embedding") -> Column:
+    """False for a missing vector and one with a missing, infinite or undefined number, which is near nothing."""
+    finite = F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(name).isNotNull() & F.coalesce(finite, F.lit(False))
+
+
+def skipped_vectors(df: DataFrame, name: str = "embedding") -> DataFrame:
+    """One row: vectors in all, and those that ``knn_retrieve`` leaves out."""
+    return df.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(~usable_vector(name)).alias("skipped"))
+
+
 def knn_retrieve(
     queries: DataFrame,
     examples: DataFrame,
@@ -103,11 +115,12 @@ def knn_retrieve(
 
     ``queries``: ``review_id, embedding``; ``examples``: ``neighbor_id,
     embedding, category``. Returns ``review_id, neighbor_id, category,
-    distance, neighbor_rank``. Counts the examples right away; the way by cells
+    distance, neighbor_rank``. Vectors that are not usable are left out on both
+    sides; ``skipped_vectors`` counts them. Counts the examples right away; the way by cells
     also gathers its pivots and one row of figures per cell.
     """
     vector_type = dict(queries.dtypes)["embedding"]
-    known = F.col("embedding").isNotNull()
+    known = usable_vector()
     queries = queries.filter(known).select(F.col("review_id").cast("bigint"), "embedding")
     examples = examples.filter(known).select(F.col("neighbor_id").cast("bigint"), "embedding", "category")
     size = examples.agg(

@@ -37,23 +37,25 @@ def with_position(
 
 
 def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """0-based position of each row of a file scan, in scan order.
+    """0-based position of each row of a file scan: by file path, then by place in the file.
 
-    The task number and the row number inside the task are fixed by the file
-    splits, so a recomputed task yields the same positions. Only one count per
-    task is brought together.
+    ``df`` is a scan, or columns of one. How the scan packs files into tasks
+    makes no difference: rows are counted inside their block of a file, which
+    one task reads in order, and shifted by the rows of all earlier blocks. Only
+    one row for each block is brought together.
     """
-    row_id = F.monotonically_increasing_id()
-    tagged = df.withColumns({"_task": F.spark_partition_id(), "_row": row_id.bitwiseAND((1 << 33) - 1)})
-    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    block = ["_path", "_start"]
+    row = F.monotonically_increasing_id()
+    tagged = df.withColumns({"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_row": row})
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        tagged.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+        .select(*block, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
     return (
-        tagged.join(offsets, "_task")
-        .withColumn(name, F.col("_offset") + F.col("_row"))
-        .drop("_task", "_row", "_offset")
+        tagged.join(offsets, block)
+        .withColumn(name, F.col("_offset") + F.col("_row") - F.col("_first"))
+        .drop(*block, "_row", "_first", "_offset")
     )
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.answers import json_of
 from ..functions.arrays import unnest
 
-CATEGORIES = "categories array<struct<review_number: int, category: string, brief_issue: string>>"
+# Every field is read as text first: one odd value must not lose the whole answer.
+CATEGORIES = "categories array<struct<review_number: string, category: string, brief_issue: string>>"
 REPLY = "reply: string, tone: string, key_points_addressed: array<string>, suggested_action: string"
 SINGLE = "category string, confidence double, reasoning string"
 STRICT = {"allowSingleQuotes": "false"}
@@ -30,10 +31,16 @@ def _others(df: DataFrame, answer: str) -> list[str]:
     return [name for name in df.columns if name != answer]
 
 
+def _whole(text: Column) -> Column:
+    """A number in any spelling (2, "2", 2.0) as int, null if it isn't a whole one."""
+    number = text.try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
 def ingest_model_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """One row per categorized review; adds the number, category, issue and position."""
     items = unnest(df, _others(df, answer), _parsed(CATEGORIES, answer)["categories"], "item_pos", "_item")
-    return items.select("*", "_item.*").drop("_item")
+    return items.select("*", "_item.*").drop("_item").withColumn("review_number", _whole(F.col("review_number")))
 
 
 def quarantine(df: DataFrame, answer: str = "answer") -> DataFrame:
@@ -41,12 +48,23 @@ def quarantine(df: DataFrame, answer: str = "answer") -> DataFrame:
     return with_json(df, answer).filter(F.col("answer_json").isNull()).drop("answer_json")
 
 
+def quarantine_with_reason(df: DataFrame, field: str = "categories", answer: str = "answer") -> DataFrame:
+    """Answers that give no row, and why: ``no_json``, ``no_array`` (no array of that name) or ``empty_array``.
+
+    Each answer either gives rows in the reader of ``field`` or is listed here.
+    """
+    items = F.from_json(json_of(F.col(answer)), f"`{field}` array<struct<_any: string>>", STRICT)[field]
+    sized = with_json(df, answer, "_json").withColumn("_items", F.size(items))
+    reason = F.when(F.col("_json").isNull(), "no_json").when(F.coalesce("_items", F.lit(-1)) < 0, "no_array").when(F.col("_items") == 0, "empty_array")
+    return sized.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_json", "_items")
+
+
 def ingest_reply_responses(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Replies of batch answers; the index is shifted by ``chunk_start``, missing counts as 1."""
-    schema = f"replies array<struct<review_index: int, {REPLY}>>"
+    schema = f"replies array<struct<review_index: string, {REPLY}>>"
     return (
         unnest(df, _others(df, answer), _parsed(schema, answer)["replies"], "_pos", "_reply")
-        .withColumn("review_index", F.col("chunk_start") + F.coalesce(F.col("_reply.review_index"), F.lit(1)))
+        .withColumn("review_index", F.col("chunk_start") + F.coalesce(_whole(F.col("_reply.review_index")), F.lit(1)))
         .select("*", *[f"_reply.{c}" for c in ("reply", "tone", "key_points_addressed", "suggested_action")])
         .drop("_reply", "_pos")
     )

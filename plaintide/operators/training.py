@@ -42,28 +42,33 @@ def sample_for_labeling(df: DataFrame, size: int = 100, seed: int = 42, key: str
 
 
 def train_valid_split(
-    df: DataFrame, valid_share: float = 0.2, seed: int = 42, text: str = "review_text"
+    df: DataFrame, valid_share: float = 0.2, seed: int = 42, text: str = "review_text", tie: str = "review_id"
 ) -> DataFrame:
     """Adds ``part``: exactly ``int(n * (1 - valid_share))`` rows of ``train``.
 
-    ``text`` has to be unique. In place of sorting the table, the key of the
-    last training row is found by counting: first per 4-digit prefix of the
-    key, then per 8-digit prefix inside the one that holds the cut, then among
-    the few keys of that. The split itself is a comparison per row.
+    Equal texts are told apart by ``tie``, a unique column; without it ``text``
+    has to be unique. In place of sorting the table, the key of the last
+    training row is found by counting: first per 4-digit prefix of the key, then
+    per longer prefix inside the one that holds the cut, then among the few keys
+    of that. The split itself is a comparison per row.
     """
-    keyed = df.withColumn("_key", shuffle_key(F.col(text), seed))
+    key, digits = shuffle_key(F.col(text), seed), [4, 8]
+    if tie in df.columns:
+        # The second half of the key is hashed too, so copies of one text spread over its prefixes.
+        key, digits = F.concat(key, F.md5(F.col(tie).cast("string").cast("binary")), F.col(tie).cast("string")), [4, 8, 36, 40]
+    keyed = df.withColumn("_key", key)
     keys = keyed.select("_key")
-    first = keys.groupBy(F.substring("_key", 1, 4).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
     total = F.sum("_n").over(Window.partitionBy())
-    first = first.withColumns({
+    counts = keys.groupBy(F.substring("_key", 1, digits[0]).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")).withColumns({
         "_cut": F.floor(total * F.lit(1 - valid_share)), "_before": F.lit(0).cast("bigint"),
     })
-    second = (
-        _keys_at_cut(keys, first, 4)
-        .groupBy(F.substring("_key", 1, 8).alias("_prefix"), "_cut", "_before")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    last = _keys_at_cut(keys, second, 8).withColumn("_rank", F.row_number().over(Window.orderBy("_key")))
+    for shorter, longer in zip(digits, digits[1:]):
+        counts = (
+            _keys_at_cut(keys, counts, shorter)
+            .groupBy(F.substring("_key", 1, longer).alias("_prefix"), "_cut", "_before")
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+    last = _keys_at_cut(keys, counts, digits[-1]).withColumn("_rank", F.row_number().over(Window.orderBy("_key")))
     last_key = last.filter(F.col("_rank") <= F.col("_cut") - F.col("_before")).agg(F.max("_key")).scalar()
     is_train = F.coalesce(F.col("_key") <= last_key, F.lit(False))
     return keyed.withColumn("part", F.when(is_train, "train").otherwise("valid")).drop("_key")

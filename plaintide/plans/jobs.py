@@ -25,14 +25,12 @@ def analyze_reviews(
 ) -> dict[str, DataFrame]:
     """The full analysis of reviews without labels, labeled by word rules.
 
-    Only negative reviews are labeled. The labels are written once, without the
-    texts, and every part reads them from there.
+    Only negative reviews are labeled. The labels are written once, with the
+    whole text as the issue, and every part reads them from there.
     """
     labels = label_by_rules(filter_negative(reviews, threshold), rules).select(
         "review_id", "rating", "created_at", "category", F.col("review_text").alias("brief_issue")
     )
-    # A brief issue is shown for a few reviews; a sentence of it will do.
-    labels = labels.withColumn("brief_issue", F.substring("brief_issue", 1, 200))
     return full_analysis(reviews, cut_lineage(labels), threshold, as_of=as_of, **options)
 
 

@@ -25,7 +25,7 @@ def test_length(spark, text, points):
     assert score(spark, (3.0, text, None))[0].length_score == points
 
 
-@pytest.mark.parametrize("text, points", [("환불해주세요 제품이 불량입니다", 25), ("배송이 너무 늦었어요 실망입니다", 15), ("별로였어요", 5)])
+@pytest.mark.parametrize("text, points", [("바로 환불 원해요", 25), ("조금 실망했어요", 15), ("그냥 그래요", 5)])
 def test_keywords(spark, text, points):
     assert score(spark, (3.0, text, None))[0].keyword_score == points
 
@@ -47,7 +47,7 @@ def test_recency_of_odd_values(spark):
 
 
 def test_levels(spark):
-    high, low = score(spark, (1.0, "환불 요청합니다. " + "불량 제품을 받았습니다. " * 20, NOW.isoformat()), (3.0, "별로", None))
+    high, low = score(spark, (1.0, "환불 부탁드려요 " + "전원이 켜지지 않고 소리만 나요 " * 13, NOW.isoformat()), (3.0, "그저 그럼", None))
     assert high.level == "critical" and high.score >= 80
     assert low.level == "low" and low.score < 40
     assert all(r.score == r.rating_score + r.length_score + r.keyword_score + r.recency_score for r in (high, low))
@@ -61,7 +61,7 @@ def test_empty_record(spark):
 
 
 def test_all_rows_kept_and_sorted(spark):
-    frame = spark.createDataFrame([(1, 3.0, "괜찮아요", None), (2, 1.0, "환불 요청합니다 불량 제품", None), (3, 2.0, "실망입니다", None)], SCHEMA)
+    frame = spark.createDataFrame([(1, 3.0, "쓸 만해요", None), (2, 1.0, "환불 바랍니다", None), (3, 2.0, "실망했어요", None)], SCHEMA)
     top = priority.priority_top(priority.with_priority(frame, as_of=NOW))
     assert [r.review_id for r in top.collect()] == [2, 3, 1]
 

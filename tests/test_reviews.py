@@ -27,9 +27,9 @@ def test_two_negative_rules(spark):
 
 def test_periods(reviews):
     split = periods.split_by_period(reviews).collect()
-    assert {r.review_id for r in split if r.period == "recent"} == {1, 2, 3, 4, 5, 6}
-    assert {r.review_id for r in split if r.period == "comparison"} == {7, 8, 9, 10}
-    fixed = periods.split_by_period(reviews, as_of="2024-06-01").collect()
+    assert {r.review_id for r in split if r.period == "recent"} == set(range(101, 107))
+    assert {r.review_id for r in split if r.period == "comparison"} == set(range(107, 111))
+    fixed = periods.split_by_period(reviews, as_of="2024-05-20").collect()
     assert sorted(fixed) == sorted(split)
 
 
@@ -37,12 +37,12 @@ def test_full_analysis(spark, reviews):
     from plaintide.plans.composites import full_analysis
 
     labeled = reviews.withColumns({"category": F.lit("poor_quality"), "brief_issue": F.col("review_text")})
-    parts = full_analysis(labeled, as_of="2024-06-01")
+    parts = full_analysis(labeled, as_of="2024-05-20")
     assert parts["stats"].first().negative_reviews == 6
     assert [(r.category, r.n) for r in parts["top_issues"].collect()] == [("poor_quality", 4)]
     assert [r.increase_rate for r in parts["emerging_issues"].collect()] == [100.0]
-    assert [r.review_id for r in parts["priority_reviews"].collect()][:2] == [1, 6]
-    none = full_analysis(labeled.filter("rating > 3"), as_of="2024-06-01")
+    assert [r.review_id for r in parts["priority_reviews"].collect()][:2] == [103, 106]
+    none = full_analysis(labeled.filter("rating > 3"), as_of="2024-05-20")
     counts = {name: part.count() for name, part in none.items()}
     assert counts == {"stats": 1, "rating_distribution": 2, "top_issues": 0, "all_categories": 0,
                       "emerging_issues": 0, "priority_reviews": 0}
@@ -87,9 +87,9 @@ def test_chunks(spark):
 
 
 def test_newest(reviews):
-    assert [r.review_id for r in positions.newest_first(reviews).limit(3).collect()] == [1, 2, 3]
+    assert [r.review_id for r in positions.newest_first(reviews).limit(3).collect()] == [101, 102, 103]
     per_rating = positions.newest_sample(reviews, 1, ["rating"])
-    assert {r.review_id for r in per_rating.collect()} == {1, 2, 3, 4, 5}
+    assert {r.review_id for r in per_rating.collect()} == set(range(101, 106))
 
 
 def test_newest_of_large_groups(spark):
@@ -122,6 +122,27 @@ def test_read_many_files(spark, tmp_path):
     assert {r.review_text for r in rows} == {str(i) for i in range(1000)}
 
 
+def test_files_are_read_in_order_of_path(spark, tmp_path):
+    """Files of very unequal size, which a scan packs into tasks by size."""
+    folder, want = tmp_path / "unequal", []
+    folder.mkdir()
+    for name, rows in (("a", 3), ("b", 4000), ("c", 1), ("d", 900), ("e", 2)):
+        texts = [f"{name}{i} " + "x" * (i % 50) for i in range(rows)]
+        want += texts
+        (folder / f"{name}.csv").write_text("Ratings,Reviews\n" + "".join(f"3,{t}\n" for t in texts))
+    rows = tables.read_reviews_csv(spark, str(folder), AS_OF).orderBy("review_id").collect()
+    assert [r.review_id for r in rows] == list(range(1, len(want) + 1))
+    assert [r.review_text.strip() for r in rows] == [t.strip() for t in want]
+
+
+def test_split_of_repeated_texts(spark):
+    rows = [(i, "the same text" if i % 2 else f"text {i}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "review_id bigint, review_text string").repartition(5)
+    split = training.train_valid_split(frame)
+    assert {r.part: r.n for r in split.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"train": 80, "valid": 20}
+    assert sorted(split.collect()) == sorted(training.train_valid_split(frame.repartition(2)).collect())
+
+
 def test_labeled_csv_round_trip(spark, reviews, tmp_path):
     sample = training.sample_for_labeling(reviews)
     filled = sample.withColumn("manual_label", F.when(F.col("rating") < 4, " Other ").otherwise(""))
