@@ -10,6 +10,13 @@ from ..functions.numbers import percent
 from ..functions.vocabulary import DISPLAY_LABELS
 
 
+def newest_first_order(df: DataFrame, name: str, time: str = "created_at", key: str = "review_id") -> DataFrame:
+    """Adds a column to order by: the newest item first, of equal times the smallest key; no time comes last."""
+    # Microseconds as a number: what orders descending becomes one ascending value.
+    age = F.coalesce(-F.unix_micros(F.col(time).cast("timestamp")), F.lit((1 << 63) - 1))
+    return df.withColumn(name, F.struct(age.alias("age"), F.col(key).alias("key")))
+
+
 def category_counts(df: DataFrame, order: str = "review_number") -> DataFrame:
     """Items per category and the first position of each, for ties."""
     return df.groupBy("category").agg(

@@ -88,6 +88,33 @@ def _(spark, folder):
     return responses.quarantine(fx.f_vote_answers(spark, folder))
 
 
+@query("response_quarantine_shapes", with_fixtures("f_ord", """
+SELECT review_id, CASE review_id % 7 WHEN 1 THEN 'no_array' WHEN 2 THEN 'no_array' WHEN 3 THEN 'empty_array' ELSE 'no_json' END AS reason
+FROM f_ord WHERE review_id % 7 BETWEEN 1 AND 4"""))
+def _(spark, folder):
+    """Answers in many shapes; those that give rows are in ``ingest_odd_responses``."""
+    return responses.quarantine_with_reason(_odd_answers(spark, folder)).select("review_id", "reason")
+
+
+@query("ingest_odd_responses", with_fixtures("f_ord", """
+SELECT review_id, CAST(review_id % 7 AS INTEGER) AS review_number, category FROM f_ord WHERE review_id % 7 NOT BETWEEN 1 AND 4"""))
+def _(spark, folder):
+    """Numbers as numbers, in quotes and with a decimal point."""
+    return responses.ingest_model_responses(_odd_answers(spark, folder)).select("review_id", "review_number", "category")
+
+
+def _odd_answers(spark, folder):
+    kind = F.col("review_id") % 7
+    number = F.when(kind == 0, F.lit('"0"')).when(kind == 5, F.lit("5.0")).otherwise(kind.cast("string"))
+    item = F.concat(F.lit('{"review_number": '), number, F.lit(', "category": "'), "category", F.lit('"}'))
+    answer = (
+        F.when(kind == 1, F.concat(F.lit('{"categories": '), item, F.lit("}"))).when(kind == 2, F.concat(F.lit("["), item, F.lit("]")))
+        .when(kind == 3, F.lit('{"categories": []}')).when(kind == 4, F.concat(F.lit("Sorry, "), "category"))
+        .otherwise(F.concat(F.lit('{"categories": ['), item, F.lit("]}")))
+    )
+    return fx.f_ord(spark, folder).select("review_id", answer.alias("answer"))
+
+
 @query("ingest_reply_responses", with_fixtures("f_doc", """
 SELECT review_id // 10 AS batch, review_id // 10 * 10 AS chunk_start,
        review_id // 10 * 10 + CASE WHEN lang = 'de' THEN 1 ELSE review_id % 10 + 1 END AS review_index,
@@ -228,7 +255,19 @@ SELECT review_id, created_at, CASE rating WHEN 1 THEN 40 WHEN 2 THEN 25 ELSE 10
 FROM neg_ord"""
 
 
-@query("full_analysis", with_fixtures(f"{_EMERGING} ord_score", _FULL.format(all="f_ord") + """
+# The analysis looks at reviews from the newest on: so do its examples and ties.
+_NEWEST = "struct_pack(a := -epoch_us(created_at), k := review_id)"
+for _name in ("cnt", "ranked", "compared"):
+    fx.SQL[f"n_{_name}"] = fx.SQL[_name].replace("min(review_id)", f"min({_NEWEST})").replace("ORDER BY review_id", "ORDER BY created_at DESC, review_id")
+fx.SQL["n_top3"] = fx.SQL["top3"].replace("cnt", "n_cnt")
+fx.SQL["n_surge"] = fx.SQL["surge"].replace("compared", "n_compared")
+fx.SQL["n_emerging"] = fx.SQL["emerging"].replace("FROM surge", "FROM n_surge")
+_ORD_FULL = _FULL.format(all="f_ord")
+for _name in ("top3", "ranked", "cnt", "emerging"):
+    _ORD_FULL = _ORD_FULL.replace(f"FROM {_name}", f"FROM n_{_name}").replace(f"JOIN {_name}", f"JOIN n_{_name}")
+
+
+@query("full_analysis", with_fixtures(f"{ORD} n_cnt n_top3 n_ranked n_compared n_surge n_emerging ord_score", _ORD_FULL + """
 UNION ALL SELECT 'priority', name, detail, value FROM (
   SELECT CAST(review_id AS VARCHAR) AS name,
          CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS detail,
@@ -250,7 +289,7 @@ fx.SQL["t_doc"] = "SELECT f_doc.*, category, lang || ' ' || source AS brief_issu
 fx.SQL["t_neg"] = "SELECT * FROM t_doc WHERE rating <= 3"
 fx.SQL["t_per"] = fx.SQL["per_doc"].replace("neg_doc", "t_neg")
 for _name in ("cnt", "ranked", "compared"):
-    fx.SQL[f"t_{_name}"] = fx.SQL[_name].replace("per_ord", "t_per")
+    fx.SQL[f"t_{_name}"] = fx.SQL[f"n_{_name}"].replace("per_ord", "t_per")
 fx.SQL["t_top3"] = fx.SQL["top3"].replace("cnt", "t_cnt")
 fx.SQL["t_surge"] = fx.SQL["surge"].replace("compared", "t_compared")
 fx.SQL["t_emerging"] = fx.SQL["emerging"].replace("FROM surge", "FROM t_surge")

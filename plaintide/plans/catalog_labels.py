@@ -392,6 +392,27 @@ def _(spark, folder):
     return near.withColumn("distance", F.bround("distance", 6))
 
 
+@query("knn_retrieve_with_bad_vectors", """
+WITH usable AS (SELECT * FROM embeddings WHERE vec_id % 5 > 1), near AS (
+  SELECT q.vec_id AS review_id, c.vec_id AS neighbor_id, CAST(c.label AS VARCHAR) AS category,
+         list_sum(list_transform(list_zip(q.embedding, c.embedding),
+                  lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS distance
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY review_id ORDER BY distance, neighbor_id) AS INTEGER) AS neighbor_rank FROM near)
+SELECT review_id, neighbor_id, category, round_even(distance, 6) AS distance, neighbor_rank FROM ranked WHERE neighbor_rank <= 3""")
+def _(spark, folder):
+    """Two in five vectors hold an undefined or an infinite number; all others find their neighbours."""
+    bad = F.col("vec_id") % 5
+    first = F.when(bad == 0, F.lit(float("nan"))).when(bad == 1, F.lit(float("inf"))).otherwise(F.get("embedding", F.lit(0)))
+    rows = fx.table(spark, folder, "embeddings").select(
+        "vec_id", F.concat(F.array(first.cast("float")), F.slice("embedding", 2, F.size("embedding"))).alias("embedding"),
+        F.col("label").cast("string").alias("category"),
+    )
+    near = knn.knn_retrieve(
+        rows.select(F.col("vec_id").alias("review_id"), "embedding"), rows.withColumnRenamed("vec_id", "neighbor_id"), 3, skip_self=True)
+    return near.withColumn("distance", F.bround("distance", 6))
+
+
 @query("knn_vote_label", with_fixtures(VOTES, """
 SELECT review_id, category, round_even(confidence, 6) AS confidence FROM f_vote WHERE agent_id = 1"""))
 def _(spark, folder):

@@ -18,12 +18,15 @@ from .registry import query
 
 
 @query("read_reviews_csv", with_fixtures("f_doc", """
-SELECT CAST(rating AS DOUBLE) AS rating, review_text FROM f_doc
+SELECT CAST(rating AS DOUBLE) AS rating, review_text, place AS review_id,
+       TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST((place - 1) % 60 AS INTEGER)) AS created_at
+FROM (SELECT rating, review_text, row_number() OVER (ORDER BY review_id) AS place FROM f_doc)
 WHERE review_text NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND',
   '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"""))
 def _(spark, folder):
-    path = tables.write_reviews_csv(fx.f_doc(spark, folder), new_path(spark, "reviews_csv"))
-    return tables.read_reviews_csv(spark, path, fx.DOC_AS_OF).select("rating", "review_text")
+    # Written in order of id, so that places in the files are ranks of ids.
+    path = tables.write_reviews_csv(fx.f_doc(spark, folder).orderBy("review_id"), new_path(spark, "reviews_csv"))
+    return tables.read_reviews_csv(spark, path, fx.DOC_AS_OF)
 
 
 @query("normalize_review_schema", """
@@ -59,9 +62,10 @@ def _(spark, folder):
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS review_id,
        TIMESTAMP '{fx.DOC_AS_OF}' - to_days(CAST((row_number() OVER (ORDER BY doc_id) - 1) % 60 AS INTEGER))
          AS created_at
-FROM documents WHERE lang <> 'fr'""")
+FROM (SELECT doc_id * 7 - 3 AS doc_id FROM documents)""")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").filter(F.col("lang") != "fr").select("doc_id")
+    """All documents, under keys with gaps."""
+    docs = table(spark, folder, "documents").select((F.col("doc_id") * 7 - 3).alias("doc_id"))
     return positions.synthesize_id_time(docs, fx.DOC_AS_OF, "doc_id")
 
 

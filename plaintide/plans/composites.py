@@ -37,12 +37,14 @@ def full_analysis(
     ``labeled`` has the negative reviews' ``review_id, rating, created_at,
     category, brief_issue``; by default these are columns of ``reviews``. It is
     read for several parts, so labels that are costly to make should come from
-    a table. Without negative reviews all parts but the statistics are empty.
+    a table. Examples are those of the newest reviews, and of equal categories
+    the one met first from the newest on comes first. Without negative reviews
+    all parts but the statistics are empty.
     """
     negative = filter_negative(reviews if labeled is None else labeled, threshold)
-    periods = split_by_period(negative, recent_days, comparison_days)
+    order = "_order"
+    periods = issues.newest_first_order(split_by_period(negative, recent_days, comparison_days), order)
     recent = periods.filter(F.col("period") == "recent")
-    order = "review_id"
     compared = issues.period_compare(periods, order)
     counts = issues.recent_counts(compared)
     return {

@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as driver
+from plaintide.plans import catalog
 from tests.conftest import TABLES
 
-ALL = driver.queries()
+ALL = catalog.QUERIES
 WRITERS = {name for name in ALL if name.startswith(("write_", "read_reviews_csv"))}
 
 
