@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scoring
 from ..functions.vocabulary import MEDIUM_WORDS, SEVERE_WORDS
 from .filters import filter_level, filter_negative_truncated
-from .positions import paginate
+from .positions import page_counts, paginate
 
 FACTORS = ["rating_score", "length_score", "keyword_score", "recency_score"]
 
@@ -69,6 +69,26 @@ def negative_scored(df: DataFrame, threshold: int = 3, **scoring_args) -> DataFr
     return with_priority(filter_negative_truncated(df, threshold), **scoring_args)
 
 
+def priority_page_counts(scored: DataFrame, page_size: int = 20, level: str | None = None) -> DataFrame:
+    """One row: rows and pages of the list, of one level if given."""
+    return page_counts(filter_level(scored, level), page_size)
+
+
+def priority_page_after(
+    scored: DataFrame, score: int, created, key_value: int, page_size: int = 20, level: str | None = None,
+    created_name: str = "created_at", key: str = "review_id",
+) -> DataFrame:
+    """The page after the row with this score, time and key; no earlier row is sorted. ``created`` may be None."""
+    time = F.lit(created).cast("timestamp_ntz")
+    column = F.col(created_name).cast("timestamp_ntz")
+    if created is None:
+        later_time, same_time = F.lit(False), column.isNull()
+    else:
+        later_time, same_time = F.coalesce(column < time, F.lit(True)), F.coalesce(column == time, F.lit(False))
+    after = (F.col("score") < score) | ((F.col("score") == score) & (later_time | (same_time & (F.col(key) > key_value))))
+    return filter_level(scored, level).filter(after).orderBy(*priority_order(created_name, key)).limit(page_size)
+
+
 def paginate_priority(
     scored: DataFrame, page: int, page_size: int = 20, level: str | None = None
 ) -> DataFrame:

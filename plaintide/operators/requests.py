@@ -45,6 +45,28 @@ def build_category_requests(
     )
 
 
+def request_numbers(
+    df: DataFrame, group: list[str], size: int = 200, time: str = "created_at", key: str = "review_id"
+) -> DataFrame:
+    """Which review stands under which number in the requests of ``build_category_requests``.
+
+    The same rows in the same order, without the texts: the group, ``review_number`` and the key.
+    """
+    known = df.filter(F.col("review_text").isNotNull()).select(*group, time, key)
+    numbered = newest_sample(known, size, group, time, key, "review_number")
+    return numbered.select(*group, F.col("review_number").cast("int").alias("review_number"), key)
+
+
+def attach_answers(items: DataFrame, numbers: DataFrame, group: list[str]) -> DataFrame:
+    """Categorized items of answers, with the key of the review each is about.
+
+    ``items`` as from ``ingest_model_responses`` with the group's columns,
+    ``numbers`` as from ``request_numbers``. Items under a number that was not
+    asked for, or none, are left out.
+    """
+    return items.join(numbers, [*group, "review_number"])
+
+
 def build_reply_requests(
     df: DataFrame, key: str = "review_id", size: int = 10, block_width: int = ROWS_PER_BLOCK
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, labeling, periods, requests, responses, training
+from ..operators import filters, issues, labeling, periods, requests, responses, training
 from ..session import cut_lineage, new_path
 from ..sources import results, tables
 from . import composites, fixtures as fx
@@ -88,6 +88,24 @@ def _(spark, folder):
     return responses.quarantine(fx.f_vote_answers(spark, folder))
 
 
+@query("answered_issues", with_fixtures("f_doc neg_doc per_doc", """
+SELECT category, n, round_even(n / total * 100, 1) AS percentage FROM (
+  SELECT lang AS category, count(*) AS n, min(review_id) AS first, sum(count(*)) OVER () AS total FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, period ORDER BY created_at DESC, review_id) AS place FROM per_doc)
+  WHERE place <= 200 GROUP BY lang)
+ORDER BY n DESC, first LIMIT 3"""))
+def _(spark, folder):
+    """Requests are numbered, answered, and the answers brought back to their reviews and counted."""
+    group, reviews = ["source", "period"], _doc_periods(spark, folder)
+    numbers = requests.request_numbers(reviews, group)
+    # The answer names the language of each review as its category.
+    item = F.struct("review_number", F.col("lang").alias("category"), F.col("source").alias("brief_issue"))
+    answers = numbers.join(reviews.select("review_id", "lang"), "review_id").groupBy(*group).agg(
+        F.concat(F.lit("Here you are: "), F.to_json(F.struct(F.collect_list(item).alias("categories")))).alias("answer"))
+    found = requests.attach_answers(responses.ingest_model_responses(answers), numbers, group)
+    return issues.top_issues(found, order="review_id").drop("examples")
+
+
 @query("response_quarantine_shapes", with_fixtures("f_ord", """
 SELECT review_id, CASE review_id % 7 WHEN 1 THEN 'no_array' WHEN 2 THEN 'no_array' WHEN 3 THEN 'empty_array' ELSE 'no_json' END AS reason
 FROM f_ord WHERE review_id % 7 BETWEEN 1 AND 4"""))

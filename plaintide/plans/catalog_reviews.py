@@ -42,16 +42,17 @@ def _(spark, folder):
 @query("read_reviews_with_orders", """
 SELECT l_partkey AS review_id, l_returnflag || l_linestatus AS review_text,
        CAST(l_linenumber AS DOUBLE) AS rating, o_orderdate AS created_at
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey
+FROM lineitem LEFT JOIN orders ON CASE WHEN l_linenumber % 3 = 0 THEN -l_orderkey ELSE l_orderkey END = o_orderkey
 WHERE l_returnflag <> 'R'""")
 def _(spark, folder):
     reviews = table(spark, folder, "lineitem").select(
-        F.col("l_partkey").alias("review_id"), F.col("l_orderkey").alias("order_id"),
+        F.col("l_partkey").alias("review_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("order_id"),
         F.when(F.col("l_returnflag") != "R", F.concat("l_returnflag", "l_linestatus"))
         .alias("review_comment_message"),
         F.col("l_linenumber").alias("review_score"),
     )
-    orders = table(spark, folder, "orders").filter(F.col("o_orderstatus") != "P").select(
+    orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_purchase_timestamp"),
         "o_totalprice",
     )
@@ -105,6 +106,17 @@ def _(spark, folder):
     return stats.crawl_summary(pages.ingest_review_pages(_api_pages(spark, folder)))
 
 
+@query("crawl_rating_distribution", """
+SELECT rating, n AS "count" FROM (SELECT doc_id % 5 + 1 AS rating, count(*) AS n FROM documents GROUP BY 1)""")
+def _(spark, folder):
+    """The distribution that captured pages state; here it is that of all documents."""
+    shares = table(spark, folder, "documents").groupBy((F.col("doc_id") % 5 + 1).alias("rating")).agg(F.count("*").alias("count"))
+    stated = F.struct(F.struct(F.sort_array(F.collect_list(F.struct("rating", "count"))).alias("ratingSummaries")).alias("ratingSummaryTotal"))
+    captured = shares.agg(F.to_json(F.struct(stated.alias("rData"))).alias("body")).withColumn("page_id", F.lit(1))
+    found = pages.page_rating_summary(captured)
+    return found.select(F.col("rating").cast("bigint").alias("rating"), F.col("count").cast("bigint").alias("count"))
+
+
 fx.SQL["doc_lines"] = f"""
 SELECT doc_id AS page_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS raw
 FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"""
@@ -215,10 +227,13 @@ def _(spark, folder):
 
 @query("join_reviews_orders", """
 SELECT l_orderkey AS order_id, l_linenumber, o_orderdate AS order_purchase_timestamp
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') ON l_orderkey = o_orderkey""")
+FROM (SELECT l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey FROM lineitem)
+LEFT JOIN orders ON l_orderkey = o_orderkey""")
 def _(spark, folder):
-    reviews = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_linenumber")
-    orders = table(spark, folder, "orders").filter(F.col("o_orderstatus") == "O").select(
+    """A third of the reviews name an order that is not there."""
+    key = F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    reviews = table(spark, folder, "lineitem").select(key.alias("order_id"), "l_linenumber")
+    orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_purchase_timestamp")
     )
     return joins.join_reviews_orders(reviews, orders)
@@ -461,11 +476,26 @@ def _(spark, folder):
     return priority.paginate_priority(scored, 2, level="high").select("review_id", "score", "level")
 
 
+@query("priority_page_counts", with_fixtures(SCORED, """
+SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages FROM scored WHERE rating <= 3 AND level = 'high'"""))
+def _(spark, folder):
+    return priority.priority_page_counts(priority.negative_scored(fx.f_doc(spark, folder), **fx.SCORING), level="high")
+
+
+@query("priority_page_after", with_fixtures(SCORED, f"""
+SELECT review_id, score, level FROM scored WHERE rating <= 3 AND (score < 60 OR score = 60 AND
+  (created_at < TIMESTAMP '2024-01-20' OR created_at = TIMESTAMP '2024-01-20' AND review_id > 100)) {_ORDER} LIMIT 20"""))
+def _(spark, folder):
+    scored = priority.negative_scored(fx.f_doc(spark, folder), **fx.SCORING)
+    return priority.priority_page_after(scored, 60, "2024-01-20 00:00:00", 100).select("review_id", "score", "level")
+
+
 @query("chunk_requests", """
 SELECT doc_id, p // 10 AS batch, p - p % 10 AS chunk_start, CAST(p % 10 + 1 AS INTEGER) AS review_index
-FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE lang <> 'fr')""")
+FROM (SELECT doc_id * 7 - 3 AS doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)""")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").filter(F.col("lang") != "fr").select("doc_id")
+    """All documents, under keys with gaps."""
+    docs = table(spark, folder, "documents").select((F.col("doc_id") * 7 - 3).alias("doc_id"))
     return positions.chunk_requests(docs, "doc_id")
 
 

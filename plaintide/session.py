@@ -50,8 +50,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df):
-    """``df`` written to the shared folder, so that what follows restarts there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """``df`` written to the shared folder as Parquet, so that what follows restarts there and reads only the columns it needs."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
