@@ -42,6 +42,28 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir))
 
 
+def _licence_sql() -> str:
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, sorted(licences.bigrams(licences.words(t)))))}])"
+                      for n, t in sorted(licences.TEMPLATES.items()))
+    return f"""
+WITH known(licence, k) AS (VALUES {known}),
+split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS p FROM documents),
+parts AS (
+  SELECT doc_id, 'line' AS scope, unnest(range(len(l))) AS part, unnest(l) AS t FROM split
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS t FROM split) WHERE contains(t, chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, text FROM split WHERE len(p) > 1),
+worded AS (SELECT doc_id, scope, part, string_split(trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM parts),
+paired AS (SELECT doc_id, scope, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM worded),
+scored AS (SELECT doc_id, scope, part, licence, len(list_intersect(b, k)) * 2.0::DOUBLE / (len(b) + len(k)) AS dice
+  FROM paired, known WHERE len(b) > 0 AND 200 * least(len(b), len(k)) >= 80 * (len(b) + len(k)))
+SELECT doc_id, scope, CAST(part AS INTEGER) AS part, licence, dice FROM scored WHERE dice * 100 >= 80
+QUALIFY row_number() OVER (PARTITION BY doc_id, scope, part ORDER BY dice DESC, licence) = 1"""
+
+
+ORACLES["op2_licences"] = _licence_sql()
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in a document: item, place and edits."""
@@ -70,6 +92,23 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.shingle_components(documents(spark, sf_dir))[0]
 
 
+ORACLES["op7_ngram_join"] = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                          ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    FROM worded)),
+sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN sets USING (doc_id) GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a)
+SELECT a AS doc_id, CAST(max(n) AS BIGINT) AS n_shingles, min(b) AS component_id FROM reached JOIN sizes ON sizes.doc_id = a GROUP BY a"""
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and the longest prefix of at most 1024 tokens."""
