@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from ..session import shared_dir
 
 #: Words of the contracts: runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows a task turns into Python objects at a time.
-SLICE = 256
+#: Rows, and bytes of text, that a task turns into Python objects at a time.
+SLICE, SLICE_BYTES = 256, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +53,18 @@ def in_tasks(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that a task holds few texts as Python objects."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows and little text, so that a task holds few texts as Python objects.
+
+    A row whose text is larger than ``size`` is a piece of its own.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        lengths = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts),
+                      np.zeros(batch.num_rows, np.int64))
+        ends, start = np.cumsum(lengths), 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end

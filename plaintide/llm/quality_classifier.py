@@ -11,6 +11,7 @@ weights, whose sizes are parameters, come to the driver.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -43,9 +44,8 @@ def paths(description: str) -> set[Rule]:
             path = []
         found = re.match(r"(\s*)(If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
         if found:
-            depth = len(found[1])
-            level = sum(1 for _ in range(5, depth + 1))  # trees are printed with one more blank a level
-            path = path[:level] + [(int(found[3]), found[4], float(found[5]))]
+            # Roots are printed after four blanks, each level below with one more.
+            path = path[:len(found[1]) - 4] + [(int(found[3]), found[4], float(found[5]))]
             rules.add(tuple(sorted(set(path))))
     return rules
 
@@ -100,8 +100,6 @@ def fit(rows: DataFrame, *, label: str = "label", trees: int = 12, depth: int =
 
 
 def _logit(p: float) -> float:
-    import math
-
     return math.log(p / (1 - p))
 
 

@@ -23,8 +23,8 @@ def text_statistics(df: DataFrame, *, text_col: str = "text", keep: tuple[str, .
     ``#*$%&|<>``), ``n_lines`` (``\\n``-split lines with a word), ``n_dup_lines``
     (such lines equal to an earlier one), ``n_repeat_words`` (words in 5-word
     windows found twice or more, the first included), ``n_distinct`` (different
-    words) and ``words_of_letters`` etc. used by the classifiers:
-    ``n_upper``, ``n_letters``, ``n_digits``, ``n_bangs``, ``n_bars``.
+    words), and characters of ASCII kinds: ``n_upper``, ``n_letters``,
+    ``n_digits``, ``n_bangs`` (``!``), ``n_bars`` (``|``).
 
     A null text counts as empty; an empty text has zeros. Each row gives a row.
     Windows are compared by a 64-bit hash of their five words. All arrays belong
