@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import in_tasks, saved, slices
 from .components import components
 
 #: Groups of at most this many sets that share a member early are compared in full at once.
@@ -38,6 +38,8 @@ MOST_COMMON = 1 << 20
 TREE = 256
 #: Bits of the filter on the sets that are read again.
 FILTER = 1 << 23
+#: Parts of the hash range whose members are counted for each set.
+PARTS = 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -51,23 +53,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words(text: bytes) -> np.ndarray:
-    """A hash of every word of a lower-case text."""
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of a lower-case text, and the byte at which it starts."""
     codes = np.frombuffer(text, np.uint8)
     inside = _WORD[codes]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     begin = np.zeros(len(codes), np.int64)
     begin[starts] = starts
     at = np.arange(len(codes)) - np.maximum.accumulate(begin)
     # Beyond 4096 bytes of a word the powers come again, multiplied otherwise.
     value = _BYTES[codes] * _POWERS[at & 4095]
-    if len(at) and at.max() > 4095:
+    if (ends - starts).max() > 4096:
         value *= (at >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     value[~inside] = 0
-    return _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
+    return _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64)), starts
+
+
+def words(text: bytes) -> np.ndarray:
+    return words_at(text)[0]
 
 
 def shingles(text: str, size: int = 3) -> np.ndarray:
@@ -88,17 +94,18 @@ def least_common(n: Column, percent: int) -> Column:
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, common: list[int]) -> DataFrame:
-    """Each row's id, ``n``, ``k`` (digest of the set), ``early`` (first members, common ones last), ``own`` (members that aren't common)."""
+    """Each row's id, ``n``, ``k`` (digest of the set), ``early`` (first members, common ones last), ``own`` (members that aren't common), ``h`` (members by part of the hash range)."""
     shared = df.sparkSession.sparkContext.broadcast(np.array(sorted(common), np.int64).view(np.uint64)) if common else None
 
     def run(batches):
         last = np.sort(shared.value) if shared else np.zeros(0, np.uint64)
         for batch in slices(batches):
-            n, keys, early, own = [], [], [], []
+            n, keys, early, own, parts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 members = shingles(text or "", size)
                 many = len(members)
                 n.append(many)
+                parts.append(np.bincount((members & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
                 keys.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                 first = many - (many * percent + 99) // 100 + 1 if many else 0
                 if len(last) and many:
@@ -109,12 +116,12 @@ def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, co
                     own.append(many)
                 early.append(members[:first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(early, pa.list_(pa.int64())), pa.array(own, pa.int64())],
-                names=["id", "n", "k", "early", "own"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(early, pa.list_(pa.int64())), pa.array(own, pa.int64()),
+                 pa.array(parts, pa.list_(pa.int32()))], names=["id", "n", "k", "early", "own", "h"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n bigint, k binary, early array<bigint>, own bigint")
+    return in_tasks(
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n bigint, k binary, early array<bigint>, own bigint, h array<int>")
 
 
 def _may_link(percent: int) -> Column:
@@ -165,9 +172,13 @@ def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     return sorted(found)
 
 
-def _verified(pairs: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
-    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough."""
-    pairs = saved(pairs.distinct(), "pairs")
+def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
+    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``n`` and ``h``."""
+    # No more can be common than the smaller count in each part of the hash range.
+    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
+    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    pairs = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    pairs = saved(pairs.select("ka", "kb"), "pairs")
     wanted = pairs.select(F.col("ka").alias("k")).union(pairs.select(F.col("kb").alias("k")))
     # One bit for each of a fixed number of hash values: what comes to the driver has a bound.
     bits = wanted.select(F.conv(F.substring(F.hex("k"), 1, 6), 16, 10).cast("int").alias("h")).select((F.col("h") % FILTER).alias("h")).distinct()
@@ -186,11 +197,11 @@ def _verified(pairs: DataFrame, df: DataFrame, text_col: str, percent: int, size
                     sets.append(members.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "members"])
 
-    sets = df.select(F.col(text_col).alias("text")).mapInArrow(run, "k binary, members array<bigint>") \
+    whole = in_tasks(df.select(F.col(text_col).alias("text")), run, "k binary, members array<bigint>") \
         .join(wanted.distinct(), "k", "left_semi").groupBy("k").agg(F.first("members").alias("members"))
-    sets = saved(sets, "sets")
-    sides = pairs.join(sets.select(F.col("k").alias("kb"), F.col("members").alias("b")), "kb") \
-        .join(sets.select(F.col("k").alias("ka"), F.col("members").alias("a")), "ka").select("ka", "kb", "a", "b")
+    whole = saved(whole, "sets")
+    sides = pairs.join(whole.select(F.col("k").alias("kb"), F.col("members").alias("b")), "kb") \
+        .join(whole.select(F.col("k").alias("ka"), F.col("members").alias("a")), "ka").select("ka", "kb", "a", "b")
 
     def check(batches):
         for batch in batches:
@@ -205,7 +216,7 @@ def _verified(pairs: DataFrame, df: DataFrame, text_col: str, percent: int, size
                 begin = end
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-    return saved(sides.mapInArrow(check, "ka binary, kb binary"), "similar")
+    return saved(in_tasks(sides, check, "ka binary, kb binary"), "similar")
 
 
 def _bitmap(bits: DataFrame) -> np.ndarray:
@@ -224,22 +235,22 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null ids it is null unless a linked row has one. Null and empty texts have
     no shingles and link with nothing. Rows may repeat; equal texts are linked.
     """
-    rows = _sets(df, id_col, text_col, percent, size, [])
-    early = saved(rows.select("k", F.explode("early").alias("m")).groupBy("m").agg(F.count("*").alias("rows"), F.count_distinct("k").alias("sets"))
-                  .where(F.col("sets") > SMALL), "common")
-    # More than SMALL sets share each of these; the largest are taken, at most MOST_COMMON, which any order allows.
-    common = [r.m for r in early.orderBy(F.desc("sets"), "m").limit(MOST_COMMON).select("m").toLocalIterator()]
+    first = _sets(df, id_col, text_col, percent, size, []).select(F.explode("early").alias("m"))
+    many = saved(first.groupBy("m").agg(F.count("*").alias("texts")).where(F.col("texts") > SMALL), "common")
+    # Any choice gives a valid order; the most common members are taken, at most MOST_COMMON.
+    common = [r.m for r in many.orderBy(F.desc("texts"), "m").limit(MOST_COMMON).select("m").toLocalIterator()]
     rows = saved(_sets(df, id_col, text_col, percent, size, common), "early")
-    sets = rows.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("early").alias("early"), F.first("own").alias("own"))
-    members = saved(sets.select("k", "n", "own", F.posexplode("early").alias("at", "m")), "members")
-    groups = members.groupBy("m").agg(F.count("*").alias("sets"), F.min(F.struct("own", "k", "n", "at")).alias("least")).where("sets > 1")
-    shared = saved(members.join(groups, "m"), "shared")
-    small, large = shared.where(F.col("sets") <= SMALL), shared.where(F.col("sets") > SMALL)
+    sets = saved(rows.where("n > 0").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "early", "own", "h")]), "sets")
+    # Most members are in one set only. That is found on the members alone, and only the rest is moved with its set.
+    twice = saved(sets.select(F.explode("early").alias("m")).groupBy("m").agg(F.count("*").alias("sets")).where("sets > 1"), "twice")
+    members = saved(sets.select("k", "n", "own", F.posexplode("early").alias("at", "m")).join(twice, "m"), "members")
+    least = members.where(F.col("sets") > SMALL).groupBy("m").agg(F.min(F.struct("own", "k", "n", "at")).alias("least"))
+    small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL)
     pair = [F.least("a.k", "b.k").alias("ka"), F.greatest("a.k", "b.k").alias("kb")]
     close = small.alias("a").join(small.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.k") < F.col("b.k")) & _may_link(percent)).select(*pair)
-    star = large.where("k <> least.k").select(
+    star = large.join(least, "m").where("k <> least.k").select(
         F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)).select(*pair)
-    links = _verified(close.union(star), df, text_col, percent, size)
+    links = _verified(close.union(star), sets, df, text_col, percent, size)
     if not large.isEmpty():
         found = components(links, "ka", "kb")
         placed = large.join(found.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("component", F.coalesce("component", "k"))
@@ -247,7 +258,7 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         apart = placed.groupBy("m").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("m")
         rest = saved(placed.join(apart, "m", "left_semi").select("m", "k", "n", "at", "component"), "rest")
         more = rest.alias("a").join(rest.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.component") < F.col("b.component")) & _may_link(percent)).select(*pair)
-        links = links.union(_verified(more, df, text_col, percent, size))
+        links = links.union(_verified(more, sets, df, text_col, percent, size))
     found = components(links, "ka", "kb").withColumnsRenamed({"node": "k"})
     ids = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least"))
     named = ids.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
