@@ -14,8 +14,8 @@ as soon as the members it can still have in common are too few.
 Equal sets are one node from the start. Where a member is shared by very many
 sets, a first round compares each with the one that has the fewest members of
 its own, which links families of copies to what they were copied from; a second
-round compares only what is not in one component yet, so links inside a family
-are not made pair by pair and none between components is lost.
+round looks at what is not in one component yet, block by block inside tasks, so
+only pairs that the bounds leave become rows and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SMALL = 32
 MOST_COMMON = 1 << 20
 #: Candidates in one prefix tree.
 TREE = 256
+#: Sets in one block of a large group.
+BLOCK = 512
 #: Bits of the filter on the sets that are read again.
 FILTER = 1 << 23
 #: Parts of the hash range whose members are counted for each set.
@@ -172,14 +174,8 @@ def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     return sorted(found)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
-    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``n`` and ``h``."""
-    # No more can be common than the smaller count in each part of the hash range.
-    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
-    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    pairs = saved(pairs.select("ka", "kb"), "pairs")
-    wanted = pairs.select(F.col("ka").alias("k")).union(pairs.select(F.col("kb").alias("k")))
+def _whole(wanted: DataFrame, df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """``k`` and all ``members`` of the sets in ``wanted``, read from the texts again."""
     # One bit for each of a fixed number of hash values: what comes to the driver has a bound.
     bits = wanted.select(F.conv(F.substring(F.hex("k"), 1, 6), 16, 10).cast("int").alias("h")).select((F.col("h") % FILTER).alias("h")).distinct()
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(bits)))
@@ -198,8 +194,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, p
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "members"])
 
     whole = in_tasks(df.select(F.col(text_col).alias("text")), run, "k binary, members array<bigint>") \
-        .join(wanted.distinct(), "k", "left_semi").groupBy("k").agg(F.first("members").alias("members"))
-    whole = saved(whole, "sets")
+        .join(wanted, "k", "left_semi").groupBy("k").agg(F.first("members").alias("members"))
+    return saved(whole, "sets")
+
+
+def may_link(n: np.ndarray, at: np.ndarray, parts: np.ndarray, groups: np.ndarray, blocks: np.ndarray, percent: int) -> np.ndarray:
+    """Index pairs (rows of two) of sets of different groups that the bounds on places and part counts leave."""
+    two, out = len(np.unique(blocks)) > 1, []
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, len(n))
+        j = j[(groups[j] != groups[i]) & ((blocks[j] != blocks[i]) | (not two))]
+        needed = percent * (n[j] + n[i])
+        j = j[np.minimum(n[j] - at[j], n[i] - at[i]) * (100 + percent) >= needed]
+        j = j[np.minimum(parts[j], parts[i]).sum(axis=1) * (100 + percent) >= percent * (n[j] + n[i])]
+        out.append(np.stack([np.full(len(j), i), j]))
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def _pairs_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates among sets of different components that share an early member with very many.
+
+    The sets of a member are dealt into blocks; every two blocks meet in one
+    task, with what the bounds need of each set, and only pairs that the bounds
+    leave come out: a family whose sets are not similar enough makes no rows.
+    """
+    blocks = rest.groupBy("m").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "m").join(sets.select("k", "h"), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "m", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", "component", "n", "at", "h")
+
+    def compare(table):
+        keys, groups = table["k"].to_pylist(), np.unique(np.array([g.hex() for g in table["component"].to_pylist()]), return_inverse=True)[1]
+        parts = np.array(table["h"].to_pylist(), np.int64).reshape(len(keys), PARTS)
+        i, j = may_link(*(table[c].to_numpy() for c in ("n", "at")), parts, groups, table["block"].to_numpy(), percent)
+        left, right = [keys[x] for x in i], [keys[x] for x in j]
+        return pa.table({"ka": pa.array(list(map(min, left, right)), pa.binary()), "kb": pa.array(list(map(max, left, right)), pa.binary())})
+
+    return met.groupBy("m", "low", "high").applyInArrow(compare, "ka binary, kb binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
+    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``n`` and ``h``."""
+    # No more can be common than the smaller count in each part of the hash range.
+    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
+    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    pairs = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    pairs = saved(pairs.select("ka", "kb"), "pairs")
+    wanted = pairs.select(F.col("ka").alias("k")).union(pairs.select(F.col("kb").alias("k"))).distinct()
+    whole = _whole(wanted, df, text_col, size)
     sides = pairs.join(whole.select(F.col("k").alias("kb"), F.col("members").alias("b")), "kb") \
         .join(whole.select(F.col("k").alias("ka"), F.col("members").alias("a")), "ka").select("ka", "kb", "a", "b")
 
@@ -227,7 +269,9 @@ def _bitmap(bits: DataFrame) -> np.ndarray:
 
 
 def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Id, ``n_shingles`` and ``component_id`` of every row; and the links between different sets (``ka``, ``kb``: digests).
+    """Id, ``n_shingles`` and ``component_id`` of every row; and links between different sets (``ka``, ``kb``: digests).
+
+    The links span the components: of sets in one component, not every link is listed.
 
     Words are runs of anything but ASCII blanks, with A-Z in lower case. Texts
     link when their intersection has at least ``percent`` of their union.
@@ -257,8 +301,7 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # Only members whose sets are in several components can still link two of them.
         apart = placed.groupBy("m").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("m")
         rest = saved(placed.join(apart, "m", "left_semi").select("m", "k", "n", "at", "component"), "rest")
-        more = rest.alias("a").join(rest.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.component") < F.col("b.component")) & _may_link(percent)).select(*pair)
-        links = links.union(_verified(more, sets, df, text_col, percent, size))
+        links = links.union(_verified(_pairs_in_blocks(rest, sets, percent), sets, df, text_col, percent, size))
     found = components(links, "ka", "kb").withColumnsRenamed({"node": "k"})
     ids = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least"))
     named = ids.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
