@@ -186,3 +186,24 @@ def test_planted_passages(spark, hard, nothing):
     # Ids 1 and 1 are one text; 8 repeats a shorter text than a passage; 10 is as short.
     assert passages.repeated_passages(hard, least_words=20).where(F.col("doc_id") == 10).count() == 1
     assert passages.repeated_passages(nothing).collect() == []
+
+
+def test_passages_with_a_block_replaced(spark):
+    rng = random.Random(22)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    for size, at in ((84, 40), (84, 38), (90, 46), (160, 40), (80, 48)):
+        passage = own(size)
+        near = passage[:at] + own(4) + passage[at + 4:]
+        a, b = passages.sequence(" ".join(own(50) + passage + own(50))), passages.sequence(" ".join(own(20) + near + own(50)))
+        ends = (50, 50 + size - 4), (20, 20 + size - 4)
+        x, y = set(a[slice(*ends[0])].tolist()), set(b[slice(*ends[1])].tolist())
+        jaccard = len(x & y) / len(x | y)
+        assert jaccard >= 0.8
+        assert passages.verify(a, b, (0, len(a)), (0, len(b)), 46, 0.8) == [(*ends[0], *ends[1], jaccard)]
+    rows = []
+    for k in range(0, 60, 2):
+        passage = own(84)
+        rows += [(k, " ".join(own(30) + passage + own(40))), (k + 1, " ".join(own(50) + passage[:40] + own(4) + passage[44:] + own(20)))]
+    got = {(r.like_id, r.doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # The chance that enough min-hashes agree is not 1.
+    assert got <= {(k, k + 1) for k in range(0, 60, 2)} and len(got) >= 27
