@@ -188,6 +188,20 @@ def test_planted_passages(spark, hard, nothing):
     assert passages.repeated_passages(nothing).collect() == []
 
 
+def test_passages_behind_a_shorter_first_text(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        passage, first = own(50), 100 * k
+        rows.append((first, " ".join([*own(60), *passage[:(30, 40, 45, 48)[k % 4]], *own(60)])))
+        rows += [(first + i, " ".join([*own(60), *passage, *own(60)])) for i in range(1, 5)]
+        want |= {first + i: first + 1 for i in range(2, 5)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.like_id for r in got} == want and len(got) == len(want)
+    assert all((r.start, r.n_words, r.like_start, r.similarity) == (60, 50, 60, 1.0) for r in got)
+
+
 def test_passages_with_a_block_replaced(spark):
     rng = random.Random(22)
     own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
