@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaintide.llm import decontamination, language_id, ngram_join, personal_data, sentence_pieces
+from plaintide.llm.common import saved
 from plaintide.session import shared_dir
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -43,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids do no harm; a null id counts as the largest. Texts without words are
     linked with nothing and stay.
     """
-    rows = docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id())
+    # Written once: a later scan may be cut otherwise, and then the same number names another row.
+    rows = saved(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups, _ = ngram_join.shingle_components(rows, id_col="__row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     named = groups.join(rows.select("__row", "doc_id"), "__row")

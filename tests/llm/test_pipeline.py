@@ -60,3 +60,27 @@ def test_hard_rows_pass_every_stage(spark, hard, nothing):
 def test_run(spark):
     found = corpus_pipeline.run(spark, TABLES)
     assert found.columns == [*DOCUMENTS, "n_pieces", "ids"] and 0 < found.count() <= 200
+
+
+def test_row_numbers_hold_when_scans_are_cut_otherwise(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "docs")
+    given = [(None, f"own {i} {i * 7919} {i * 31337} text {i % 5}", "en", "a", i) for i in range(400)] * 2
+    spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(8).write.parquet(table)
+    operator = corpus_pipeline.ngram_join.shingle_components
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def then_fewer_cores(*args, **options):
+        groups, links = operator(*args, **options)
+        groups = corpus_pipeline.saved(groups, "groups")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        return groups, links
+
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "shingle_components", then_fewer_cores)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "4m")
+        kept = STAGES["ngram_join"](spark, spark.read.parquet(table), TABLES).select("text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.text for r in kept) == sorted({g[1] for g in given})
