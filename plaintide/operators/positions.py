@@ -2,40 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+
+from ..functions.arrays import let
 
 ROWS_PER_BLOCK = 1 << 18
+MOST_BLOCKS = 4096
+SAMPLED = 32  # rows for each range
 GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 SLICES = 64
 
 
+def splitters(
+    df: DataFrame, keys: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK, most_blocks: int = MOST_BLOCKS
+) -> list[Row]:
+    """Values of ``keys`` that cut ``df`` in ranges of about ``rows_per_block`` rows.
+
+    They come from a sample of ``SAMPLED`` rows for each range, so the driver
+    gets at most ``SAMPLED * most_blocks`` keys whatever the table holds. What
+    the sample hits decides how even the ranges are, nothing else. A table of
+    up to ``rows_per_block`` rows needs none.
+    """
+    rows = df.count()
+    blocks = min(most_blocks, -(-rows // rows_per_block))
+    if blocks < 2:
+        return []
+    sample = df.select(*keys).sample(min(1.0, SAMPLED * blocks / rows), seed=SAMPLED).orderBy(*keys).collect()
+    step = max(1, len(sample) // blocks)
+    return list(dict.fromkeys(sample[step::step]))
+
+
+def block_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[Row]) -> Column:
+    """How many of the sorted ``cuts`` are not after the row: the number of its range, found by halving."""
+    if not cuts:
+        return F.lit(0)
+    types = [df.schema[key].dataType for key in keys]
+    known = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, cut, types)]) for cut in cuts])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+
+    def search(key: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= len(cuts)) & (F.get(known, at + step - 1) <= key), at + step).otherwise(at))
+
+    return let(F.struct(*keys), search)
+
+
 def with_position(
-    df: DataFrame, key: str, name: str = "position", block_width: int = ROWS_PER_BLOCK
+    df: DataFrame,
+    key: str | Sequence[str],
+    name: str = "position",
+    block_width: int | None = None,
+    group: Sequence[str] = (),
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """0-based rank of each row by ``key``, a unique integer without nulls.
-
-    Keys are cut in blocks of ``block_width`` consecutive values, so no block
-    can hold more rows than that, whatever the data. Rows are ranked inside
-    their block and shifted by the rows of all earlier blocks. Only the counts
-    per block, one row per ``block_width`` keys, meet in a single task. For
-    keys with wide gaps pass a larger width.
+    """0-based rank of each row by ``key``, or of each row in its ``group``.
+
+    The table is cut in ranges of the key at sampled splitters. Rows are ranked
+    inside their range and shifted by the rows of all earlier ranges, of which
+    only one count for each range (and group) is brought together. So any key
+    that can be ordered will do, random 64-bit numbers and texts too, and a
+    group with a third of all rows is ranked in as many tasks as it has ranges.
+
+    Keys should be unique; rows with equal keys are ranked in any order and
+    share a range, so add columns to ``key`` that tell them apart. Nulls come
+    first. Sampling costs a count and a pass over the keys when the frame is
+    built. For whole numbers without wide gaps ``block_width`` avoids that: the
+    ranges are then that many consecutive numbers each.
     """
-    # Whole-number arithmetic: exact for any 64-bit key, negative ones too.
-    block = F.expr(f"(`{key}` - pmod(`{key}`, {block_width}L)) div {block_width}L")
+    keys = [key] if isinstance(key, str) else list(key)
+    if block_width is None:
+        block = block_of(df, keys, splitters(df, keys, rows_per_block))
+    else:
+        # Whole-number arithmetic: exact for any 64-bit key, negative ones too.
+        block = F.expr(f"(`{keys[0]}` - pmod(`{keys[0]}`, {block_width}L)) div {block_width}L")
     tagged = df.withColumn("_block", block)
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*keys)) - 1
+    offsets = block_offsets(tagged, group)
+    same = [tagged["_block"].eqNullSafe(offsets["_b"]), *[tagged[g].eqNullSafe(offsets[f"_g{i}"]) for i, g in enumerate(group)]]
     return (
-        tagged.join(offsets, "_block")
-        .withColumn(name, (F.col("_offset") + inside).cast("bigint"))
-        .drop("_block", "_offset")
+        tagged.withColumn("_inside", inside).join(offsets, reduce(Column.__and__, same))
+        .withColumn(name, (F.col("_offset") + F.col("_inside")).cast("bigint"))
+        .drop("_block", "_inside", *offsets.columns)
     )
 
 
+def block_offsets(tagged: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """``_offset`` of each group and ``_block``: the rows of the group in earlier blocks.
+
+    One window task sees one row for each block of a group.
+    """
+    groups = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    counts = tagged.groupBy(*groups, F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("*", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")).drop("_n")
+
+
 def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
     """0-based position of each row of a file scan: by file path, then by place in the file.
 
@@ -76,9 +140,12 @@ def synthesize_id_time(
 
 
 def chunk_requests(
-    df: DataFrame, key: str, size: int = 10, block_width: int = ROWS_PER_BLOCK
+    df: DataFrame, key: str, size: int = 10, block_width: int | None = None
 ) -> DataFrame:
-    """Adds ``batch``, ``chunk_start`` and the 1-based ``review_index`` in the batch."""
+    """Adds ``batch``, ``chunk_start`` and the 1-based ``review_index`` in the batch.
+
+    ``key`` may be anything unique that can be ordered, see ``with_position``.
+    """
     pos = F.col("_pos")
     return (
         with_position(df, key, "_pos", block_width)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .positions import ROWS_PER_BLOCK, chunk_requests, newest_sample
+from .positions import chunk_requests, newest_sample
 
 # How reviews are set in a request.
 REVIEW_SEPARATOR = "\n---\n"
@@ -68,7 +68,7 @@ def attach_answers(items: DataFrame, numbers: DataFrame, group: list[str]) -> Da
 
 
 def build_reply_requests(
-    df: DataFrame, key: str = "review_id", size: int = 10, block_width: int = ROWS_PER_BLOCK
+    df: DataFrame, key: str = "review_id", size: int = 10, block_width: int | None = None
 ) -> DataFrame:
     """One request per ``size`` consecutive reviews, with rating and, if present, category."""
     category = F.lit("")

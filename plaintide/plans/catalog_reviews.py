@@ -499,6 +499,32 @@ def _(spark, folder):
     return positions.chunk_requests(docs, "doc_id")
 
 
+# A random 64-bit order that SQL can name as well: the first half of an md5, read as a number.
+_HASHED = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT::HUGEINT - 9223372036854775808 AS BIGINT)"
+
+
+def _hashed_docs(spark, folder):
+    digits = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16)
+    number = F.conv(digits, 16, 10).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")
+    return table(spark, folder, "documents").select("doc_id", number.cast("bigint").alias("key"))
+
+
+@query("chunk_requests_any_key", f"""
+SELECT key, p // 10 AS batch, p - p % 10 AS chunk_start, CAST(p % 10 + 1 AS INTEGER) AS review_index
+FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS p FROM (SELECT {_HASHED} AS key FROM documents))""")
+def _(spark, folder):
+    """All documents in the order of random 64-bit keys."""
+    return positions.chunk_requests(_hashed_docs(spark, folder).select("key"), "key")
+
+
+@query("position_in_group", """
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS place FROM documents""")
+def _(spark, folder):
+    """Place of each document in its source by length and id, a source with a third of all rows included."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    return positions.with_position(docs, ["n_chars", "doc_id"], "place", group=["source"]).drop("n_chars")
+
+
 # --- columns ------------------------------------------------------------------------------
 
 for _name in ("rating", "length", "keyword", "recency"):
