@@ -37,8 +37,6 @@ def splitters(
 
 def block_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[Row]) -> Column:
     """How many of the sorted ``cuts`` are not after the row: the number of its range, found by halving."""
-    if not cuts:
-        return F.lit(0)
     types = [df.schema[key].dataType for key in keys]
     known = F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, cut, types)]) for cut in cuts])
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
@@ -74,7 +72,11 @@ def with_position(
     """
     keys = [key] if isinstance(key, str) else list(key)
     if block_width is None:
-        block = block_of(df, keys, splitters(df, keys, rows_per_block))
+        cuts = splitters(df, keys, rows_per_block)
+        if not cuts:
+            rank = F.row_number().over(Window.partitionBy(*group).orderBy(*keys)) - 1
+            return df.withColumn(name, rank.cast("bigint"))
+        block = block_of(df, keys, cuts)
     else:
         # Whole-number arithmetic: exact for any 64-bit key, negative ones too.
         block = F.expr(f"(`{keys[0]}` - pmod(`{keys[0]}`, {block_width}L)) div {block_width}L")
