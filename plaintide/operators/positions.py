@@ -31,8 +31,7 @@ def splitters(
     if blocks < 2:
         return []
     sample = df.select(*keys).sample(min(1.0, SAMPLED * blocks / rows), seed=SAMPLED).orderBy(*keys).collect()
-    step = max(1, len(sample) // blocks)
-    return list(dict.fromkeys(sample[step::step]))
+    return list(dict.fromkeys(sample[i * len(sample) // blocks] for i in range(1, blocks) if sample))
 
 
 def block_of(df: DataFrame, keys: Sequence[str], cuts: Sequence[Row]) -> Column:
