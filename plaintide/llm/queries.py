@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, licences, ngram_join, passages, personal_data, quality_classifier, quality_rules, sentence_pieces, token_counts
+from . import (decontamination, language_id, licences, merkle, ngram_join, passages, personal_data, quality_classifier, quality_rules, sentence_pieces,
+               spelling, token_counts, twins, urls)
 from .common import documents, held_out, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = quality_classifier.quality_classifier(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=~held_out("id"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    found = urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op11_url_filter"] = twins.url_filter_sql()
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and checked witness of every document, with the texts of a fifth of them tampered with."""
+    lowered = F.translate("text", urls.UPPER, urls.LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(documents(spark, sf_dir), F.when(tampered, lowered).otherwise(F.col("text")))
+
+
+ORACLES["op12_manifest"] = twins.manifest_sql()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of all documents."""
+    return spelling.spelling_variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+ORACLES["op13_spelling_variants"] = twins.spelling_sql()
