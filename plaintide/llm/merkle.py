@@ -30,7 +30,7 @@ from .common import saved
 
 FAN = 16
 #: Leaves that are ranked in one task.
-ROWS_PER_BLOCK = 1 << 16
+ROWS_PER_BLOCK = 1 << 13
 
 
 def hashed(*parts: Column) -> Column:
