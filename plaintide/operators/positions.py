@@ -125,14 +125,17 @@ def with_file_position(df: DataFrame, name: str = "position") -> DataFrame:
 
 
 def synthesize_id_time(
-    df: DataFrame, as_of, key: str | None = None, days: int = 60
+    df: DataFrame, as_of, key: str | None = None, days: int = 60, position: str | None = None
 ) -> DataFrame:
     """``review_id`` 1..n by position and ``created_at`` spread over ``days``.
 
-    The position is that of ``key``, or of the file scan if there is no key.
-    A real ``created_at`` column is kept.
+    The position is in the column ``position`` (which goes), or that of ``key``,
+    or of the file scan if there is neither. A real ``created_at`` is kept.
     """
-    df = with_position(df, key, "_pos") if key else with_file_position(df, "_pos")
+    if position:
+        df = df.withColumnRenamed(position, "_pos")
+    else:
+        df = with_position(df, key, "_pos") if key else with_file_position(df, "_pos")
     columns = {"review_id": F.col("_pos") + 1}
     if "created_at" not in df.columns:
         base = F.lit(str(as_of)).cast("timestamp_ntz")

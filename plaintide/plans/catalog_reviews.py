@@ -59,6 +59,23 @@ def _(spark, folder):
     return tables.reviews_with_orders(reviews, orders)
 
 
+@query("read_reviews_with_orders_csv", """
+SELECT doc_id AS review_id, CAST(doc_id % 5 + 1 AS DOUBLE) AS rating, text AS review_text, o_orderdate AS created_at
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
+LEFT JOIN (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderstatus <> 'P') USING (place)
+WHERE lang <> 'de' AND text <> ''""")
+def _(spark, folder):
+    """Two CSV files, written from all documents and orders that are numbered alike: quotes and line breaks included."""
+    docs = positions.with_position(table(spark, folder, "documents"), "doc_id", "order_id").select(
+        F.col("doc_id").alias("review_id"), "order_id", (F.col("doc_id") % 5 + 1).alias("review_score"),
+        F.when(F.col("lang") != "de", F.col("text")).alias("review_comment_message"))
+    dated = table(spark, folder, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderdate")
+    orders = positions.with_position(dated, "o_orderkey", "order_id").select("order_id", F.col("o_orderdate").alias("order_purchase_timestamp"))
+    paths = [tables.write_csv(part, new_path(spark, "orders_csv")) for part in (docs, orders)]
+    found = tables.read_reviews_with_orders(spark, *paths)
+    return found.select(F.col("review_id").cast("bigint").alias("review_id"), "rating", "review_text", "created_at")
+
+
 @query("synthesize_id_time", f"""
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS review_id,
        TIMESTAMP '{fx.DOC_AS_OF}' - to_days(CAST((row_number() OVER (ORDER BY doc_id) - 1) % 60 AS INTEGER))

@@ -12,14 +12,19 @@ from ..operators.filters import drop_null_text
 from ..operators.joins import join_reviews_orders
 from ..operators.periods import parse_time
 from ..operators.positions import synthesize_id_time
+from . import csv_splits
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header, all columns as text, quoted line breaks kept.
+def read_csv_text(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
+    """A CSV with header, all columns as text, quoted line breaks kept, a large file read by many tasks.
 
-    A file with quoted line breaks cannot be split; convert large ones to
-    Parquet once. Many files are read in parallel.
+    ``position`` names a column for the place of each row over all files.
     """
+    return csv_splits.read_csv(spark, path, position)
+
+
+def read_whole_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows with one task for each file: for files whose lines end in another way, or too small to cut."""
     return spark.read.csv(
         path, header=True, multiLine=True, escape='"', enforceSchema=False,
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -57,14 +62,15 @@ def read_reviews_csv(
 
     Ids count from 1 by place in the file, before rows without text drop out.
     """
-    raw = read_csv_text(spark, path)
+    raw = read_csv_text(spark, path, position="_place")
     if not {"Ratings", "Reviews"} <= set(raw.columns):
         raise ValueError("CSV must have 'Ratings' and 'Reviews' columns")
     reviews = raw.select(
         null_if_token(F.col("Ratings"), null_tokens).cast("double").alias("rating"),
         null_if_token(F.col("Reviews"), null_tokens).alias("review_text"),
+        "_place",
     )
-    return drop_null_text(synthesize_id_time(reviews, as_of))
+    return drop_null_text(synthesize_id_time(reviews, as_of, position="_place"))
 
 
 def read_uploaded_csv(
@@ -110,11 +116,15 @@ def read_reviews_with_orders(spark: SparkSession, reviews_path: str, orders_path
     return parse_time(joined, "created_at")
 
 
-def write_csv(df: DataFrame, path: str) -> str:
+def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> str:
     """A folder of CSV files with header that ``read_csv_text`` reads back unchanged.
 
-    No byte order mark is written. Empty strings are quoted, null is nothing.
+    Empty strings are quoted, null is nothing. Spreadsheets take a file for
+    UTF-8 if it begins with a byte order mark; the readers here skip it.
     """
+    if byte_order_mark:
+        # The header is what a file begins with, also one without rows.
+        df = df.toDF("\ufeff" + df.columns[0], *df.columns[1:])
     df.write.csv(
         path, header=True, escape='"', quote='"', emptyValue='""', nullValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
@@ -127,6 +137,6 @@ def write_reviews_csv(df: DataFrame, path: str) -> str:
     return write_csv(df.select(F.col("rating").alias("Ratings"), F.col("review_text").alias("Reviews")), path)
 
 
-def write_labeling_csv(sample: DataFrame, path: str) -> str:
-    """A labeling set to be filled in by hand."""
-    return write_csv(sample.select("review_id", "review_text", "rating", "manual_label", "notes"), path)
+def write_labeling_csv(sample: DataFrame, path: str, byte_order_mark: bool = True) -> str:
+    """A labeling set to be filled in by hand, in a spreadsheet as a rule."""
+    return write_csv(sample.select("review_id", "review_text", "rating", "manual_label", "notes"), path, byte_order_mark)
