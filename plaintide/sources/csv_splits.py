@@ -131,12 +131,8 @@ def _records(batches: Lines) -> Lines:
         first = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(kept) else np.zeros(0, int)
         last = np.concatenate([first[1:], [len(kept)]])[:len(first)] - 1
         whole = begins[kept[first]] & ~before[kept[last] + 1]
-        # Records of one line are taken as they are; only the others are joined here.
-        texts = lines.take(pa.array(kept[first]))
-        many = np.flatnonzero(last > first)
-        if len(many):
-            own = ["\n".join(lines.slice(kept[first[i]], kept[last[i]] - kept[first[i]] + 1).to_pylist()) for i in many]
-            texts = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(first)), many)), pa.array(own, texts.type))
+        offsets = pa.array(np.concatenate([first, [len(kept)]]) if len(kept) else np.zeros(1, int), pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, lines.take(pa.array(kept))), "\n")
         yield pa.RecordBatch.from_arrays([
             pa.array(numbers[first]), pa.array(np.full(len(first), now[1], np.int64)), pa.array(np.full(len(first), piece, np.int64)),
             pa.array(whole), texts, pa.array([now[0]] * len(first), pa.string())],
