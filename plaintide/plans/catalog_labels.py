@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CHAT_SYSTEM_TEXT, CHAT_USER_PREFIX, STOPWORDS
-from ..operators import consensus, errors, evaluation as ev, filters, knn, labeling, training
+from ..operators import consensus, errors, evaluation as ev, filters, knn, knn_index, labeling, training
 from . import composites, fixtures as fx
 from .catalog_reviews import _LABEL_SQL
 from .fixtures import ERR, EVAL, EVAL5, NEAR, VOTES, strip_sql, table, with_fixtures
@@ -413,6 +413,35 @@ def _(spark, folder):
     return near.withColumn("distance", F.bround("distance", 6))
 
 
+def _indexed(spark, folder):
+    """The vectors whose id is divisible by 100 as queries, all as examples, and the index of these."""
+    vectors = fx.table(spark, folder, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("review_id"), "embedding")
+    examples = vectors.select(F.col("vec_id").alias("neighbor_id"), "embedding", F.col("label").cast("string").alias("category"))
+    return queries, examples, knn_index.build(examples, knn_index.fit(examples), 3)
+
+
+@query("knn_index_all_lists", with_fixtures(NEAR, """
+SELECT review_id, neighbor_id, category, round_even(distance, 6) AS distance, CAST(neighbor_rank AS INTEGER) AS neighbor_rank
+FROM f_near WHERE review_id % 100 = 0 AND neighbor_rank <= 3"""))
+def _(spark, folder):
+    """Codes rank, vectors decide: with all lists visited the rows are those of the exact search."""
+    queries, _, index = _indexed(spark, folder)
+    found = knn_index.search(index, queries, 3, len(index.centres), skip_self=True)
+    return found.withColumn("distance", F.bround("distance", 6))
+
+
+@query("knn_index_recall", """
+SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, 3 * count(*) FILTER (vec_id % 100 = 0) AS neighbors, TRUE AS recall_is_good FROM embeddings""")
+def _(spark, folder):
+    """With the number of lists that it chose itself, the index finds at least nine of ten neighbours of the exact search."""
+    queries, examples, index = _indexed(spark, folder)
+    probes = knn_index.choose_probes(index, queries, 3, skip_self=True)
+    found = knn_index.search(index, queries, 3, probes, skip_self=True)
+    measured = knn_index.recall(found, knn.knn_retrieve(queries, examples, 3, skip_self=True))
+    return measured.select("queries", "neighbors", (F.col("recall") >= 0.9).alias("recall_is_good"))
+
+
 @query("knn_vote_label", with_fixtures(VOTES, """
 SELECT review_id, category, round_even(confidence, 6) AS confidence FROM f_vote WHERE agent_id = 1"""))
 def _(spark, folder):
