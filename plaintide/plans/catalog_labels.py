@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CHAT_SYSTEM_TEXT, CHAT_USER_PREFIX, STOPWORDS
-from ..operators import consensus, errors, evaluation as ev, filters, knn, knn_index, labeling, training
+from ..operators import consensus, errors, evaluation as ev, filters, knn, knn_index, labelers, labeling, training
 from . import composites, fixtures as fx
 from .catalog_reviews import _LABEL_SQL
 from .fixtures import ERR, EVAL, EVAL5, NEAR, VOTES, strip_sql, table, with_fixtures
@@ -467,14 +467,61 @@ fx.SQL["low"] = "SELECT review_id, lower(review_text) AS t FROM f_doc"
 fx.SQL["rule_hits"] = _rules_sql()
 
 
-@query("label_by_rules", with_fixtures("f_doc low rule_hits", """
+_RULES_SQL = with_fixtures("f_doc low rule_hits", """
 SELECT review_id, CASE WHEN hits = 0 THEN 'other' ELSE category END AS category, CAST(hits AS INTEGER) AS rule_hits
-FROM rule_hits QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY hits DESC, first_at, place) = 1"""))
+FROM rule_hits QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY hits DESC, first_at, place) = 1""")
+
+
+@query("label_by_rules", _RULES_SQL)
 def _(spark, folder):
     labeled = labeling.label_by_rules(fx.f_doc(spark, folder), fx.DOC_RULES)
     return labeled.select("review_id", "category", "rule_hits")
 
 
+@query("label_by_many_words", _RULES_SQL)
+def _(spark, folder):
+    """By one automaton for all words: the same rows."""
+    labeled = labelers.label_by_many_words(fx.f_doc(spark, folder), fx.DOC_RULES)
+    return labeled.select("review_id", "category", "rule_hits")
+
+
+@query("label_with_rules", _RULES_SQL)
+def _(spark, folder):
+    """The rules plugged in as a labeler: the same rows, and no failures."""
+    docs = fx.f_doc(spark, folder).withColumn("lowered", F.lower("review_text"))
+    labeled = labelers.label_with(
+        docs, labelers.rules_labeler(fx.DOC_RULES, text="lowered"), "category string, rule_hits int", ["lowered"], allowed=[*fx.DOC_RULES, "other"])
+    return labeled.where("label_error is null").select("review_id", "category", "rule_hits")
+
+
+def _picky():
+    """A labeler that has no label for some rows, and fails for others."""
+    def label(batch):
+        ids = batch.column("review_id").to_pylist()
+        if any(i % 7 == 0 for i in ids):
+            raise ValueError("not today")
+        return ["odd" if i % 11 == 0 else None if i % 5 == 0 else f"kind_{i % 3}" for i in ids]
+
+    return label
+
+
+@query("label_failures", """
+SELECT doc_id AS review_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 <> 0 THEN 'kind_' || doc_id % 3 END AS category,
+       CASE WHEN doc_id % 7 = 0 THEN 'ValueError: not today' WHEN doc_id % 11 = 0 THEN 'ValueError: odd is not allowed' END AS label_error
+FROM documents""")
+def _(spark, folder):
+    """Rows that a labeler raises for, or labels in a way that is not allowed, come back with the reason."""
+    labeled = labelers.label_with(fx.f_doc(spark, folder), _picky, inputs=["review_id"], allowed=["kind_0", "kind_1", "kind_2"])
+    return labeled.select("review_id", "category", "label_error")
+
+
+@query("keyword_points", with_fixtures("f_doc factors", "SELECT review_id, keyword_score FROM factors"))
+def _(spark, folder):
+    """Points for severe and medium words by one automaton."""
+    scored = labelers.keyword_points(fx.f_doc(spark, folder), fx.DOC_SEVERE, fx.DOC_MEDIUM)
+    return scored.select("review_id", "keyword_score")
+
+
 # --- training sets ------------------------------------------------------------------------------
 
 fx.SQL["clean"] = f"""
