@@ -62,11 +62,25 @@ def attach_answers(items: DataFrame, numbers: DataFrame, group: list[str]) -> Da
 
     ``items`` as from ``ingest_model_responses`` with the group's columns,
     ``numbers`` as from ``request_numbers``. Items under a number that was not
-    asked for, or none, are left out.
+    asked for, or none, are in ``unknown_answers``; reviews without an item are
+    in ``unanswered``.
     """
     return items.join(numbers, [*group, "review_number"])
 
 
+def unknown_answers(items: DataFrame, numbers: DataFrame, group: list[str]) -> DataFrame:
+    """Items that ``attach_answers`` leaves out, with ``reason``: ``no number`` or ``unknown number``."""
+    unknown = items.join(numbers.select(*group, "review_number"), [*group, "review_number"], "left_anti")
+    reason = F.when(F.col("review_number").isNull(), "no number").otherwise("unknown number")
+    return unknown.withColumn("reason", reason)
+
+
+def unanswered(items: DataFrame, numbers: DataFrame, group: list[str], default: str = "other") -> DataFrame:
+    """Numbered reviews that no item is about, with the category that stands for none."""
+    asked = numbers.join(items.select(*group, "review_number"), [*group, "review_number"], "left_anti")
+    return asked.withColumn("category", F.lit(default))
+
+
 def build_reply_requests(
     df: DataFrame, key: str = "review_id", size: int = 10, block_width: int | None = None
 ) -> DataFrame:

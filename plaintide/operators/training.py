@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.numbers import percent
 from ..functions.text import is_blank
 from ..functions.vocabulary import CHAT_SYSTEM_TEXT, CHAT_USER_PREFIX, LABEL_KEYS
+from ..session import cut_lineage
 from .filters import clean_labels, usable_label
 
 
@@ -51,12 +52,15 @@ def train_valid_split(
     training row is found by counting: first per 4-digit prefix of the key, then
     per longer prefix inside the one that holds the cut, then among the few keys
     of that. The split itself is a comparison per row.
+
+    The rows are written once with their key, so that each text is made, cleaned
+    and hashed once, and the counts read the keys alone.
     """
     key, digits = shuffle_key(F.col(text), seed), [4, 8]
     if tie in df.columns:
         # The second half of the key is hashed too, so copies of one text spread over its prefixes.
         key, digits = F.concat(key, F.md5(F.col(tie).cast("string").cast("binary")), F.col(tie).cast("string")), [4, 8, 36, 40]
-    keyed = df.withColumn("_key", key)
+    keyed = cut_lineage(df.withColumn("_key", key))
     keys = keyed.select("_key")
     total = F.sum("_n").over(Window.partitionBy())
     counts = keys.groupBy(F.substring("_key", 1, digits[0]).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")).withColumns({

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import filters, issues, labeling, periods, requests, responses, training
 from ..session import cut_lineage, new_path
 from ..sources import results, tables
-from . import composites, fixtures as fx
+from . import composites, fixtures as fx, jobs
 from .catalog_labels import _CHAT_SQL, _SPLIT, _split, _union
-from .fixtures import NEAR, ORD, SCORED, table, with_fixtures
+from .fixtures import NEAR, ORD, SCORED, strip_sql, table, with_fixtures
 from .registry import query
 
 # --- requests ----------------------------------------------------------------------
@@ -229,6 +229,92 @@ def _(spark, folder):
     return results.read_latest_metrics(spark, path, "metric string, n bigint")
 
 
+@query("rewritten_metrics", """
+SELECT event_type AS metric, count(*) AS n, 'a/b=c' AS kind, 'run 1' AS run_id FROM events WHERE event_type <> 'view' GROUP BY event_type""")
+def _(spark, folder):
+    """One run is written twice, the second time with fewer rows: these are its rows."""
+    path = new_path(spark, "metrics")
+    counts = table(spark, folder, "events").groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    for rows in (counts, counts.where("metric <> 'view'")):
+        results.write_metrics_json(rows, path, "a/b=c", "run 1")
+    return results.read_latest_metrics(spark, path, "metric string, n bigint")
+
+
+@query("unknown_answers", with_fixtures("f_doc neg_doc per_doc", """
+SELECT source, period, place + 1000 AS review_number, 'unknown number' AS reason FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY source, period ORDER BY created_at DESC, review_id) AS INTEGER) AS place FROM per_doc)
+WHERE place <= 200 AND place % 10 = 3
+UNION ALL SELECT source, period, NULL, 'no number' FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, period ORDER BY created_at DESC, review_id) AS place FROM per_doc)
+WHERE place <= 200 AND place % 10 = 7"""))
+def _(spark, folder):
+    """Every tenth answer stands under a number that was not asked for, every tenth under none."""
+    group = ["source", "period"]
+    numbers = requests.request_numbers(_doc_periods(spark, folder), group)
+    kind = F.col("review_number") % 10
+    items = numbers.select(*group, F.when(kind == 3, F.col("review_number") + 1000).when(kind == 7, F.lit(None).cast("int"))
+                           .otherwise(F.col("review_number")).alias("review_number"), F.lit("x").alias("category"))
+    return requests.unknown_answers(items, numbers, group).drop("category")
+
+
+@query("unanswered_reviews", with_fixtures("f_doc neg_doc per_doc", """
+SELECT review_id, 'other' AS category FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, period ORDER BY created_at DESC, review_id) AS place FROM per_doc)
+WHERE place <= 200 AND place % 10 IN (3, 7)"""))
+def _(spark, folder):
+    """The reviews that no answer is about."""
+    group = ["source", "period"]
+    numbers = requests.request_numbers(_doc_periods(spark, folder), group)
+    items = numbers.where("review_number % 10 not in (3, 7)").select(*group, "review_number")
+    return requests.unanswered(items, numbers, group).select("review_id", "category")
+
+
+def _even_or_odd():
+    """A labeler that tells texts of an even from those of an odd number of characters."""
+    def label(batch):
+        return ["good" if len(t or "") % 2 == 0 else "bad" for t in batch.column("review_text").to_pylist()]
+
+    return label
+
+
+fx.SQL["job_pairs"] = f"""
+SELECT review_id, lower({strip_sql('manual_label')}) AS t, CASE WHEN length(review_text) % 2 = 0 THEN 'good' ELSE 'bad' END AS p
+FROM f_raw WHERE lower({strip_sql('manual_label')}) IN ('good', 'bad')"""
+
+
+def _labeled_csv(spark, folder):
+    rows = fx.f_raw(spark, folder).select("review_id", "review_text", "rating", "manual_label", F.lit("").alias("notes"))
+    return tables.write_labeling_csv(rows, new_path(spark, "labeled_csv"))
+
+
+@query("evaluate_csv", with_fixtures("f_raw job_pairs", """
+SELECT 'per_class' AS part, t AS name, count(*) AS n FROM job_pairs GROUP BY t
+UNION ALL SELECT 'confusion', a.t || '>' || b.t, count(j.t) FROM (SELECT DISTINCT t FROM job_pairs UNION SELECT p FROM job_pairs) a
+  CROSS JOIN (SELECT DISTINCT t FROM job_pairs UNION SELECT p FROM job_pairs) b LEFT JOIN job_pairs j ON j.t = a.t AND j.p = b.t GROUP BY a.t, b.t
+UNION ALL SELECT 'errors', t || '>' || p, count(*) FROM job_pairs WHERE t <> p GROUP BY t, p
+UNION ALL SELECT 'report', t || '>' || p, count(*) FROM job_pairs WHERE t <> p GROUP BY t, p"""))
+def _(spark, folder):
+    """A labeled CSV is evaluated and its errors analyzed; the result files are read back."""
+    out = jobs.evaluate_csv(spark, _labeled_csv(spark, folder), _even_or_odd, new_path(spark, "evaluation"), "run_1", keys=fx.DOC_KEYS)
+    read = lambda kind, schema: results.read_latest_metrics(spark, out, schema).where(F.col("kind") == f"baseline_{kind}")
+    pair = F.concat("true_label", F.lit(">"), "predicted_label")
+    labels = "true_label string, predicted_label string"
+    return _union([
+        read("per_class", "label string, support bigint").select(F.lit("per_class"), "label", "support"),
+        read("confusion", f"{labels}, n bigint").select(F.lit("confusion"), pair, "n"),
+        read("errors", labels).groupBy(F.lit("errors"), pair).agg(F.count(F.lit(1))),
+        read("report_confusion_pairs", f"{labels}, n bigint").select(F.lit("report"), pair, "n"),
+    ], "part", "name", "n")
+
+
+@query("training_files_csv", with_fixtures(f"{_SPLIT} chat_lines", "SELECT part, line FROM chat_lines"))
+def _(spark, folder):
+    """A labeled CSV becomes training and validation files."""
+    paths = jobs.training_files_csv(spark, _labeled_csv(spark, folder), new_path(spark, "training"), fx.DOC_KEYS)
+    parts = [spark.read.text(paths[part]).select(F.lit(part), "value") for part in ("train", "valid")]
+    return _union(parts, "part", "line")
+
+
 # --- the full analysis --------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import preview, tokens
 from ..functions.urls import platform_of, product_id_of
 from ..functions.vocabulary import STOPWORDS
-from ..operators import filters, issues, joins, periods, positions, priority, stats
+from ..operators import filters, issues, joins, period_counts, periods, positions, priority, stats, stored_pages
 from ..session import new_path
 from ..sources import pages, tables
 from . import fixtures as fx
@@ -403,6 +403,28 @@ def _(spark, folder):
     return issues.emerging_issues(_periods(spark, folder), order="review_id")
 
 
+@query("stored_period_compare", with_fixtures(f"{ORD} compared", "SELECT * FROM compared"))
+def _(spark, folder):
+    """Counts by day are stored, the newest day once more, and the periods added up from them."""
+    items, path = filters.filter_negative(fx.f_ord(spark, folder)), new_path(spark, "days")
+    period_counts.store_days(items, path, order="review_id")
+    newest = items.agg(F.max("created_at")).first()[0]
+    period_counts.store_days(items, path, [newest.date()], order="review_id")
+    return period_counts.stored_period_compare(spark, path, recent_days=90, comparison_days=180, order="review_id")
+
+
+@query("stored_period_compare_within_days", """
+WITH bounds AS (SELECT max(ts) AS mx FROM events)
+SELECT event_type AS category, count(*) FILTER (ts >= mx - INTERVAL 7 DAY) AS recent_count,
+       count(*) FILTER (ts < mx - INTERVAL 7 DAY) AS comparison_count, min(event_id) FILTER (ts >= mx - INTERVAL 7 DAY) AS first_position
+FROM events, bounds WHERE ts >= mx - INTERVAL 14 DAY GROUP BY event_type HAVING count(*) FILTER (ts >= mx - INTERVAL 7 DAY) > 0""")
+def _(spark, folder):
+    """Periods that begin within a day: of the two days concerned the events are read."""
+    items = table(spark, folder, "events").select(F.col("event_type").alias("category"), F.col("ts").alias("created_at"), F.col("event_id").alias("review_number"))
+    path = period_counts.store_days(items, new_path(spark, "days"))
+    return period_counts.stored_period_compare(spark, path, recent_days=7, comparison_days=14, items=items)
+
+
 @query("issue_brief", with_fixtures(f"{ORD} cnt top3 ranked compared surge emerging", """
 SELECT category, n, percentage,
        string_agg(brief_issue, ' / ' ORDER BY example_rank) FILTER (example_rank <= 3) AS examples,
@@ -475,6 +497,24 @@ def _(spark, folder):
     return page.select("review_id", "rating", "review_text")
 
 
+@query("stored_page", with_fixtures("f_doc", """
+SELECT review_id, created_at, rating, row_number() OVER (ORDER BY created_at DESC, review_id) - 1 AS rank
+FROM f_doc ORDER BY created_at DESC, review_id LIMIT 20 OFFSET 80"""))
+def _(spark, folder):
+    """A page that begins in one stored file and ends in the next."""
+    reviews = fx.f_doc(spark, folder).select("review_id", "created_at", "rating")
+    path = stored_pages.store_pages(reviews, new_path(spark, "pages"), stored_pages.newest_order(), rows_per_file=90)
+    return stored_pages.stored_page(spark, path, 5)
+
+
+@query("stored_priority_page", with_fixtures(SCORED, f"""
+SELECT review_id, score, level FROM scored WHERE rating <= 3 {_ORDER} LIMIT 20 OFFSET 40"""))
+def _(spark, folder):
+    scored = priority.negative_scored(fx.f_doc(spark, folder), **fx.SCORING).select("review_id", "created_at", "score", "level")
+    path = stored_pages.store_pages(scored, new_path(spark, "pages"), stored_pages.priority_sorted())
+    return stored_pages.stored_page(spark, path, 3).select("review_id", "score", "level")
+
+
 @query("page_counts", "SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages FROM documents")
 def _(spark, folder):
     return positions.page_counts(table(spark, folder, "documents"))

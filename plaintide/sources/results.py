@@ -17,10 +17,18 @@ def write_chat_jsonl(split: DataFrame, path: str, **format_args) -> dict[str, st
     return paths
 
 
+def partition_name(value: str) -> str:
+    """A value as part of a path; Spark reads it back as it was."""
+    return "".join(c if c.isalnum() or c in "-_." or ord(c) > 127 else f"%{ord(c):02X}" for c in value)
+
+
 def write_metrics_json(df: DataFrame, path: str, kind: str, run_id: str) -> str:
-    """Metric or error rows as JSON lines below ``kind=…/run_id=…``."""
-    tagged = df.withColumns({"kind": F.lit(kind), "run_id": F.lit(run_id)})
-    tagged.write.mode("append").partitionBy("kind", "run_id").json(path)
+    """Metric or error rows as JSON lines below ``kind=…/run_id=…``.
+
+    A run that is written again takes the place of what it wrote before, also if
+    it has fewer rows or none; other runs are not touched.
+    """
+    df.write.mode("overwrite").json(f"{path}/kind={partition_name(kind)}/run_id={partition_name(run_id)}")
     return path
 
 
