@@ -13,6 +13,9 @@ from ..session import cut_lineage
 from .filters import clean_labels, usable_label
 
 
+FEW_KEYS = 1 << 14
+
+
 def dedup_text(df: DataFrame, text: str = "review_text", order: str = "review_id") -> DataFrame:
     """The first row of each text.
 
@@ -61,36 +64,32 @@ def train_valid_split(
         # The second half of the key is hashed too, so copies of one text spread over its prefixes.
         key, digits = F.concat(key, F.md5(F.col(tie).cast("string").cast("binary")), F.col(tie).cast("string")), [4, 8, 36, 40]
     keyed = cut_lineage(df.withColumn("_key", key))
-    keys = keyed.select("_key")
-    total = F.sum("_n").over(Window.partitionBy())
-    counts = keys.groupBy(F.substring("_key", 1, digits[0]).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n")).withColumns({
-        "_cut": F.floor(total * F.lit(1 - valid_share)), "_before": F.lit(0).cast("bigint"),
-    })
-    for shorter, longer in zip(digits, digits[1:]):
-        counts = (
-            _keys_at_cut(keys, counts, shorter)
-            .groupBy(F.substring("_key", 1, longer).alias("_prefix"), "_cut", "_before")
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-    last = _keys_at_cut(keys, counts, digits[-1]).withColumn("_rank", F.row_number().over(Window.orderBy("_key")))
-    last_key = last.filter(F.col("_rank") <= F.col("_cut") - F.col("_before")).agg(F.max("_key")).scalar()
-    is_train = F.coalesce(F.col("_key") <= last_key, F.lit(False))
+    # A null text has no key and is never trained on.
+    last = _nth_key(keyed.select("_key").filter("_key is not null"), int(keyed.count() * (1 - valid_share)), digits)
+    is_train = F.lit(False) if last is None else F.coalesce(F.col("_key") <= last, F.lit(False))
     return keyed.withColumn("part", F.when(is_train, "train").otherwise("valid")).drop("_key")
 
 
-def _keys_at_cut(keys: DataFrame, counts: DataFrame, digits: int) -> DataFrame:
-    """The keys whose prefix holds row number ``_cut``, and the rows before it.
+def _nth_key(keys: DataFrame, n: int, digits: Sequence[int]) -> str | None:
+    """The ``n``-th smallest key, counted from 1; None if there is no such key.
 
-    ``counts`` has at most 16**4 rows, so their running sum is one small task,
-    and the prefix chosen is a single row.
+    Keys are counted by a prefix, then by a longer one inside the prefix that
+    holds the n-th, until few keys have it. A count has at most 16 ** 4 rows, so
+    their running sum is one small task, and one row of it is wanted.
     """
-    ends = counts.withColumn("_end", F.sum("_n").over(Window.orderBy("_prefix")) + F.col("_before"))
-    at = (
-        ends.filter(F.col("_end") >= F.col("_cut")).orderBy("_prefix").limit(1)
-        .select("_prefix", "_cut", (F.col("_end") - F.col("_n")).alias("_before"))
-    )
-    prefix = F.substring("_key", 1, digits)
-    return keys.join(F.broadcast(at), prefix == F.col("_prefix")).drop("_prefix")
+    if n < 1:
+        return None
+    for size in digits:
+        counts = keys.groupBy(F.substring("_key", 1, size).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+        ends = counts.withColumn("_end", F.sum("_n").over(Window.orderBy("_prefix")))
+        at = ends.filter(F.col("_end") >= n).orderBy("_prefix").first()
+        if at is None:
+            return None
+        keys, n = keys.filter(F.col("_key").startswith(at["_prefix"])), n - (at["_end"] - at["_n"])
+        if at["_n"] <= FEW_KEYS:
+            break
+    # Beyond all prefixes only rows with the same text and the hash of the same id are left.
+    return keys.orderBy("_key").limit(n).agg(F.max("_key")).first()[0]
 
 
 def chat_examples(
