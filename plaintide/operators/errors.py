@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import unnest
 from ..functions.numbers import ordered_pair
@@ -18,12 +18,31 @@ from ..functions.vocabulary import STOPWORDS
 PAIR = ["true_label", "predicted_label"]
 
 
+def error_profile(errors: DataFrame) -> DataFrame:
+    """Mismatches per pair, length bucket and rating: ``n`` and ``first_id``.
+
+    One pass over the texts. All functions here but the keywords take a profile
+    in place of the mismatches and give the same rows.
+    """
+    bucket = length_bucket(F.col("review_text")).alias("bucket")
+    return errors.groupBy(*PAIR, bucket, "rating").agg(F.count(F.lit(1)).alias("n"), F.min("review_id").alias("first_id"))
+
+
+def _counted(errors: DataFrame) -> bool:
+    return "first_id" in errors.columns and "n" in errors.columns
+
+
+def _n(errors: DataFrame) -> Column:
+    return (F.sum("n") if _counted(errors) else F.count(F.lit(1))).alias("n")
+
+
+def _first(errors: DataFrame) -> Column:
+    return F.min("first_id" if _counted(errors) else "review_id").alias("first_id")
+
+
 def confusion_pairs(errors: DataFrame) -> DataFrame:
     """Errors per directed pair, most frequent first, ties by first appearance."""
-    return (
-        errors.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.min("review_id").alias("first_id"))
-        .orderBy(F.desc("n"), "first_id")
-    )
+    return errors.groupBy(*PAIR).agg(_n(errors), _first(errors)).orderBy(F.desc("n"), "first_id")
 
 
 def top_pairs(errors: DataFrame, k: int = 5) -> DataFrame:
@@ -31,31 +50,30 @@ def top_pairs(errors: DataFrame, k: int = 5) -> DataFrame:
 
 
 def errors_by_length(errors: DataFrame) -> DataFrame:
-    bucket = length_bucket(F.col("review_text")).alias("bucket")
-    return errors.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.col("bucket") if _counted(errors) else length_bucket(F.col("review_text")).alias("bucket")
+    return errors.groupBy(bucket).agg(_n(errors))
 
 
 def errors_by_rating(errors: DataFrame) -> DataFrame:
     """Errors per rating as text; rows without a rating are left out."""
     rated = errors.filter(F.col("rating").isNotNull())
     return (
-        rated.groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
+        rated.groupBy("rating").agg(_n(errors))
         .select(rating_key(F.col("rating")).alias("rating_key"), "n")
     )
 
 
 def errors_by_true_label(errors: DataFrame, k: int | None = 5) -> DataFrame:
     counts = (
-        errors.groupBy("true_label")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("review_id").alias("first_id"))
+        errors.groupBy("true_label").agg(_n(errors), _first(errors))
         .orderBy(F.desc("n"), "first_id")
     )
     return counts if k is None else counts.limit(k)
 
 
-def errors_of_top_pairs(errors: DataFrame, pairs: int = 3) -> DataFrame:
+def errors_of_top_pairs(errors: DataFrame, pairs: int = 3, profile: DataFrame | None = None) -> DataFrame:
     """The error rows of the most frequent pairs, with the pair's rank."""
-    top = top_pairs(errors, pairs)
+    top = top_pairs(errors if profile is None else profile, pairs)
     # ``pairs`` rows only, so one small task ranks them and they can be broadcast.
     ranked = top.withColumn(
         "pair_rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_id"))
@@ -64,7 +82,7 @@ def errors_of_top_pairs(errors: DataFrame, pairs: int = 3) -> DataFrame:
 
 
 def confusion_keywords(
-    errors: DataFrame, pairs: int = 3, k: int = 10, stopwords: Sequence[str] = STOPWORDS
+    errors: DataFrame, pairs: int = 3, k: int = 10, stopwords: Sequence[str] = STOPWORDS, profile: DataFrame | None = None
 ) -> DataFrame:
     """The ``k`` most frequent words in the texts of each of the top pairs.
 
@@ -73,7 +91,7 @@ def confusion_keywords(
     the word that appears first.
     """
     words = unnest(
-        errors_of_top_pairs(errors, pairs), ["pair_rank", *PAIR, "review_id"],
+        errors_of_top_pairs(errors, pairs, profile), ["pair_rank", *PAIR, "review_id"],
         tokens(F.col("review_text"), stopwords), "pos", "keyword",
     )
     counts = words.groupBy("pair_rank", *PAIR, "keyword").agg(

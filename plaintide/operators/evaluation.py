@@ -158,6 +158,26 @@ def strategy_accuracy(df: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
+def answered_accuracy(labeled: DataFrame, predicted: DataFrame, default: str = "other", digits: int = 4) -> DataFrame:
+    """Accuracy per strategy over all rows of ``labeled`` (``review_number, true_label``), those without a prediction counting as ``default``.
+
+    ``predicted`` has ``strategy, strategy_order, review_number, prediction``, at
+    most one row for a strategy and review. Rows without a prediction are never
+    made: they are right where the true label is ``default``, which is known by
+    subtraction from one count over all rows.
+    """
+    is_default = F.coalesce(F.col("true_label") == default, F.lit(False))
+    every = labeled.agg(
+        F.count("true_label").alias("rows"), F.count_if(is_default).alias("defaults")).select(F.struct("rows", "defaults")).scalar()
+    strategies = predicted.groupBy("strategy").agg(F.min("strategy_order").alias("strategy_order"))
+    label = F.coalesce("prediction", F.lit(default))
+    known = labeled.join(predicted, "review_number").groupBy("strategy").agg(
+        F.count_if(F.col("true_label") == label).alias("hits"), F.count_if(is_default).alias("default_rows"))
+    hits = F.coalesce("hits", F.lit(0)) + every["defaults"] - F.coalesce("default_rows", F.lit(0))
+    return strategies.join(known, "strategy", "left").select(
+        "strategy", "strategy_order", F.bround(F.try_divide(hits.cast("double"), every["rows"]), digits).alias("accuracy"))
+
+
 def strategy_summary(accuracy: DataFrame, baseline: str = "zero_shot") -> DataFrame:
     """Improvement of each strategy over ``baseline`` in points, and the best one."""
     # One row per strategy: a window over all of them is small, and the

@@ -92,8 +92,10 @@ def build_reply_requests(
     entry = F.format_string(
         REPLY_ENTRY, F.col("review_index"), F.col("rating").cast("string"), category, F.col("review_text")
     )
+    # Only keys are ranked; each text is moved once to its place and once to its request.
+    placed = df.join(chunk_requests(df.select(key), key, size, block_width), key)
     return (
-        chunk_requests(df, key, size, block_width).withColumn("_entry", entry)
+        placed.withColumn("_entry", entry)
         .groupBy("batch", "chunk_start").agg(
             F.count(F.lit(1)).alias("review_count"),
             _joined("review_index", "_entry", "").alias("request_text"),

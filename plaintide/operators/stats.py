@@ -8,15 +8,24 @@ from ..functions.numbers import percent
 from ..functions.text import rating_key
 
 
-def rating_distribution(df: DataFrame, rating: str = "rating") -> DataFrame:
-    """Reviews per rating, ascending; whole ratings keyed without decimals."""
-    counts = df.filter(F.col(rating).isNotNull()).groupBy(rating).agg(F.count(F.lit(1)).alias("n"))
+def rating_distribution(df: DataFrame, rating: str = "rating", counted: bool = False) -> DataFrame:
+    """Reviews per rating, ascending; whole ratings keyed without decimals. ``counted``: see ``review_stats``."""
+    rated = df.filter(F.col(rating).isNotNull())
+    counts = rated if counted else rating_counts(rated, rating)
     return counts.orderBy(rating).select(rating_key(F.col(rating)).alias("rating_key"), "n")
 
 
-def review_stats(df: DataFrame, threshold: float = 3, rating: str = "rating") -> DataFrame:
-    """One row: total, negative, their share and the threshold. One scan."""
-    total, negative = F.count(F.lit(1)), F.count_if(F.col(rating) <= threshold)
+def rating_counts(df: DataFrame, rating: str = "rating") -> DataFrame:
+    """Rows per rating, null included, as ``n``: what the two functions here need of a table."""
+    return df.groupBy(rating).agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_stats(df: DataFrame, threshold: float = 3, rating: str = "rating", counted: bool = False) -> DataFrame:
+    """One row: total, negative, their share and the threshold. One scan; ``counted`` says that ``df`` is of ``rating_counts``."""
+    if counted:
+        total, negative = (F.coalesce(F.sum(n), F.lit(0)) for n in (F.col("n"), F.when(F.col(rating) <= threshold, F.col("n"))))
+    else:
+        total, negative = F.count(F.lit(1)), F.count_if(F.col(rating) <= threshold)
     return df.agg(
         total.alias("total_reviews"),
         negative.alias("negative_reviews"),

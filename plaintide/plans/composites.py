@@ -12,7 +12,8 @@ from ..operators.filters import clean_labels, filter_negative
 from ..operators.joins import attach_predictions
 from ..operators.periods import split_by_period
 from ..operators.priority import priority_top, with_priority
-from ..operators.stats import rating_distribution, review_stats
+from ..operators.stats import rating_counts, rating_distribution, review_stats
+from ..session import cut_lineage
 
 __all__ = [
     "consensus_batch", "error_report", "evaluation_report", "full_analysis", "model_comparison",
@@ -45,11 +46,13 @@ def full_analysis(
     order = "_order"
     periods = issues.newest_first_order(split_by_period(negative, recent_days, comparison_days), order)
     recent = periods.filter(F.col("period") == "recent")
-    compared = issues.period_compare(periods, order)
+    # Small tables, one row for a category or a rating, that several parts read: each is made by one pass and written once.
+    compared = cut_lineage(issues.period_compare(periods, order))
     counts = issues.recent_counts(compared)
+    ratings = cut_lineage(rating_counts(reviews))
     return {
-        "stats": review_stats(reviews, threshold),
-        "rating_distribution": rating_distribution(reviews),
+        "stats": review_stats(ratings, threshold, counted=True),
+        "rating_distribution": rating_distribution(ratings, counted=True),
         "top_issues": issues.top_issues(recent, top_n, order=order, counts=counts),
         "all_categories": counts.select("category", "n"),
         "emerging_issues": issues.emerging_issues(periods, compared=compared),
@@ -62,9 +65,9 @@ def full_analysis(
 def evaluation_report(predictions: DataFrame) -> dict[str, DataFrame]:
     """Metrics, confusion matrix and mismatches of one prediction table.
 
-    The table is aggregated once; the metrics share that aggregate.
+    The table is aggregated once, and the pair counts are written for the parts that share them.
     """
-    pairs = ev.label_pairs(predictions)
+    pairs = cut_lineage(ev.label_pairs(predictions))
     return {
         "overall": ev.eval_weighted(pairs),
         "per_class": ev.eval_per_class(pairs),
@@ -74,14 +77,19 @@ def evaluation_report(predictions: DataFrame) -> dict[str, DataFrame]:
 
 
 def error_report(errors: DataFrame) -> dict[str, DataFrame]:
-    """All error analyses of a mismatch table; empty in, empty out."""
+    """All error analyses of a mismatch table; empty in, empty out.
+
+    The texts are read twice: for the profile, which is written once, and for
+    the keywords.
+    """
+    profile = cut_lineage(err.error_profile(errors))
     return {
-        "confusion_pairs": err.confusion_pairs(errors),
-        "review_length": err.errors_by_length(errors),
-        "rating": err.errors_by_rating(errors),
-        "categories": err.errors_by_true_label(errors, None),
-        "keywords": err.confusion_keywords(errors),
-        "suggestions": err.error_suggestions(errors),
+        "confusion_pairs": err.confusion_pairs(profile),
+        "review_length": err.errors_by_length(profile),
+        "rating": err.errors_by_rating(profile),
+        "categories": err.errors_by_true_label(profile, None),
+        "keywords": err.confusion_keywords(errors, profile=profile),
+        "suggestions": err.error_suggestions(profile),
     }
 
 
@@ -110,16 +118,6 @@ def training_set(labeled: DataFrame, keys, valid_share: float = 0.2, seed: int =
 def prompt_experiment_table(labeled: DataFrame, answers: DataFrame, baseline: str = "zero_shot") -> DataFrame:
     """Accuracy per strategy from raw answers ``strategy, strategy_order,
     review_number, item_pos, category``. A review without an answer is ``other``."""
-    strategies = answers.select("strategy", "strategy_order").distinct()
-    # One row per strategy, a handful by nature, as a literal list per review.
-    listed = strategies.agg(F.collect_list(F.struct("strategy", "strategy_order"))).scalar()
-    trials = (
-        labeled.withColumn("_s", F.explode(listed))
-        .select("review_number", "true_label", "_s.*")
-        .withColumn("trial", F.struct("strategy", "review_number"))
-    )
-    items = answers.withColumn("trial", F.struct("strategy", "review_number")).select(
-        "trial", "item_pos", "category"
-    )
-    scored = attach_predictions(trials, items, number="trial").withColumnRenamed("prediction", "predicted_label")
-    return ev.strategy_summary(ev.strategy_accuracy(scored), baseline)
+    last = F.max_by("category", "item_pos")
+    predicted = answers.groupBy("strategy", "review_number").agg(F.min("strategy_order").alias("strategy_order"), last.alias("prediction"))
+    return ev.strategy_summary(ev.answered_accuracy(labeled, predicted), baseline)
