@@ -50,6 +50,7 @@ class ByteCounter:
         ids = {raw(p): i for p, i in model["vocab"].items() if p not in self.specials}
         self.lattice = Lattice(ids, lambda a, b: ranks.get((a, b)))
         self.words = regex.compile(PATTERN)
+        self.blank = regex.compile(f"[{BLANK}]+")
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) \
             if self.specials else None
         self.known: dict[str, int] = {}
@@ -115,9 +116,16 @@ class ByteCounter:
         while first and (words[first - 1].isspace() or words[first].isspace() or words[first - 1].endswith("'")):
             first -= 1
         word, start = words[i], ends[i]
-        if word in self.specials:
-            counts = [self.total(text[ends[first]:start + n]) for n in range(1, len(word) + 1)]
-        elif len(word) == 1 or word.isspace() or word[0] == "'":
+        if self.blank.fullmatch(word) and word not in self.specials:
+            # A text that ends in blanks ends in one word of them all, of which every prefix is counted by one fold.
+            first = i
+            while first and self.blank.fullmatch(words[first - 1]) and words[first - 1] not in self.specials:
+                first -= 1
+            folded = self.lattice.counts(text[ends[first]:ends[i + 1]].encode())
+            before = len(text[ends[first]:start].encode())
+            counts = [folded[before + b] for b in accumulate(len(c.encode()) for c in word)]
+        elif word in self.specials or len(word) == 1 or (word[0] == "'" and len(word) <= 3):
+            # A few characters, which may be cut otherwise when they are the last: a special string, a contraction.
             counts = [self.total(text[ends[first]:start + n]) for n in range(1, len(word) + 1)]
         else:
             # Letters, numbers or signs: the word's prefixes are words too, and what stands before stays as it is.

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +63,29 @@ def test_every_prefix():
         assert not text or (ends[-1], sums[-1]) == (len(text), counts[-1])
 
 
+def test_every_prefix_of_runs():
+    """Runs of blanks, signs and apostrophes, alone and between words."""
+    rng = random.Random(8)
+    runs = ["\t" * 40, " " * 30, "\n \t" * 12, "'" * 25, "!" * 30, "\x1c" * 9, "\u3000\u00a0" * 7, "1" * 30]
+    for k in range(60):
+        text = "".join(rng.choice([*runs, "a", " the", "'s", "<|endoftext|>"]) for _ in range(rng.randint(1, 5)))
+        counts = [count(text[:n]) for n in range(len(text) + 1)]
+        for budget in (1, 2, 5, 11):
+            assert COUNTER.within(text, budget) == max(n for n, c in enumerate(counts) if c <= budget), (text, budget)
+
+
+@pytest.mark.parametrize("part", ["\t", "1,", "a", " ", "\n\n ", "'", "!?", "é", "<|endoftext|>"])
+def test_a_megabyte_of_one_thing(part):
+    text = part * ((1 << 20) // len(part))
+    begin = time.perf_counter()
+    total = COUNTER.total(text)
+    within = COUNTER.within(text, 1024)
+    assert time.perf_counter() - begin < 20
+    assert total > 1024 and count(text[:within]) <= 1024
+    longer = [n for n in range(within + 1, within + 40) if count(text[:n]) <= 1024]
+    assert longer == []
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     from plaintide.llm import merges
 
