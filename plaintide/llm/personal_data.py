@@ -17,10 +17,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 # The base kinds, in the order in which equal starts are listed.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("number", "national_phone", "national_id", "secret")
@@ -32,7 +35,8 @@ _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    # Runs of fewer digits than any rule wants are no matches; neither is any end of one.
+    "card": r"(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "national_phone": r"(?<![0-9+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -64,6 +68,8 @@ CUES = {
 AGAINST = r"(?i)(?:version|release|isbn|issn|page|figure|chapter|section|order|invoice|sha\d*|md5|commit|doi)\W*(?:\w+\W+)?$"
 LABELERS = ("format", "gazetteer", "cue", "against", "border")
 CONTEXT = 32
+#: Items that are folded into one array, and code points of a part of a text. Results do not depend on them.
+FOLDED, PART = 256, 4096
 
 
 def _digits(c: Column) -> Column:
@@ -78,8 +84,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), last - 1), F.lit(0), lambda a, i: a + term(i)) % 10 == 0
 
 
+def _in_chunks(items: Column) -> Column:
+    """An array as arrays of at most ``FOLDED`` items each."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int")), lambda c: F.slice(items, c * FOLDED + 1, F.lit(FOLDED)))
+
+
 def _places(text: Column, pattern: str, needs: str | None) -> Column:
-    """All matches: ``s``, ``e`` (code points, end exclusive) and ``m``, the matched text."""
+    """All matches: ``s``, ``e`` (code points, end exclusive) and ``m``, the matched text.
+
+    A fold that appends to an array copies it each time. So the matches are
+    folded in chunks, each from its own beginning, and the chunks are moved to
+    their places after that: a text of one match a word costs little more.
+    """
     kind = "array<struct<s:int,e:int,m:string>>"
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -88,11 +104,41 @@ def _places(text: Column, pattern: str, needs: str | None) -> Column:
         (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
         F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("s"),
                                             (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"))
-    found = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), walk, lambda a: a["out"])
+    fold = lambda items: F.aggregate(items, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), walk)
+
+    def long(found: Column) -> Column:
+        moved = F.aggregate(
+            F.transform(_in_chunks(found), fold), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda a, c: F.struct((a["at"] + c["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(c["out"], lambda x: F.struct(
+                (x["s"] + a["at"]).alias("s"), (x["e"] + a["at"]).alias("e"), x["m"].alias("m"))))).alias("out")))
+        return F.flatten(moved["out"])
+
+    found = let(both, lambda items: F.when(F.size(items) <= FOLDED, fold(items)["out"]).otherwise(long(items)))
     there = text.contains(needs) if needs else text.rlike("[0-9]")
     return F.when(there & text.rlike(pattern), found).otherwise(F.array().cast(kind))
 
 
+def _parts(text: Column) -> Column:
+    """The text in parts of ``PART`` code points."""
+    return F.when(F.length(text) <= PART, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))
+
+
+def _cut(parts: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` (from 0), from the parts they are in: a whole text would be counted through each time."""
+    first = F.floor(start / PART).cast("int")
+    last = F.floor((start + size) / PART).cast("int")
+    return F.substring(F.concat_ws("", F.slice(parts, first + 1, last - first + 1)), start - first * PART + 1, size)
+
+
+def _overlaps(a: Column, spans: Column) -> Column:
+    """Whether ``a`` overlaps one of ``spans`` of one kind, which are in order and apart: only the last that begins before its end can."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    before = F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (step <= F.size(spans) - n) & (F.get(spans, n + step - 1)["s"] < a["e"]), n + step).otherwise(n))
+    few = F.exists(spans, lambda b: (b["s"] < a["e"]) & (a["s"] < b["e"]))
+    return F.when(F.size(spans) <= 32, few).otherwise(let(before, lambda n: F.coalesce(F.get(spans, n - 1)["e"] > a["s"], F.lit(False))))
+
+
 def _valid(kind: str, m: Column) -> Column:
     digits = F.length(_digits(m))
     if kind == "ip":
@@ -125,24 +171,25 @@ def candidates(df: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] =
     """The columns in ``keep`` and ``candidates``: ``s``, ``o`` (kind's place in ``KINDS``), ``e``, ``votes``."""
     text = F.col("__text")
     rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    found = rows.select("*", *[_places(text, p, NEEDS[k]).alias(f"__{k}") for k, p in PATTERNS.items()])
+    found = rows.select("*", _parts(text).alias("__parts"), *[_places(text, p, NEEDS[k]).alias(f"__{k}") for k, p in PATTERNS.items()])
+    parts = F.col("__parts")
 
     def of(kind: str, source: str) -> Column:
         valid = F.filter(F.col(f"__{source}"), lambda x: _valid(kind, x["m"]))
         start = lambda x: F.greatest(x["s"] - CONTEXT, F.lit(0))
         # The context is cut out once, all labelers read it.
         near = F.transform(valid, lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.substring(text, start(x) + 1, x["s"] - start(x)).alias("before"),
-            F.substring(text, x["e"] + 1, F.lit(1)).alias("after")))
+            x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _cut(parts, start(x), x["s"] - start(x)).alias("before"),
+            _cut(parts, x["e"], F.lit(1)).alias("after")))
         return F.transform(near, lambda x: F.struct(
             x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), x["e"].alias("e"),
             _votes(kind, x["m"], x["before"], x["after"]).alias("votes")))
 
-    base = found.select(*keep, F.flatten(F.array(*[of(k, k) for k in BASE])).alias("__base"),
+    base = found.select(*keep, *[of(k, k).alias(f"__base_{k}") for k in BASE],
                         F.flatten(F.array(*[of(k, "card" if k == "number" else k) for k in ADDED])).alias("__added"))
     # What overlaps a base span is that span, or part of it.
-    free = F.filter("__added", lambda a: ~F.exists("__base", lambda b: (b["s"] < a["e"]) & (a["s"] < b["e"])))
-    return base.select(*keep, F.array_sort(F.concat("__base", free)).alias("candidates"))
+    free = F.filter("__added", lambda a: ~reduce(Column.__or__, [_overlaps(a, F.col(f"__base_{k}")) for k in BASE]))
+    return base.select(*keep, F.array_sort(F.concat(*[f"__base_{k}" for k in BASE], free)).alias("candidates"))
 
 
 @dataclass(frozen=True)
@@ -223,12 +270,19 @@ def listed(spans: Column) -> Column:
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; of overlapping spans the first names the place."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    step = lambda a, c: F.when(c["s"] >= a["at"], F.struct(
-        c["e"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, c["s"] - a["at"]), F.element_at(names, c["o"] + 1))).alias("out"))
-    ).otherwise(F.struct(F.greatest(a["at"], c["e"]).alias("at"), a["out"].alias("out")))
-    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step,
-                      lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+    def replaced(parts: Column) -> Column:
+        step = lambda a, c: F.when(c["s"] >= a["at"], F.struct(
+            c["e"].alias("at"), F.concat(a["out"], F.array(_cut(parts, a["at"], c["s"] - a["at"]), F.element_at(names, c["o"] + 1))).alias("out"))
+        ).otherwise(F.struct(F.greatest(a["at"], c["e"]).alias("at"), a["out"].alias("out")))
+        # As above: what is written is joined after each chunk of spans.
+        chunk = lambda a, some: let(
+            F.aggregate(some, F.struct(a["at"].alias("at"), F.array().cast("array<string>").alias("out")), step),
+            lambda done: F.struct(done["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(done["out"], ""))).alias("out")))
+        return F.aggregate(_in_chunks(spans), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), chunk,
+                           lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+
+    return F.when(F.size(spans) > 0, let(_parts(text), replaced)).otherwise(text)
 
 
 def personal_data(df: DataFrame, model: SpanModel | None = None, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from plaintide.llm import personal_data
@@ -45,6 +47,47 @@ def test_random_texts(spark):
         assert [(c.s, c.o, c.e) for c in r.candidates if c.o < len(PLAIN)] == base(r.text), r.text[:200]
 
 
+def plain_redact(text, spans):
+    names = [k.upper() for k in personal_data.KINDS]
+    out, at = [], 0
+    for c in spans:
+        if c.s >= at:
+            out += [text[at:c.s], f"[{names[c.o]}]"]
+            at = c.e
+        else:
+            at = max(at, c.e)
+    return "".join([*out, text[at:]])
+
+
+def test_many_spans_in_one_text(spark):
+    """More spans than are folded at a time, texts of many parts: places, overlaps and redaction as in plain Python."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices([*PARTS, "4111111111111111 ", "x@y.org ", "10.1.2.3,", "212-555-0175 ", "123-45-6789,", "é\U0001F600 "], k=4000)) for _ in range(6)]
+    texts += ["a@b.com " * 3000, "1," * 9000, "+1 212 555 0175;" * 2000, ("4111111111111111,9998887776665554,") * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)
+    found = personal_data.candidates(df, keep=("doc_id", "text"))
+    for r in found.select("*", personal_data.redact(F.col("text"), F.col("candidates")).alias("t")).collect():
+        spans = [(c.s, c.o, c.e) for c in r.candidates]
+        own = [x for x in spans if x[1] < len(PLAIN)]
+        assert own == base(r.text) and spans == sorted(spans)
+        ends = sorted(own)
+        for s, o, e in spans:
+            if o >= len(PLAIN):
+                assert not any(b[0] < e and s < b[2] for b in ends)
+        assert r.t == plain_redact(r.text, r.candidates)
+
+
+@pytest.mark.parametrize("part", ["1,", "\t", "a", "a@b.com ", "10.0.0.1,", "+1 212 555 0175;", "4111111111111111,", "1 ", "+", "212-555-0175 "])
+def test_a_megabyte_of_one_thing(spark, part):
+    text = part * ((1 << 20) // len(part))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    begin = time.perf_counter()
+    found = personal_data.candidates(df, keep=("doc_id", "text"))
+    row = found.select("doc_id", F.size("candidates").alias("n"), F.length(personal_data.redact(F.col("text"), F.col("candidates"))).alias("l")).first()
+    assert time.perf_counter() - begin < 60
+    assert row.n == (len(text) // len(part) if part[:2] in ("a@", "10", "+1", "41", "21") else 0) and row.l > 0
+
+
 def test_query(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     names = list(PLAIN)
