@@ -31,6 +31,8 @@ from .common import in_tasks, slices
 BLOCK_CHARACTERS = 500_000
 #: Characters of documents hashed at a time.
 CHUNK = 1 << 20
+#: Shared q-grams handled at a time, and places of a text looked at together where they are more. Results do not depend on them.
+ROWS, WINDOW = 1 << 22, 1 << 13
 
 
 def _plain() -> np.ndarray:
@@ -142,7 +144,7 @@ class Items:
             self.by_length[length] = (keys[order], item[order], place[order], there, np.uint64(64 - bits))
 
     def hits(self, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in ``codes``, item and place in the item of every shared q-gram."""
+        """Place in ``codes`` of every q-gram that items have, and where and how often the index has it."""
         keys, item, place, there, shift = self.by_length[length]
         hashes = grams(codes, length)
         at = np.flatnonzero(there[hashes >> shift])
@@ -150,6 +152,11 @@ class Items:
         first = np.searchsorted(keys, found)
         at, found, first = (x[keys[np.minimum(first, len(keys) - 1)] == found] for x in (at, found, first))
         many = np.searchsorted(keys, found, side="right") - first
+        return at, first, many
+
+    def expanded(self, length: int, at: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row for each shared q-gram: place in the codes, item and place in the item."""
+        _, item, place, _, _ = self.by_length[length]
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         entry = np.repeat(first, many) + nth
         return np.repeat(at, many), item[entry], place[entry]
@@ -161,21 +168,53 @@ class Items:
         offset = np.cumsum([0] + [len(c) + self.q for c, _ in documents])
         out: list[list[tuple]] = [[] for _ in documents]
         for length in self.by_length:
-            at, item, place = self.hits(codes, length)
-            if not len(at):
-                continue
-            diagonal = at - place + (1 << 20)
-            band = diagonal // self.step[item]
-            key = (item << 40) | band
-            values, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-            needed = np.array(self.needed)[values >> 40]
-            for value in values[counts >= needed]:
-                i, step = int(value >> 40), int(self.step[value >> 40])
-                low = int(value & ((1 << 40) - 1)) * step - (1 << 20)
-                inside = (item == i) & (diagonal >= low + (1 << 20)) & (diagonal < low + 2 * step + (1 << 20))
-                self._verify(i, low, 2 * step, at[inside], place[inside], documents, offset, out)
+            at, first, many = self.hits(codes, length)
+            for begin, end in self._windows(length, at, many, len(codes)):
+                self._bands(length, at, first, many, begin, end, documents, offset, out)
         return [sorted(set(found), key=lambda x: (x[1], x[2], str(x[0]))) for found in out]
 
+    def _reach(self, length: int) -> int:
+        """How far after the beginning of a band its last q-gram can stand."""
+        _, item, place, _, _ = self.by_length[length]
+        return int(place.max()) + 2 * int(self.step[item].max()) + 1
+
+    def _windows(self, length: int, at: np.ndarray, many: np.ndarray, size: int):
+        """Ranges of diagonals whose q-grams make up few rows: all of them at once, unless the text repeats what an item repeats."""
+        if not len(at):
+            return
+        if many.sum() <= ROWS:
+            yield -(1 << 20), size
+            return
+        wide = max(self._reach(length), WINDOW)
+        for begin in range(0, size, wide):
+            yield begin if begin else -(1 << 20), min(begin + wide, size)
+
+    def _bands(self, length, at, first, many, begin, end, documents, offset, out) -> None:
+        """Looks at the bands of diagonals that begin in a window, with all their q-grams."""
+        a, b = np.searchsorted(at, [begin, end + self._reach(length)])
+        if a == b:
+            return
+        at, item, place = self.expanded(length, at[a:b], first[a:b], many[a:b])
+        diagonal = at - place + (1 << 20)
+        band = diagonal // self.step[item]
+        key = (item << 40) | band
+        values, counts = np.unique(key, return_counts=True)
+        # A band is looked at together with the next one, so that a passage on the border of two is whole in one.
+        pairs = np.concatenate([values, values - 1])
+        values, where = np.unique(pairs, return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([counts, counts])).astype(np.int64)
+        lows = (values & ((1 << 40) - 1)) * self.step[values >> 40] - (1 << 20)
+        chosen = (counts >= np.array(self.needed)[values >> 40]) & (lows >= begin) & (lows < end)
+        if not chosen.any():
+            return
+        spot = (item << 40) | diagonal
+        order = np.argsort(spot, kind="stable")
+        spot, at, place = spot[order], at[order], place[order]
+        for value, low in zip(values[chosen], lows[chosen]):
+            i, step = int(value >> 40), int(self.step[value >> 40])
+            x, y = np.searchsorted(spot, [(i << 40) | (int(low) + (1 << 20)), (i << 40) | (int(low) + 2 * step + (1 << 20))])
+            self._verify(i, int(low), 2 * step, at[x:y], place[x:y], documents, offset, out)
+
     def _verify(self, i, low, width, at, place, documents, offset, out) -> None:
         pattern, k = self.codes[i], self.edits[i]
         # A band may touch several short texts; each is looked at alone.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from plaintide.llm import decontamination, licences
@@ -43,6 +45,30 @@ def test_edits_up_to_the_budget(spark):
         assert not found or min(h[3] for h in found) == want
 
 
+def test_windows_change_nothing(spark, monkeypatch):
+    """Many repeats, and passages on every border of small windows."""
+    rng = random.Random(7)
+    texts = ["ab" * 30, "a" * 45, "the quick brown fox jumps over the lazy dog and runs away", "abcabcabd" * 9]
+    items = Items(list(range(len(texts))), texts, 10, 0.08)
+    documents = [plain("".join(rng.choice([*texts, "x", "a" * 7, "ab" * 11, " fox jumps over "]) for _ in range(rng.randrange(1, 14)))) for _ in range(25)]
+    want = items.search(documents)
+    assert sum(map(len, want)) > 100
+    monkeypatch.setattr(decontamination, "ROWS", 0)
+    for size in (1, 300, 1 << 13):
+        monkeypatch.setattr(decontamination, "WINDOW", size)
+        assert items.search(documents) == want
+
+
+@pytest.mark.parametrize("part, item, count", [("a", "a" * 300, (1 << 18) - 299), ("1,", "a" * 300, 0), ("ab", "ab" * 100 + "c", 0), ("\t", "b" * 60, 0)])
+def test_long_texts_of_one_thing(part, item, count):
+    items = Items([1], [item], 10, 0.08)
+    text = part * ((1 << 18) // len(part))
+    begin = time.perf_counter()
+    found = items.search([plain(text)])[0]
+    assert time.perf_counter() - begin < 60
+    assert sum(f[3] == 0 for f in found) == count
+
+
 def test_query_finds_what_is_there(spark, docs):
     items = spark.read.parquet(f"{TABLES}/benchmark.parquet").collect()
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items if i.text in d.text}
