@@ -38,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 3-word shingles (Jaccard 0.9) the one with the smallest id stays.
+    """Of each group of documents linked by 5-word shingles (Jaccard 0.8 or more) the one with the smallest id stays.
 
     Rows are told apart by their place in the table, so that null and repeated
     ids do no harm; a null id counts as the largest. Texts without words are
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     # Written once: a later scan may be cut otherwise, and then the same number names another row.
     rows = saved(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups, _ = ngram_join.shingle_components(rows, id_col="__row")
+    groups, _ = ngram_join.shingle_components(rows, id_col="__row", percent=80, size=5)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     named = groups.join(rows.select("__row", "doc_id"), "__row")
     first = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
@@ -65,8 +65,11 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     All documents stay; a null text stays null.
     """
+    # Written once: the patterns are not matched again for the redaction.
+    found = saved(personal_data.candidates(docs, keep=COLUMNS), "candidates")
+    spans = found.withColumn("spans", personal_data.kept_spans(personal_data.fit(found)))
     # Under a name of its own: an expression over "text" beside a new "text" may be given the new one.
-    found = personal_data.personal_data(docs, keep=COLUMNS).withColumn("__redacted", personal_data.redact(F.col("text"), F.col("spans")))
+    found = spans.withColumn("__redacted", personal_data.redact(F.col("text"), F.col("spans")))
     size = F.when(F.size("spans") > 0, F.length("__redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.select("doc_id", F.col("__redacted").alias("text"), "lang", "source", size.alias("n_chars"))
 

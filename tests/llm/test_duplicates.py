@@ -21,16 +21,16 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
-def shingle_sets(rows):
+def shingle_sets(rows, size=3):
     out = {}
     for i, text in rows:
         w = tokens(text)
-        out[i] = frozenset(tuple(w[j:j + 3]) for j in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        out[i] = frozenset(tuple(w[j:j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
     return out
 
 
-def brute_components(rows):
-    sets, index = shingle_sets(rows), defaultdict(list)
+def brute_components(rows, size=3, percent=90):
+    sets, index = shingle_sets(rows, size), defaultdict(list)
     for i, s in sets.items():
         for x in s:
             index[x].append(i)
@@ -47,7 +47,7 @@ def brute_components(rows):
             for j in index[x]:
                 shared[j] += 1
         for j, n in shared.items():
-            if 100 * n >= 90 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}

@@ -21,7 +21,7 @@ def test_stages(spark, docs):
     assert kept.columns == DOCUMENTS
     assert {r.doc_id for r in kept.collect()} == {i for i, r in before.items() if any(c.isalpha() for c in r.text)}
 
-    groups = brute_components([(i, r.text) for i, r in before.items()])
+    groups = brute_components([(i, r.text) for i, r in before.items()], 5, 80)
     kept = STAGES["ngram_join"](spark, docs, TABLES)
     assert kept.columns == DOCUMENTS
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in groups.values()})
