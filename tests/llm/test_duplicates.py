@@ -202,6 +202,17 @@ def test_passages_behind_a_shorter_first_text(spark):
     assert all((r.start, r.n_words, r.like_start, r.similarity) == (60, 50, 60, 1.0) for r in got)
 
 
+def test_passages_of_ids_with_one_hash(spark):
+    rng = random.Random(23)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(80)
+    rows = [(i, " ".join([*own(30), *passage, *own(30)])) for i in (-5155911707605380554, -4823705812181403090)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert frame.select(F.hash("doc_id")).distinct().count() == 1
+    got = passages.repeated_passages(frame).collect()
+    assert [(r.doc_id, r.like_id, r.start, r.n_words) for r in got] == [(rows[1][0], rows[0][0], 30, 80)]
+
+
 def test_passages_with_a_block_replaced(spark):
     rng = random.Random(22)
     own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
