@@ -36,6 +36,8 @@ SMALL = 32
 MOST_COMMON = 1 << 20
 #: Candidates in one prefix tree.
 TREE = 256
+#: Members of a node looked up between two looks at the bound.
+READ = 32
 #: Sets in one block of a large group.
 BLOCK = 512
 #: Bits of the filter on the sets that are read again.
@@ -132,31 +134,43 @@ def _may_link(percent: int) -> Column:
     return room * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
 
 
-def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Which of ``sets`` are similar enough to ``probe``, by a walk over their prefix tree.
+def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int, read: list[int] | None = None) -> list[int]:
+    """Which of ``sets`` are similar enough to ``probe``, by a walk over their prefix tree; all are sorted.
 
     The tree is the sorted list of the sets: a range of it that begins alike is
-    a node, told from the first and the last set of the range.
+    a node, told from the first and the last set of the range. What a node adds
+    to its parent is looked up in ``probe`` once for all sets below it, a few
+    members at a time, and a branch is left as soon as the members that both
+    sides still have cannot make up what is missing. ``read`` gets the number
+    of members looked up.
     """
     order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
     # Sorted as bytes, sets with the same first members stand together, the shorter first.
     rows = [sets[i] for i in order]
-    inside = [np.isin(r, probe, assume_unique=True) for r in rows]
     found, todo = [], [(0, len(rows), 0, 0)]
     while todo:
         low, high, depth, common = todo.pop()
         first, last = rows[low], rows[high - 1]
         size = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:size] != last[depth:size])
-        to = depth + int(differ[0]) if len(differ) else size
-        common += int(inside[low][depth:to].sum())
-        # The most that any set below can have in common, and the least that the smallest must have.
+        to = len(first) if high - low == 1 else depth + int(differ[0]) if len(differ) else size
+        # The largest set below may have most in common, the smallest needs least.
         longest, least = max(len(r) for r in rows[low:high]), min(len(r) for r in rows[low:high])
-        if (common + min(longest - to, len(probe))) * (100 + percent) < percent * (len(probe) + least):
+        needed = percent * (len(probe) + least)
+        alive = True
+        while depth < to and alive:
+            part = first[depth:min(to, depth + READ)]
+            at = np.searchsorted(probe, part)
+            common += int((probe[np.minimum(at, len(probe) - 1)] == part).sum())
+            depth += len(part)
+            if read is not None:
+                read.append(len(part))
+            left = len(probe) - int(np.searchsorted(probe, part[-1], side="right"))
+            alive = (common + min(longest - depth, left)) * (100 + percent) >= needed
+        if not alive:
             continue
         if high - low == 1:
-            common += int(inside[low][to:].sum())
-            if common * (100 + percent) >= percent * (len(probe) + len(first)):
+            if common * (100 + percent) >= needed:
                 found.append(order[low])
             continue
         begin = low

@@ -101,6 +101,17 @@ def test_tree_walk():
             assert ngram_join.walk(probe, sets, percent) == want
 
 
+def test_tree_walk_reads_little():
+    """Unrelated sets are left after their first members, and what many sets begin with is read once."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+    probe, sets, read = draw(500), [draw(500) for _ in range(256)], []
+    assert ngram_join.walk(probe, sets, 90, read) == [] and sum(read) < 256 * 500 / 4
+    alike, read = [np.concatenate([probe[:480], np.uint64(1 << 63) + np.arange(20 + i, dtype=np.uint64) * np.uint64(7 + i)]) for i in range(100)], []
+    want = [i for i, s in enumerate(alike) if 100 * 480 >= 90 * (len(s) + 500 - 480)]
+    assert ngram_join.walk(probe, alike, 90, read) == want and sum(read) < 100 * 500 / 4
+
+
 def test_hard_rows(hard, nothing):
     out = ngram_join.shingle_components(hard)[0].collect()
     assert len(out) == len(hard_rows())
