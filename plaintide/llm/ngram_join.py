@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import in_tasks, saved, slices
 from .components import components
@@ -36,6 +37,8 @@ SMALL = 32
 MOST_COMMON = 1 << 20
 #: Candidates in one prefix tree.
 TREE = 256
+#: Large members of a set by which the first round compares it.
+STARS = 4
 #: Members of a node looked up between two looks at the bound.
 READ = 32
 #: Sets in one block of a large group.
@@ -306,7 +309,11 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL)
     pair = [F.least("a.k", "b.k").alias("ka"), F.greatest("a.k", "b.k").alias("kb")]
     close = small.alias("a").join(small.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.k") < F.col("b.k")) & _may_link(percent)).select(*pair)
-    star = large.join(least, "m").where("k <> least.k").select(
+    # Which pairs the first round takes is free. A few of a set's most shared members lead to the families it may be of;
+    # all of them would link it again and again with sets of the same one.
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sets"), "m"))
+    tried = large.withColumn("rank", rank).where(F.col("rank") <= STARS).drop("rank")
+    star = tried.join(least, "m").where("k <> least.k").select(
         F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)).select(*pair)
     links = _verified(close.union(star), sets, df, text_col, percent, size)
     if not large.isEmpty():
