@@ -194,7 +194,7 @@ def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int, read: list[int
 def _whole(wanted: DataFrame, df: DataFrame, text_col: str, size: int) -> DataFrame:
     """``k`` and all ``members`` of the sets in ``wanted``, read from the texts again."""
     # One bit for each of a fixed number of hash values: what comes to the driver has a bound.
-    bits = wanted.select(F.conv(F.substring(F.hex("k"), 1, 6), 16, 10).cast("int").alias("h")).select((F.col("h") % FILTER).alias("h")).distinct()
+    bits = wanted.select((F.conv(F.substring(F.hex("k"), 1, 6), 16, 10).cast("long") % FILTER).alias("h"))
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(bits)))
 
     def run(batches):
@@ -279,10 +279,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, p
 
 
 def _bitmap(bits: DataFrame) -> np.ndarray:
-    out = np.zeros(FILTER, bool)
-    for row in bits.toLocalIterator():
-        out[row.h] = True
-    return out
+    """True at every ``h``; it comes to the driver in pieces of fixed size, put together in tasks."""
+    at = F.col("h") + 1
+    pieces = bits.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((-(-FILTER // (1 << 15)), 1 << 12), np.uint8)
+    for row in pieces:
+        out[row.piece - 1] = np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(out.ravel(), bitorder="little")[:FILTER].astype(bool)
 
 
 def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -313,17 +316,27 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # all of them would link it again and again with sets of the same one.
     rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sets"), "m"))
     tried = large.withColumn("rank", rank).where(F.col("rank") <= STARS).drop("rank")
+    # The set with the fewest members of its own comes last: very many are linked with it, and it with few.
     star = tried.join(least, "m").where("k <> least.k").select(
-        F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)).select(*pair)
+        F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)) \
+        .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
     links = _verified(close.union(star), sets, df, text_col, percent, size)
+    found = saved(components(links, "ka", "kb").withColumnsRenamed({"node": "k"}), "components")
     if not large.isEmpty():
-        found = components(links, "ka", "kb")
-        placed = large.join(found.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        placed = large.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
         # Only members whose sets are in several components can still link two of them.
         apart = placed.groupBy("m").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("m")
         rest = saved(placed.join(apart, "m", "left_semi").select("m", "k", "n", "at", "component"), "rest")
-        links = links.union(_verified(_pairs_in_blocks(rest, sets, percent), sets, df, text_col, percent, size))
-    found = components(links, "ka", "kb").withColumnsRenamed({"node": "k"})
+        between = _verified(_pairs_in_blocks(rest, sets, percent), sets, df, text_col, percent, size)
+        if not between.isEmpty():
+            # Each set stands for its component, so the second round has only the links between them.
+            links, names = links.union(between), found.withColumnRenamed("component", "of")
+            named = lambda c: F.coalesce("of", c).alias(c)
+            first = between.join(names.withColumnRenamed("k", "ka"), "ka", "left").select(named("ka"), "kb")
+            ends = first.join(names.withColumnRenamed("k", "kb"), "kb", "left").select("ka", named("kb")).distinct()
+            joined = components(ends, "ka", "kb").withColumnsRenamed({"node": "old", "component": "new"})
+            singles = ends.select(F.explode(F.array("ka", "kb")).alias("k")).distinct().join(found, "k", "left_anti").select("k", F.col("k").alias("component"))
+            found = found.union(singles).join(joined, F.col("component") == F.col("old"), "left").select("k", F.coalesce("new", "component").alias("component"))
     ids = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least"))
     named = ids.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
