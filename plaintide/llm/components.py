@@ -29,19 +29,19 @@ def _is_done(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", *, few: bool = True) -> DataFrame:
     """``node`` and ``component`` (the smallest node it is linked with) of every node in ``links``.
 
     Each round links every node and its neighbours to the smallest of them
     ("small star" and "large star" of Kiveris et al. 2014), so the number of
     rounds grows with the logarithm of the longest chain; it ends when the links
     are stars around the smallest nodes. Rounds go through tables in the shared
-    folder. Null ends are left out; loops and repeated links change nothing. The
-    ``b`` of one ``a`` are held in one row, so a node with very many links should
-    be ``b`` in most of them.
+    folder. Null ends are left out; loops and repeated links change nothing. With
+    ``few``, the ``b`` of one ``a`` are held in one row, so a node with very many
+    links should be ``b`` in most of them; without, nodes may have any number.
     """
-    known = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    edges = saved(_contracted(known.where("a <> b")), "links")
+    known = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    edges = saved(_contracted(known) if few else known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while not _is_done(edges):
         # Large star: larger neighbours of u go to the smallest node around u.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -14,8 +14,9 @@ as soon as the members it can still have in common are too few.
 Equal sets are one node from the start. Where a member is shared by very many
 sets, a first round compares each with the one that has the fewest members of
 its own, which links families of copies to what they were copied from; a second
-round looks at what is not in one component yet, block by block inside tasks, so
-only pairs that the bounds leave become rows and no link between components is lost.
+does so by more members for what is not in one component yet; a third looks at
+what is left, block by block inside tasks, so only pairs that the bounds leave
+become rows and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SMALL = 32
 MOST_COMMON = 1 << 20
 #: Candidates in one prefix tree.
 TREE = 256
-#: Large members of a set by which the first round compares it.
+#: Large members of a set by which the second round compares it.
 STARS = 4
 #: Members of a node looked up between two looks at the bound.
 READ = 32
@@ -101,7 +102,7 @@ def least_common(n: Column, percent: int) -> Column:
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, common: list[int]) -> DataFrame:
-    """Each row's id, ``n``, ``k`` (digest of the set), ``early`` (first members, common ones last), ``own`` (members that aren't common), ``h`` (members by part of the hash range)."""
+    """Each row's id, ``n``, ``k`` (digest of the set), ``early`` (first members, common ones last), ``own`` (members that aren't common), ``h`` (members by part of the hash range), ``t`` (hash of the text)."""
     shared = df.sparkSession.sparkContext.broadcast(np.array(sorted(common), np.int64).view(np.uint64)) if common else None
 
     def run(batches):
@@ -124,11 +125,12 @@ def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, co
                 early.append(members[:first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(early, pa.list_(pa.int64())), pa.array(own, pa.int64()),
-                 pa.array(parts, pa.list_(pa.int32()))], names=["id", "n", "k", "early", "own", "h"])
+                 pa.array(parts, pa.list_(pa.int32())), batch.column(2)], names=["id", "n", "k", "early", "own", "h", "t"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return in_tasks(
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n bigint, k binary, early array<bigint>, own bigint, h array<int>")
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")), run,
+        f"id {kind}, n bigint, k binary, early array<bigint>, own bigint, h array<int>, t bigint")
 
 
 def _may_link(percent: int) -> Column:
@@ -192,26 +194,27 @@ def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int, read: list[int
 
 
 def _whole(wanted: DataFrame, df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``k`` and all ``members`` of the sets in ``wanted``, read from the texts again."""
+    """``k`` and all ``members`` of the sets in ``wanted`` (``k``, and ``t`` of a text that has it), read from the texts again."""
     # One bit for each of a fixed number of hash values: what comes to the driver has a bound.
-    bits = wanted.select((F.conv(F.substring(F.hex("k"), 1, 6), 16, 10).cast("long") % FILTER).alias("h"))
+    bits = wanted.select(F.pmod("t", F.lit(FILTER)).alias("h"))
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(bits)))
 
     def run(batches):
         there = np.unpackbits(shared.value).view(bool)
         for batch in slices(batches):
-            keys, sets, seen = [], [], set()
-            for text in batch.column(0).to_pylist():
-                members = shingles(text or "", size)
-                key = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
-                if len(members) and there[int.from_bytes(key[:3], "big") % FILTER] and key not in seen:
-                    seen.add(key)
-                    keys.append(key)
+            keys, sets = [], []
+            # Only texts that may be wanted are cut into words again, and of equal ones in a batch the first.
+            hashes = batch.column(1).to_numpy()
+            first = np.sort(np.unique(hashes, return_index=True)[1])
+            for i in first[there[hashes[first] % FILTER]].tolist():
+                members = shingles(batch.column(0)[i].as_py() or "", size)
+                if len(members):
+                    keys.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                     sets.append(members.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "members"])
 
-    whole = in_tasks(df.select(F.col(text_col).alias("text")), run, "k binary, members array<bigint>") \
-        .join(wanted, "k", "left_semi").groupBy("k").agg(F.first("members").alias("members"))
+    texts = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    whole = in_tasks(texts, run, "k binary, members array<bigint>").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("members").alias("members"))
     return saved(whole, "sets")
 
 
@@ -251,13 +254,17 @@ def _pairs_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
-    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``n`` and ``h``."""
+    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``n``, ``h`` and ``t``.
+
+    Each ``ka`` should have few ``kb``: these are in one row while its own columns are looked up.
+    """
     # No more can be common than the smaller count in each part of the hash range.
-    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
+    side = lambda x: sets.select(*[F.col(c).alias(c + x) for c in ("k", "n", "h", "t")])
     most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    pairs = pairs.distinct().join(side("a"), "ka").join(side("b"), "kb").where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    pairs = saved(pairs.select("ka", "kb"), "pairs")
-    wanted = pairs.select(F.col("ka").alias("k")).union(pairs.select(F.col("kb").alias("k"))).distinct()
+    pairs = pairs.groupBy("ka").agg(F.collect_set("kb").alias("all")).join(side("a"), "ka").withColumn("kb", F.explode("all")).drop("all") \
+        .join(side("b"), "kb").where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+    pairs = saved(pairs.select("ka", "kb", "ta", "tb"), "pairs")
+    wanted = pairs.select(F.col("ka").alias("k"), F.col("ta").alias("t")).union(pairs.select(F.col("kb").alias("k"), F.col("tb").alias("t"))).distinct()
     whole = _whole(wanted, df, text_col, size)
     sides = pairs.join(whole.select(F.col("k").alias("kb"), F.col("members").alias("b")), "kb") \
         .join(whole.select(F.col("k").alias("ka"), F.col("members").alias("a")), "ka").select("ka", "kb", "a", "b")
@@ -288,6 +295,32 @@ def _bitmap(bits: DataFrame) -> np.ndarray:
     return np.unpackbits(out.ravel(), bitorder="little")[:FILTER].astype(bool)
 
 
+def _stars(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """Each set with the one of another component that has the fewest members of its own, by ``most`` of its members.
+
+    Which pairs are taken here is free. A set's most shared members lead to the
+    families it may be of. The set met comes last: very many meet it, and it few.
+    """
+    least = members.groupBy("m").agg(F.min(F.struct("own", "k", "n", "at", "component")).alias("least"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sets"), "m"))
+    tried = members.withColumn("rank", rank).where(F.col("rank") <= most)
+    return tried.join(least, "m").where("component <> least.component").select(
+        F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)) \
+        .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
+
+
+def _merged(found: DataFrame, between: DataFrame) -> DataFrame:
+    """``k`` and ``component`` after the links ``between`` are added to the components ``found``."""
+    # Each set stands for its component, so the rounds have only the links between those.
+    names = found.withColumnRenamed("component", "of")
+    named = lambda c: F.coalesce("of", c).alias(c)
+    first = between.join(names.withColumnRenamed("k", "ka"), "ka", "left").select(named("ka"), "kb")
+    ends = first.join(names.withColumnRenamed("k", "kb"), "kb", "left").select("ka", named("kb")).distinct()
+    joined = components(ends, "ka", "kb", few=False).withColumnsRenamed({"node": "old", "component": "new"})
+    singles = ends.select(F.explode(F.array("ka", "kb")).alias("k")).distinct().join(found, "k", "left_anti").select("k", F.col("k").alias("component"))
+    return found.union(singles).join(joined, F.col("component") == F.col("old"), "left").select("k", F.coalesce("new", "component").alias("component"))
+
+
 def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = 3) -> tuple[DataFrame, DataFrame]:
     """Id, ``n_shingles`` and ``component_id`` of every row; and links between different sets (``ka``, ``kb``: digests).
 
@@ -304,39 +337,26 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Any choice gives a valid order; the most common members are taken, at most MOST_COMMON.
     common = [r.m for r in many.orderBy(F.desc("texts"), "m").limit(MOST_COMMON).select("m").toLocalIterator()]
     rows = saved(_sets(df, id_col, text_col, percent, size, common), "early")
-    sets = saved(rows.where("n > 0").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "early", "own", "h")]), "sets")
+    sets = saved(rows.where("n > 0").groupBy("k").agg(*[F.min(c).alias(c) if c == "t" else F.first(c).alias(c) for c in ("n", "early", "own", "h", "t")]), "sets")
     # Most members are in one set only. That is found on the members alone, and only the rest is moved with its set.
     twice = saved(sets.select(F.explode("early").alias("m")).groupBy("m").agg(F.count("*").alias("sets")).where("sets > 1"), "twice")
     members = saved(sets.select("k", "n", "own", F.posexplode("early").alias("at", "m")).join(twice, "m"), "members")
-    least = members.where(F.col("sets") > SMALL).groupBy("m").agg(F.min(F.struct("own", "k", "n", "at")).alias("least"))
-    small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL)
+    small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL).withColumn("component", F.col("k"))
     pair = [F.least("a.k", "b.k").alias("ka"), F.greatest("a.k", "b.k").alias("kb")]
     close = small.alias("a").join(small.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.k") < F.col("b.k")) & _may_link(percent)).select(*pair)
-    # Which pairs the first round takes is free. A few of a set's most shared members lead to the families it may be of;
-    # all of them would link it again and again with sets of the same one.
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sets"), "m"))
-    tried = large.withColumn("rank", rank).where(F.col("rank") <= STARS).drop("rank")
-    # The set with the fewest members of its own comes last: very many are linked with it, and it with few.
-    star = tried.join(least, "m").where("k <> least.k").select(
-        F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)) \
-        .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
-    links = _verified(close.union(star), sets, df, text_col, percent, size)
+    links = _verified(close.union(_stars(large, percent, 1)), sets, df, text_col, percent, size)
     found = saved(components(links, "ka", "kb").withColumnsRenamed({"node": "k"}), "components")
-    if not large.isEmpty():
-        placed = large.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    rest = large
+    for candidates in (lambda r: _stars(r, percent, STARS), lambda r: _pairs_in_blocks(r, sets, percent)):
+        placed = rest.drop("component").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
         # Only members whose sets are in several components can still link two of them.
         apart = placed.groupBy("m").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("m")
-        rest = saved(placed.join(apart, "m", "left_semi").select("m", "k", "n", "at", "component"), "rest")
-        between = _verified(_pairs_in_blocks(rest, sets, percent), sets, df, text_col, percent, size)
+        rest = saved(placed.join(apart, "m", "left_semi"), "rest")
+        if rest.isEmpty():
+            break
+        between = _verified(candidates(rest), sets, df, text_col, percent, size)
         if not between.isEmpty():
-            # Each set stands for its component, so the second round has only the links between them.
-            links, names = links.union(between), found.withColumnRenamed("component", "of")
-            named = lambda c: F.coalesce("of", c).alias(c)
-            first = between.join(names.withColumnRenamed("k", "ka"), "ka", "left").select(named("ka"), "kb")
-            ends = first.join(names.withColumnRenamed("k", "kb"), "kb", "left").select("ka", named("kb")).distinct()
-            joined = components(ends, "ka", "kb").withColumnsRenamed({"node": "old", "component": "new"})
-            singles = ends.select(F.explode(F.array("ka", "kb")).alias("k")).distinct().join(found, "k", "left_anti").select("k", F.col("k").alias("component"))
-            found = found.union(singles).join(joined, F.col("component") == F.col("old"), "left").select("k", F.coalesce("new", "component").alias("component"))
+            links, found = links.union(between), saved(_merged(found, between), "components")
     ids = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least"))
     named = ids.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))

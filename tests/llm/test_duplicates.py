@@ -130,6 +130,33 @@ def test_components_of_chains(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_random_links(spark, few):
+    rng = random.Random(7)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    links += [(400 + i, 400 + 20 * j) for i in range(60) for j in range(3) if rng.random() < 0.5]
+    want = {x: x for ab in links for x in ab if ab[0] != ab[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint"), few=few).collect()}
+    assert got == want
+
+
+def test_links_between_components(spark):
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "k bigint, component bigint")
+    between = spark.createDataFrame([(2, 4), (9, 8), (7, 6)], "ka bigint, kb bigint")
+    got = {r.k: r.component for r in ngram_join._merged(found, between).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8}
+
+
+def test_filter_bits(spark):
+    places = [0, 5, 5, 32767, 32768, ngram_join.FILTER - 1]
+    got = ngram_join._bitmap(spark.createDataFrame([(p,) for p in places], "h bigint"))
+    assert len(got) == ngram_join.FILTER and np.flatnonzero(got).tolist() == sorted(set(places))
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for n, t in ((10, 20), (20, 20), (21, 20), (100, 7), (300, 20), (64, 1)):
