@@ -51,6 +51,14 @@ def analyze_orders_csv(
     return _write(analyze_reviews(reviews, as_of, threshold, **options), out, run_id)
 
 
+def number_ids(df: DataFrame) -> DataFrame:
+    """Ids read as text become numbers if all are whole numbers, so that 9 comes before 10; others stay text."""
+    plain = F.col("review_id").rlike("^(0|-?[1-9][0-9]{0,17})$")
+    if dict(df.dtypes)["review_id"] != "string" or df.agg(F.count_if(~plain)).first()[0]:
+        return df
+    return df.withColumn("review_id", F.col("review_id").cast("bigint"))
+
+
 def _write(parts: Mapping[str, DataFrame], out: str, run_id: str, prefix: str = "") -> str:
     for kind, part in parts.items():
         write_metrics_json(part, out, f"{prefix}{kind}", run_id)
@@ -82,14 +90,17 @@ def evaluate_csv(
     errors = cut_lineage(parts["errors"])
     failures = answered.where("label_error is not null").select("review_id", "label_error")
     _write(parts | {"errors": errors, "failures": failures}, out, run_id, f"{mode}_")
-    return _write(composites.error_report(errors), out, run_id, f"{mode}_report_")
+    return _write(composites.error_report(number_ids(errors)), out, run_id, f"{mode}_report_")
 
 
 def training_files_csv(
     spark: SparkSession, path: str, out: str, keys: Sequence[str] = LABEL_KEYS, valid_share: float = 0.2, seed: int = 42
 ) -> dict[str, str]:
-    """Training and validation files of a hand-labeled CSV, and what was cleaned and how labels are spread, as JSON."""
-    labeled = cut_lineage(read_labeled_csv(spark, path))
+    """Training and validation files of a hand-labeled CSV, and what was cleaned and how labels are spread, as JSON.
+
+    Of rows with one text the one with the smallest id stays, by number if all ids are whole numbers.
+    """
+    labeled = number_ids(cut_lineage(read_labeled_csv(spark, path)))
     parts = composites.training_set(labeled, keys, valid_share, seed)
     paths = write_chat_jsonl(parts["examples"], out)
     for name in ("distribution", "report"):

@@ -141,3 +141,15 @@ def test_orders_job(spark, tmp_path):
     out = jobs.analyze_orders_csv(spark, str(tmp_path / "r"), str(tmp_path / "o"), str(tmp_path / "out"), "r1", NEWEST)
     found = results.read_latest_metrics(spark, out, "total_reviews bigint, negative_reviews bigint").where("kind = 'stats'").first()
     assert (found.total_reviews, found.negative_reviews) == (30, 30)
+
+
+@pytest.mark.parametrize("ids, kept", [([9, 10, 100], "good"), (["b9", "b10", "a100"], "bad")])
+def test_training_files_keep_the_smallest_id(spark, tmp_path, ids, kept):
+    """Ids of a CSV are text; 9 still comes before 10."""
+    kind = "bigint" if isinstance(ids[0], int) else "string"
+    rows = [(ids[0], "same", 1.0, "good"), (ids[1], "same", 1.0, "bad"), (ids[2], "same", 1.0, "bad")]
+    sample = spark.createDataFrame(rows, f"review_id {kind}, review_text string, rating double, manual_label string").withColumn("notes", F.lit(""))
+    path = tables.write_labeling_csv(sample, str(tmp_path / "labels"))
+    files = jobs.training_files_csv(spark, path, str(tmp_path / "out"), ["good", "bad"])
+    lines = [r.value for name in ("train", "valid") for r in spark.read.text(files[name]).collect()]
+    assert len(lines) == 1 and f'"content":"{kept}"' in lines[0]
