@@ -170,6 +170,65 @@ def test_neighbours(spark, copies, options, k, skip_self, shift):
     assert got == brute_force(data, k, skip_self)
 
 
+def near(frame, k, skip_self=True, **options):
+    return knn.knn_retrieve(
+        frame.withColumnRenamed("id", "review_id"),
+        frame.select(F.col("id").alias("neighbor_id"), "embedding", F.col("id").cast("string").alias("category")), k, skip_self, **options)
+
+
+def ids_of(found):
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.review_id, r.neighbor_rank)):
+        assert r.category == str(r.neighbor_id)
+        got.setdefault(r.review_id, []).append(r.neighbor_id)
+    return got
+
+
+def test_reviews_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    """A file that comes as one task does not make one task of the comparison."""
+    monkeypatch.setattr(knn, "TASK_PAIRS", 10_000)
+    data = vectors(True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, embedding array<float>").coalesce(1)
+    found = near(frame, 3)
+    assert found.rdd.getNumPartitions() >= 16
+    assert ids_of(found) == brute_force(data, 3, True)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "block_rows": 20}])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_of_scattered_vectors(spark, options, kind):
+    """In many dimensions, where no cell is ruled out; with copies, and lengths from 1e-6 to 1e9."""
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(500, 40))
+    data /= np.sqrt((data**2).sum(axis=1))[:, None]
+    data[100:130] = data[99]
+    data[200:240] *= 1e-6
+    data[300:304] *= 1e9
+    data = data.astype("float32" if kind == "float" else "float64")
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], f"id bigint, embedding array<{kind}>").repartition(3)
+    found = near(frame, 4, **options)
+    assert ids_of(found) == brute_force(data, 4, True)
+
+
+def test_scattered_reviews_are_sent_to_blocks(spark, monkeypatch):
+    """Not to each of the cells, when all of them may hold a neighbour."""
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(500, 40)).astype("float32")
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, embedding array<float>")
+    sent = []
+    real = type(frame).mapInPandas
+
+    def mapped(self, func, schema, *args, **kwargs):
+        out = real(self, func, schema, *args, **kwargs)
+        if schema.startswith("review_id"):
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(frame), "mapInPandas", mapped)
+    assert ids_of(near(frame, 3, broadcast_bytes=0, block_rows=20)) == brute_force(data, 3, True)
+    assert [out.count() for out in sent] == [3 * 500]
+
+
 def test_no_examples(spark):
     queries = spark.createDataFrame([(1, [0.0])], "review_id bigint, embedding array<float>")
     none = spark.createDataFrame([], "neighbor_id bigint, embedding array<float>, category string")
