@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import display_name, preview
+from ..session import cut_lineage
 
 METRICS = ["precision", "recall", "f1"]
 
@@ -103,9 +104,11 @@ def eval_weighted(pairs: DataFrame, digits: int | None = 4) -> DataFrame:
 def confusion_matrix(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """A row for every true and predicted label of the union, zeros included.
 
-    The label list is taken from the pair counts if it is not given.
+    The label list is taken from the pair counts if it is not given. They are
+    written once then, so that what they count is not made twice.
     """
     if labels is None:
+        pairs = cut_lineage(pairs)
         sides = F.explode(F.array("true_label", "predicted_label")).alias("label")
         union = pairs.select(sides).agg(F.array_sort(F.collect_set("label")).alias("labels"))
     else:

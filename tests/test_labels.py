@@ -121,6 +121,25 @@ def test_empty_error_report(labeled):
     assert all(part.count() == 0 for part in composites.error_report(none).values())
 
 
+def once(spark, frame):
+    """``frame``, and a counter of the rows that were made for it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    return frame.mapInPandas(count, frame.schema), made
+
+
+def test_matrix_reads_predictions_once(spark, labeled):
+    frame = labeled[1].select("true_label", "predicted_label")
+    counted, made = once(spark, frame)
+    rows = ev.confusion_matrix(ev.label_pairs(counted)).collect()
+    assert made.value == frame.count() == sum(r.n for r in rows)
+
+
 def test_votes(spark):
     rows = [(1, 0, "a", 0.2), (1, 1, "b", 0.9), (1, 2, "a", 0.3), (2, 0, "x", None), (2, 1, "y", 1.0), (3, 2, "p", 0.5), (3, 1, "q", 0.5)]
     votes = spark.createDataFrame(rows, "review_id int, agent_id int, category string, confidence double")
