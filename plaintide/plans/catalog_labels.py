@@ -102,7 +102,7 @@ FROM new_rows n JOIN base_rows b USING (metric)""")
 
 @query("model_comparison", _DELTA_SQL)
 def _(spark, folder):
-    return composites.model_comparison(fx.f_eval(spark, folder), fx.f_eval5(spark, folder))
+    return composites.model_comparison(*fx.f_evals(spark, folder))
 
 
 fx.SQL["rounded_new"] = "SELECT metric, round_even(value, 4) AS value FROM new_rows"

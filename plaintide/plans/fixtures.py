@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.knn import knn_retrieve, knn_votes
+from ..session import cut_lineage
 
 DOC_AS_OF = "2024-01-31 00:00:00"
 
@@ -228,14 +229,21 @@ def _with_truth(spark: SparkSession, folder: str, predictions: DataFrame) -> Dat
     return truth.join(predictions.select("review_id", F.col("category").alias("predicted_label")), "review_id")
 
 
-def f_eval(spark: SparkSession, folder: str) -> DataFrame:
-    """True label against the nearest other vector's label."""
-    return _with_truth(spark, folder, f_near(spark, folder, 1))
+def f_eval(spark: SparkSession, folder: str, near: DataFrame | None = None) -> DataFrame:
+    """True label against the nearest other vector's label; ``near`` may hold more neighbours."""
+    nearest = f_near(spark, folder, 1) if near is None else near.filter(F.col("neighbor_rank") == 1)
+    return _with_truth(spark, folder, nearest)
 
 
-def f_eval5(spark: SparkSession, folder: str) -> DataFrame:
+def f_eval5(spark: SparkSession, folder: str, near: DataFrame | None = None) -> DataFrame:
     """True label against the majority of five neighbours."""
-    return _with_truth(spark, folder, knn_votes(f_near(spark, folder), [5]))
+    return _with_truth(spark, folder, knn_votes(f_near(spark, folder) if near is None else near, [5]))
+
+
+def f_evals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``f_eval`` and ``f_eval5`` by one search, whose neighbours are written once."""
+    near = cut_lineage(f_near(spark, folder))
+    return f_eval(spark, folder, near), f_eval5(spark, folder, near)
 
 
 # --- events: a long table of categories, votes and runs ---------------------

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plaintide.functions.vocabulary import STOPWORDS
 from plaintide.operators import consensus, errors, evaluation as ev, knn, training
-from plaintide.plans import composites
+from plaintide.plans import catalog, composites, fixtures
+from tests.conftest import TABLES
 from tests.test_answers import plain_tokens
 
 
@@ -300,3 +301,12 @@ def test_training_files(spark, tmp_path):
 
 def test_stopwords_are_many():
     assert len(STOPWORDS) == len(set(STOPWORDS)) > 100
+
+
+@pytest.mark.parametrize("name", ["model_comparison"])
+def test_two_models_by_one_search(spark, monkeypatch, name):
+    searches = []
+    real = fixtures.knn_retrieve
+    monkeypatch.setattr(fixtures, "knn_retrieve", lambda *args, **kwargs: searches.append(args[2]) or real(*args, **kwargs))
+    assert catalog.QUERIES[name](spark, TABLES).count() == 4
+    assert searches == [5]
