@@ -116,7 +116,7 @@ FROM rounded_new n LEFT JOIN rounded_base b USING (metric)"""))
 def _(spark, folder):
     base, new = (
         ev.unpivot_metrics(ev.eval_weighted(ev.label_pairs(frame)), _NAMES)
-        for frame in (fx.f_eval(spark, folder), fx.f_eval5(spark, folder))
+        for frame in fx.f_evals(spark, folder)
     )
     return ev.metric_delta(base.filter(F.col("metric") != "f1_weighted"), new)
 

@@ -303,7 +303,7 @@ def test_stopwords_are_many():
     assert len(STOPWORDS) == len(set(STOPWORDS)) > 100
 
 
-@pytest.mark.parametrize("name", ["model_comparison"])
+@pytest.mark.parametrize("name", ["model_comparison", "metric_delta"])
 def test_two_models_by_one_search(spark, monkeypatch, name):
     searches = []
     real = fixtures.knn_retrieve
