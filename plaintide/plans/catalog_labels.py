@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CHAT_SYSTEM_TEXT, CHAT_USER_PREFIX, STOPWORDS
 from ..operators import consensus, errors, evaluation as ev, filters, knn, knn_index, labelers, labeling, training
+from ..session import cut_lineage
 from . import composites, fixtures as fx
 from .catalog_reviews import _LABEL_SQL
 from .fixtures import ERR, EVAL, EVAL5, NEAR, VOTES, strip_sql, table, with_fixtures
@@ -210,7 +211,7 @@ UNION ALL SELECT 'confusion', t.label, q.label, CAST(coalesce(n, 0) AS DOUBLE)
 UNION ALL SELECT 'errors', CAST(review_id AS VARCHAR), true_label || '>' || predicted_label, 1.0
   FROM f_eval WHERE true_label <> predicted_label"""))
 def _(spark, folder):
-    vectors = fx.f_eval(spark, folder).withColumns({"review_text": F.lit(""), "rating": F.lit(0.0)})
+    vectors = cut_lineage(fx.f_eval(spark, folder)).withColumns({"review_text": F.lit(""), "rating": F.lit(0.0)})
     parts = composites.evaluation_report(vectors)
     blank = F.lit("")
     rows = [

@@ -65,7 +65,8 @@ def full_analysis(
 def evaluation_report(predictions: DataFrame) -> dict[str, DataFrame]:
     """Metrics, confusion matrix and mismatches of one prediction table.
 
-    The table is aggregated once, and the pair counts are written for the parts that share them.
+    The table is aggregated once, and the pair counts are written for the parts that share them. The mismatches
+    read it again, so predictions that are costly to make should come from a table.
     """
     pairs = cut_lineage(ev.label_pairs(predictions))
     return {

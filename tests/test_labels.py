@@ -310,3 +310,22 @@ def test_two_models_by_one_search(spark, monkeypatch, name):
     monkeypatch.setattr(fixtures, "knn_retrieve", lambda *args, **kwargs: searches.append(args[2]) or real(*args, **kwargs))
     assert catalog.QUERIES[name](spark, TABLES).count() == 4
     assert searches == [5]
+
+
+def test_report_makes_predictions_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    real = fixtures.f_eval
+
+    def counted(*args):
+        frame = real(*args)
+
+        def count(batches):
+            for batch in batches:
+                made.add(len(batch))
+                yield batch
+
+        return frame.mapInPandas(count, frame.schema)
+
+    monkeypatch.setattr(fixtures, "f_eval", counted)
+    assert catalog.QUERIES["evaluation_report"](spark, TABLES).count() > 100
+    assert made.value == 500
