@@ -32,12 +32,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .knn import _matrix, usable_vector
+from .knn import _matrix, _slices, usable_vector
 
 MOST_LISTS = 4096
 SAMPLE_PER_LIST = 64  # examples that the centres are fitted on
 QUERY_SAMPLE = 256  # queries that the number of probes is chosen by
 BLOCK_ROWS = 8192
+BATCH_ROWS = 1024  # examples whose distances to all centres, or queries, are held at a time
 REFINE = 8  # candidates measured exactly, for each neighbour wanted
 
 # As in ``knn``: tasks need numpy and pandas, not this package.
@@ -90,7 +91,7 @@ def build(examples: DataFrame, centres: np.ndarray, k: int) -> Index:
     kinds = dict(usable.dtypes)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, BATCH_ROWS)):
             if len(batch):
                 vectors = _matrix(batch["embedding"])
                 at = _square_distances(vectors, centres).argmin(axis=1)
@@ -108,7 +109,7 @@ def _exact_lists(index: Index, queries: pd.DataFrame, k: int, skip_self: bool) -
     ids, vectors = queries["review_id"].to_numpy(), _matrix(queries["embedding"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, BATCH_ROWS)):
             if not len(batch):
                 continue
             far, own = _square_distances(vectors, _matrix(batch["embedding"])), batch["neighbor_id"].to_numpy()

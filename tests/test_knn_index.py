@@ -67,3 +67,20 @@ def test_odd_vectors_and_nothing(spark):
     assert knn_index.choose_probes(empty, queries, 2) == 1 and knn_index.search(empty, queries, 2).count() == 0
     with pytest.raises(ValueError):
         knn_index.search(index, queries, 3)
+
+
+def test_batches_of_many_rows_are_cut(spark, clustered, monkeypatch):
+    """Tasks hold the distances of some rows at a time, whatever the batches and the number of lists."""
+    real, most = knn_index._square_distances, knn_index.BATCH_ROWS
+
+    def bounded(vectors, centres):
+        if max(len(vectors), len(centres)) > most:
+            raise MemoryError("too many rows at a time")
+        return real(vectors, centres)
+
+    monkeypatch.setattr(knn_index, "_square_distances", bounded)
+    queries, examples = frames(spark, clustered, 20)
+    examples = examples.coalesce(1)
+    index = knn_index.build(examples, knn_index.fit(examples, lists=12), 3)
+    assert index.rows.count() == 1504
+    assert knn_index.choose_probes(index, queries, 3) >= 1
