@@ -6,10 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.arrays import let
 
 ROWS_PER_BLOCK = 1 << 18
+WIDE_ROWS_PER_BLOCK = 1 << 13  # of rows with texts or arrays, of which a range meets in one task
+FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 MOST_BLOCKS = 4096
 SAMPLED = 32  # rows for each range
 GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
@@ -53,7 +56,7 @@ def with_position(
     name: str = "position",
     block_width: int | None = None,
     group: Sequence[str] = (),
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """0-based rank of each row by ``key``, or of each row in its ``group``.
 
@@ -62,6 +65,8 @@ def with_position(
     only one count for each range (and group) is brought together. So any key
     that can be ordered will do, random 64-bit numbers and texts too, and a
     group with a third of all rows is ranked in as many tasks as it has ranges.
+    Rows move with all their columns: ranges are smaller by default where some
+    of them are not of a fixed width.
 
     Keys should be unique; rows with equal keys are ranked in any order and
     share a range, so add columns to ``key`` that tell them apart. Nulls come
@@ -70,6 +75,9 @@ def with_position(
     ranges are then that many consecutive numbers each.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if rows_per_block is None:
+        wide = any(f.name not in (*keys, *group) and not isinstance(f.dataType, FIXED_WIDTH) for f in df.schema)
+        rows_per_block = WIDE_ROWS_PER_BLOCK if wide else ROWS_PER_BLOCK
     if block_width is None:
         cuts = splitters(df, keys, rows_per_block)
         if not cuts:

@@ -49,3 +49,14 @@ def test_chunks_of_random_keys(spark):
     chunks = positions.chunk_requests(frame, "key", 10).orderBy("key").collect()
     assert [r.batch for r in chunks] == [i // 10 for i in range(1005)]
     assert [r.review_index for r in chunks] == [i % 10 + 1 for i in range(1005)]
+
+
+def test_texts_are_ranked_in_smaller_ranges(spark):
+    """Rows that carry texts do not meet in one task long before rows of numbers would."""
+    frame = spark.range(30000).select(F.expr("id * 7 % 30011").alias("key"), F.expr("repeat('x', 10)").alias("text"))
+    placed = positions.with_position(frame, "key")
+    assert "_block" in placed._jdf.queryExecution().analyzed().toString()
+    assert "_block" not in positions.with_position(frame.select("key"), "key")._jdf.queryExecution().analyzed().toString()
+    wrong = placed.join(frame.select("key").withColumn("below", F.col("key")), "key").where("position > key or position < key - 11")
+    assert placed.count() == 30000 and wrong.count() == 0
+    assert placed.agg(F.countDistinct("position"), F.max("position")).first() == (30000, 29999)
