@@ -90,15 +90,15 @@ class ByteCounter:
         words, counts = self.cut(text)
         return list(accumulate(map(len, words))), list(accumulate(counts))
 
-    def within(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix that has at most ``budget`` tokens.
+    def within(self, text: str, budget: int, cut: tuple[list[str], list[int]] | None = None) -> int:
+        """Code points of the longest prefix that has at most ``budget`` tokens; ``cut`` is the text's, if known.
 
         Prefix counts need not rise with every character, so all prefixes that
         can still fit are looked at, longest first: a word that begins after
         more than ``budget`` tokens plus those of the words that a cut may
         change cannot.
         """
-        words, counts = self.cut(text)
+        words, counts = cut or self.cut(text)
         ends, sums = list(accumulate(map(len, words), initial=0)), list(accumulate(counts, initial=0))
         if sums[-1] <= budget:
             return len(text)
@@ -175,7 +175,7 @@ def token_counts(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
             rows = counter.cut_all(texts)
             totals = [sum(c) for _, c in rows]
             out = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(totals, pa.int64()),
-                   pa.array([counter.within(t, budget) if n > budget else len(t) for t, n in zip(texts, totals)], pa.int64())]
+                   pa.array([counter.within(t, budget, r) if n > budget else len(t) for t, n, r in zip(texts, totals, rows)], pa.int64())]
             names = [id_col, "n_bytes", "n_tokens", "within"]
             if prefixes:
                 out += [pa.array([list(accumulate(map(len, w))) for w, _ in rows], more),

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plaintide.llm import sentence_pieces, token_counts
+from plaintide.llm import merges, sentence_pieces, token_counts
 from plaintide.llm.sentence_pieces import Pieces
 from plaintide.llm.token_counts import ByteCounter
 
@@ -111,3 +111,49 @@ def test_pieces_of_hard_rows(hard, nothing):
     back = sentence_pieces.decode(found, PIECES, keep=("text",), out_col="again").collect()
     assert len(back) == len(hard_rows()) and all(r.again == r.text for r in back)
     assert sentence_pieces.encode(nothing, PIECES).collect() == []
+
+
+def test_borders_of_any_vocabulary():
+    """Whether two pieces stay apart is found without merging them, also where ranks do not rise and merges tie."""
+    rng = random.Random(11)
+    for k in range(300):
+        letters = "ab" if k % 2 else "abc"
+        pieces = {*letters, *("".join(rng.choices(letters, k=rng.randint(2, 5))) for _ in range(rng.randint(1, 14)))}
+        ranks = {p: rng.randint(0, 12) for p in pieces if len(p) > 1}
+        lattice = merges.Lattice({p: i for i, p in enumerate(sorted(pieces))}, lambda a, b: ranks.get(a + b))
+        alone = [p for p in pieces if lattice.merged(p) == [p]]
+        for piece in pieces:
+            assert lattice.fits("", piece) == (piece in alone)
+            for before in alone:
+                assert lattice.fits(before, piece) == (lattice.merged(before + piece) == [before, piece]), (ranks, before, piece)
+
+
+def test_pieces_that_end_at_each_place():
+    pieces = {"a": 0, "ab": 1, "b": 2, "bab": 3, "abab": 4, "c": 5}
+    endings, state = merges.Endings(pieces), 0
+    for end in range(1, len(word := "babababxcab") + 1):
+        state = endings.after(state, word[end - 1])
+        want = [(end - i, pieces[word[i:end]]) for i in range(end) if word[i:end] in pieces]
+        assert list(endings.pieces[state]) == want
+
+
+def test_words_cost_few_merges_looked_up():
+    """Pairs of pieces are not merged anew for each word."""
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choices("etaoinshrdlu", k=rng.randint(6, 12))).encode() for _ in range(3000)})
+    counter = ByteCounter(open(BPE, "rb").read())
+    rank, calls = counter.lattice.rank, []
+    counter.lattice.rank = lambda a, b: calls.append(1) or rank(a, b)
+    for _ in counter.lattice.folds(words):
+        pass
+    assert len(calls) < 10 * len(counter.lattice.apart)
+
+
+def test_a_long_text_is_cut_once(monkeypatch):
+    counter, seen = ByteCounter(open(BPE, "rb").read()), []
+    split = counter.split
+    monkeypatch.setattr(counter, "split", lambda text: seen.append(text) or split(text))
+    text = "one and two. " * 400
+    cut = counter.cut(text)
+    assert counter.within(text, 1024, cut) == COUNTER.within(text, 1024)
+    assert seen.count(text) == 1
