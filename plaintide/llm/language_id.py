@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_tasks, saved, slices
+from .merges import Endings, shared_start
 
 MARK = "▁"
 LONGEST = 48
@@ -54,6 +57,7 @@ class Unigrams:
         self.unknown = (FLOOR,) * len(languages)
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((1024, len(languages)))
+        self.endings: Endings | None = None  # made when first needed
 
     def edges(self, word: str) -> list[tuple[int, int, str]]:
         """Start, end and piece of every piece in the marked word; single unknown letters as they are."""
@@ -67,22 +71,29 @@ class Unigrams:
 
     def score(self, word: str) -> list[float]:
         """log P of the word in each language, all cuts summed."""
-        text, get, longest, unknown = MARK + word, self.table.get, self.longest, self.unknown
-        every = range(len(unknown))
-        ahead = [[1.0] * len(unknown)]
-        for end in range(1, len(text) + 1):
-            total = [0.0] * len(unknown)
-            for start in range(max(0, end - longest), end):
-                p = get(text[start:end])
-                if p is None:
-                    if start < end - 1:
-                        continue
-                    p = unknown
-                before = ahead[start]
-                for i in every:
-                    total[i] += before[i] * p[i]
-            ahead.append(total)
-        return [math.log(x) if x > 0 else -708.0 for x in ahead[-1]]
+        return next(self.scores([word]))
+
+    def scores(self, words: Iterable[str]) -> Iterator[list[float]]:
+        """``score`` of each word; what it shares with the start of the one before is not added up again."""
+        if self.endings is None:
+            self.endings = Endings(self.table)
+        after, pieces, unknown = self.endings.after, self.endings.pieces, self.unknown
+        before, states, ahead = "", [0], [[1.0] * len(unknown)]
+        for word in words:
+            text = MARK + word
+            shared = shared_start(before, text)
+            del states[shared + 1:], ahead[shared + 1:]
+            before, state = text, states[shared]
+            for end, letter in enumerate(text[shared:], shared + 1):
+                state = after(state, letter)
+                states.append(state)
+                size, total = 0, [0.0] * len(unknown)
+                for size, p in pieces[state]:
+                    total = [t + x * y for t, x, y in zip(total, ahead[end - size], p)]
+                if size != 1:  # a single letter outside the vocabulary
+                    total = [t + x * y for t, x, y in zip(total, ahead[end - 1], unknown)]
+                ahead.append(total)
+            yield [math.log(x) if x > 0 else -708.0 for x in ahead[-1]]
 
     def expected(self, word: str, language: int, into: dict[str, float], times: float) -> None:
         """Adds ``times`` the expected count of every piece in the word to ``into``."""
@@ -98,26 +109,30 @@ class Unigrams:
                 if piece in self.table:
                     into[piece] += times * ahead[start] * p * behind[end] / ahead[-1]
 
-    def row(self, word: str) -> int:
-        """Where ``logs`` has the word's scores."""
-        k = self.rows.get(word)
-        if k is None:
-            k = self.rows[word] = len(self.rows)
-            if k >= len(self.logs):
-                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[k] = self.score(word)
-        return k
-
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        if not words:
-            return "und", 0.0
+    def learn(self, words: Iterable[str]) -> None:
+        """Scores the words that are not in ``rows`` yet; beyond ``REMEMBERED`` all are forgotten first."""
         if len(self.rows) >= REMEMBERED:
             self.rows, self.logs = {}, np.zeros((1024, len(self.languages)))
-        known = self.rows
-        total = np.zeros(len(self.languages))
+        known, fresh = self.rows, sorted(set(words).difference(self.rows))
+        if len(known) + len(fresh) > len(self.logs):
+            more = np.zeros((len(known) + len(fresh), len(self.languages)))
+            self.logs = np.concatenate([self.logs, more])
+        for word, logs in zip(fresh, self.scores(fresh)):
+            k = known[word] = len(known)
+            self.logs[k] = logs
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        return self.predict_all([words])[0]
+
+    def predict_all(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        """Language and its share of the probability for the words of each text."""
+        self.learn(chain.from_iterable(texts))
+        return [self._best(words) if words else ("und", 0.0) for words in texts]
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
+        total, row = np.zeros(len(self.languages)), self.rows.__getitem__
         for at in range(0, len(words), 100_000):
-            rows = [known[w] if w in known else self.row(w) for w in words[at:at + 100_000]]
-            total += self.logs[rows].sum(axis=0)
+            total += self.logs[list(map(row, words[at:at + 100_000]))].sum(axis=0)
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
@@ -200,8 +215,8 @@ def predict(df: DataFrame, fitted: Unigrams, *, id_col: str = "doc_id", text_col
             _MODELS.clear()
             _MODELS[key] = Unigrams(*shared.value)
         unigrams, words = _MODELS[key], regex.compile(rf"\p{{L}}{{1,{LONGEST}}}")
-        for batch in slices(batches):
-            found = [unigrams.predict(words.findall(t.lower()) if t and unigrams.languages else []) for t in batch.column(0).to_pylist()]
+        for batch in slices(batches, size=1 << 20):
+            found = unigrams.predict_all([words.findall(t.lower()) if t and unigrams.languages else [] for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*columns, "lang_pred", "score"])

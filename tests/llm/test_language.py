@@ -61,3 +61,26 @@ def test_hard_rows(hard, nothing):
     assert empty.languages == []
     assert {r.lang_pred for r in language_id.predict(hard, empty).collect()} == {"und"}
     assert language_id.predict(nothing, model).collect() == []
+
+
+def test_words_are_learnt_once_and_from_shared_starts(monkeypatch):
+    table = {"▁": (.1, .2), "a": (.1, .3), "b": (.2, .1), "ab": (.05, .2), "▁ab": (.02, .001)}
+    model, read = Unigrams(table, ["x", "y"]), []
+    model.score("a")
+    after = model.endings.after
+    monkeypatch.setattr(model.endings, "after", lambda state, letter: read.append(letter) or after(state, letter))
+    texts = [["abab", "ababc", "b"], [], ["ababc", "abab"]]
+    found = model.predict_all(texts)
+    # The mark, "abab" and one "c" after it, and "b".
+    assert len(read) == 7
+    assert found == [Unigrams(table, ["x", "y"]).predict(words) for words in texts]
+    assert found[1] == ("und", 0.0)
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    table = {"▁": (.1, .2), "a": (.1, .3), "b": (.2, .1), "ab": (.05, .2)}
+    texts = [["a"], ["ab", "ba"], ["a", "abba"], ["bab"], ["ab"]]
+    want = Unigrams(table, ["x", "y"]).predict_all(texts)
+    monkeypatch.setattr(language_id, "REMEMBERED", 2)
+    model = Unigrams(table, ["x", "y"])
+    assert [model.predict(words) for words in texts] == want
