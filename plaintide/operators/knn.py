@@ -110,6 +110,7 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, examples: _Examples, k: int, skip
     need, n = k + (examples.most_own if skip_self else 0), len(examples.ids)
     at_once = max(1, EXACT_NUMBERS // max(1, examples.vectors.shape[1]))
     groups = max(64, 4 * need)
+    tile = _Tile(min(len(q_ids), TILE_QUERIES), min(n, TILE_EXAMPLES))
     out = []
     for start in range(0, len(q_ids), TILE_QUERIES):
         ids, part = q_ids[start : start + TILE_QUERIES], q[start : start + TILE_QUERIES].astype(np.float64)
@@ -133,8 +134,7 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, examples: _Examples, k: int, skip
         found, held = [], 0
         best = _Best(k)
         for low in range(0, n, TILE_EXAMPLES):
-            rough = sides @ examples.rough[low : low + TILE_EXAMPLES].T
-            at_q, at_c = np.divmod(np.flatnonzero(rough <= bound), rough.shape[1])
+            at_q, at_c = tile.pairs(sides, examples.rough[low : low + TILE_EXAMPLES], bound)
             at_c += low
             if skip_self:
                 other = ids[at_q] != examples.ids[at_c]
@@ -151,6 +151,26 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, examples: _Examples, k: int, skip
     return [np.concatenate(parts) for parts in zip(*out)]
 
 
+class _Tile:
+    """Room for one product of reviews and examples, used again for each: fresh memory costs as much as the product."""
+
+    def __init__(self, queries: int, examples: int):
+        self.products = np.empty(queries * examples, np.float32)
+        self.within = np.zeros(-(-queries * examples // 8) * 8, bool)
+
+    def pairs(self, sides: np.ndarray, rough: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``sides`` and of ``rough`` whose product is at most the bound of the former."""
+        shape, size = (len(sides), len(rough)), len(sides) * len(rough)
+        product = np.matmul(sides, rough.T, out=self.products[:size].reshape(shape))
+        np.less_equal(product, bound, out=self.within[:size].reshape(shape))
+        # Few pairs are left, so eight at a time are passed over.
+        whole = -(-size // 8) * 8
+        self.within[size:whole] = False
+        some = np.flatnonzero(self.within[:whole].view(np.uint64) != 0)
+        at = (some[:, None] * 8 + np.arange(8)).ravel()
+        return np.divmod(at[self.within[at]], len(rough))
+
+
 class _Best:
     """The k nearest of the pairs measured so far."""
 

@@ -84,3 +84,16 @@ def test_batches_of_many_rows_are_cut(spark, clustered, monkeypatch):
     index = knn_index.build(examples, knn_index.fit(examples, lists=12), 3)
     assert index.rows.count() == 1504
     assert knn_index.choose_probes(index, queries, 3) >= 1
+
+
+@pytest.mark.parametrize("queries, examples", [(1, 1), (3, 5), (7, 64), (16, 33)])
+def test_pairs_of_a_tile_in_memory_used_again(queries, examples):
+    rng, tile = np.random.default_rng(queries), knn._Tile(16, 64)
+    held = tile.products, tile.within
+    for share in (0.0, 0.02, 0.5, 1.0):
+        sides, rough = (rng.random((n, 9), np.float32) for n in (queries, examples))
+        bound = np.quantile(sides @ rough.T, share, axis=1, method="lower").astype(np.float32)[:, None]
+        want = np.nonzero(np.matmul(sides, rough.T) <= bound)
+        for found, other in zip(tile.pairs(sides, rough, bound), want):
+            assert found.tolist() == other.tolist()
+    assert held[0] is tile.products and held[1] is tile.within
