@@ -12,16 +12,19 @@ that begin alike share the count of what is common so far, and a branch is left
 as soon as the members it can still have in common are too few.
 
 Equal sets are one node from the start. Where a member is shared by very many
-sets, a first round compares each with the one that has the fewest members of
-its own, which links families of copies to what they were copied from; a second
-does so by more members for what is not in one component yet; a third looks at
-what is left, block by block inside tasks, so only pairs that the bounds leave
-become rows and no link between components is lost.
+sets, each is first compared with one of them, which links families of copies to
+what they were copied from. What is then in different components is looked at
+block by block inside tasks: first by bounds only, where a task tells no pairs but
+which sets it joins, and so each set comes into one cluster outside of which it
+has no candidates; then the clusters' sets are read and compared, and a task tells
+only the links that join components. So a family of any kind makes no more rows
+than it has sets in a block, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +41,14 @@ SMALL = 32
 MOST_COMMON = 1 << 20
 #: Candidates in one prefix tree.
 TREE = 256
-#: Large members of a set by which the second round compares it.
-STARS = 4
 #: Members of a node looked up between two looks at the bound.
 READ = 32
-#: Sets in one block of a large group.
-BLOCK = 512
+#: Sets in one block of a large group, and members of all sets of a block that are read.
+BLOCK, BLOCK_MEMBERS = 512, 1 << 20
 #: Bits of the filter on the sets that are read again.
 FILTER = 1 << 23
-#: Parts of the hash range whose members are counted for each set.
-PARTS = 64
+#: Parts of the hash range whose members are counted for each set; and for sets that are read.
+PARTS, MANY_PARTS = 256, 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -101,19 +102,30 @@ def least_common(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
+def _first(df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
+    """The first members ``m`` of every row's set by hash, as many as a set similar enough must share one of."""
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingles(text or "", size) for text in batch.column(0).to_pylist()]
+            early = [x[:len(x) - (len(x) * percent + 99) // 100 + 1] for x in sets if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *early]).view(np.int64))], names=["m"])
+
+    return in_tasks(df.select(F.col(text_col).alias("text")), run, "m bigint")
+
+
 def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, common: list[int]) -> DataFrame:
-    """Each row's id, ``n``, ``k`` (digest of the set), ``early`` (first members, common ones last), ``own`` (members that aren't common), ``h`` (members by part of the hash range), ``t`` (hash of the text)."""
+    """Each row's number and id, ``n``, ``key`` (digest of the set), ``early`` (first members, common ones last), ``own`` (members that aren't common), ``h`` (members by part of the hash range), ``t`` (hash of the text)."""
     shared = df.sparkSession.sparkContext.broadcast(np.array(sorted(common), np.int64).view(np.uint64)) if common else None
 
     def run(batches):
         last = np.sort(shared.value) if shared else np.zeros(0, np.uint64)
         for batch in slices(batches):
             n, keys, early, own, parts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 members = shingles(text or "", size)
                 many = len(members)
                 n.append(many)
-                parts.append(np.bincount((members & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                parts.append(np.bincount((members & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS))
                 keys.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                 first = many - (many * percent + 99) // 100 + 1 if many else 0
                 if len(last) and many:
@@ -123,14 +135,15 @@ def _sets(df: DataFrame, id_col: str, text_col: str, percent: int, size: int, co
                 else:
                     own.append(many)
                 early.append(members[:first].view(np.int64))
+            h = pa.ListArray.from_arrays(np.arange(0, len(n) * PARTS + 1, PARTS, dtype=np.int32), np.concatenate(parts).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(early, pa.list_(pa.int64())), pa.array(own, pa.int64()),
-                 pa.array(parts, pa.list_(pa.int32())), batch.column(2)], names=["id", "n", "k", "early", "own", "h", "t"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(early, pa.list_(pa.int64())),
+                 pa.array(own, pa.int64()), h, batch.column(3)], names=["row", "id", "n", "key", "early", "own", "h", "t"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return in_tasks(
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")), run,
-        f"id {kind}, n bigint, k binary, early array<bigint>, own bigint, h array<int>, t bigint")
+        df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")), run,
+        f"row bigint, id {kind}, n bigint, key binary, early array<bigint>, own bigint, h array<int>, t bigint")
 
 
 def _may_link(percent: int) -> Column:
@@ -194,7 +207,7 @@ def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int, read: list[int
 
 
 def _whole(wanted: DataFrame, df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """``k`` and all ``members`` of the sets in ``wanted`` (``k``, and ``t`` of a text that has it), read from the texts again."""
+    """``k`` and all ``members`` of the sets in ``wanted`` (``k``, ``key``, and ``t`` of a text that has it), read from the texts again."""
     # One bit for each of a fixed number of hash values: what comes to the driver has a bound.
     bits = wanted.select(F.pmod("t", F.lit(FILTER)).alias("h"))
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(bits)))
@@ -211,61 +224,102 @@ def _whole(wanted: DataFrame, df: DataFrame, text_col: str, size: int) -> DataFr
                 if len(members):
                     keys.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                     sets.append(members.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "members"])
 
     texts = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
-    whole = in_tasks(texts, run, "k binary, members array<bigint>").join(wanted, "k", "left_semi").groupBy("k").agg(F.first("members").alias("members"))
-    return saved(whole, "sets")
+    read = in_tasks(texts, run, "key binary, members array<bigint>").groupBy("key").agg(F.first("members").alias("members"))
+    return saved(read.join(wanted.select("k", "key"), "key").select("k", "members"), "sets")
 
 
-def may_link(n: np.ndarray, at: np.ndarray, parts: np.ndarray, groups: np.ndarray, blocks: np.ndarray, percent: int) -> np.ndarray:
-    """Index pairs (rows of two) of sets of different groups that the bounds on places and part counts leave."""
-    two, out = len(np.unique(blocks)) > 1, []
+def forest(n: np.ndarray, parts: np.ndarray, groups: np.ndarray, label: np.ndarray, blocks: np.ndarray, percent: int, at: np.ndarray | None = None,
+           similar: Callable[[int, np.ndarray], list[int]] | None = None) -> np.ndarray:
+    """Index pairs (rows of two) that join sets of different groups whose labels differ; sets that are joined get one label.
+
+    Sets are joined that the bounds on places and part counts leave, or which of
+    these ``similar`` (a set, and others) says. Pairs span what is joined, so they
+    are fewer than the sets. Of two blocks, pairs are of one set of each.
+    """
+    two, reach, out = len(np.unique(blocks)) > 1, n if at is None else n - at, []
+    label = label.copy()
     for i in range(len(n) - 1):
         j = np.arange(i + 1, len(n))
-        j = j[(groups[j] != groups[i]) & ((blocks[j] != blocks[i]) | (not two))]
-        needed = percent * (n[j] + n[i])
-        j = j[np.minimum(n[j] - at[j], n[i] - at[i]) * (100 + percent) >= needed]
+        j = j[(groups[j] != groups[i]) & (label[j] != label[i]) & ((blocks[j] != blocks[i]) | (not two))]
+        j = j[np.minimum(reach[j], reach[i]) * (100 + percent) >= percent * (n[j] + n[i])]
         j = j[np.minimum(parts[j], parts[i]).sum(axis=1) * (100 + percent) >= percent * (n[j] + n[i])]
-        out.append(np.stack([np.full(len(j), i), j]))
+        if similar is not None and len(j):
+            j = j[similar(i, j)]
+        if len(j):
+            j = j[np.unique(label[j], return_index=True)[1]]
+            out.append(np.stack([np.full(len(j), i), j]))
+            label[np.isin(label, label[j])] = label[i]
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
-def _pairs_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates among sets of different components that share an early member with very many.
+def _in_blocks(df: DataFrame, group: str, members: Column) -> DataFrame:
+    """Rows of each group dealt into blocks by ``k``, once for each two blocks (``low``, ``high``) that meet with theirs.
+
+    A block has about ``BLOCK`` sets and ``BLOCK_MEMBERS`` of ``members`` at most.
+    """
+    sized = df.groupBy(group).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(members) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    dealt = df.join(sized, group).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+
+def _pairs(keys: np.ndarray, found: np.ndarray) -> pa.Table:
+    return pa.table({"ka": pa.array(keys[found].min(axis=0), pa.int64()), "kb": pa.array(keys[found].max(axis=0), pa.int64())})
+
+
+def _clusters(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``k`` and ``cluster`` of sets that have a candidate of another component by one of their early members.
 
-    The sets of a member are dealt into blocks; every two blocks meet in one
-    task, with what the bounds need of each set, and only pairs that the bounds
-    leave come out: a family whose sets are not similar enough makes no rows.
+    All candidates of a set are in its cluster. Pairs are looked at in tasks, by
+    what the bounds need of each set.
     """
-    blocks = rest.groupBy("m").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "m").join(sets.select("k", "h"), "k").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "m", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", "component", "n", "at", "h")
+    met = _in_blocks(rest.join(sets.select("k", "h"), "k"), "m", F.lit(0)).select("m", "low", "high", "block", "k", "component", "n", "at", "h")
+
+    def compare(table):
+        k, n, at, block, component = (table[c].to_numpy() for c in ("k", "n", "at", "block", "component"))
+        parts = table["h"].combine_chunks().flatten().to_numpy().reshape(len(k), PARTS)
+        return _pairs(k, forest(n, parts, component, np.arange(len(k)), block, percent, at))
+
+    joined = met.groupBy("m", "low", "high").applyInArrow(compare, "ka bigint, kb bigint")
+    return components(saved(joined.distinct(), "near"), "ka", "kb", few=False).withColumnsRenamed({"node": "k", "component": "cluster"})
+
+
+def _between(clusters: DataFrame, found: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
+    """Links ``ka``, ``kb`` that join the components which links between sets of one cluster join; ``found`` has ``k`` and ``component``."""
+    placed = saved(clusters.join(found, "k", "left").withColumn("component", F.coalesce("component", "k")).join(sets.select("k", "key", "n", "t"), "k"), "placed")
+    whole = _whole(placed, df, text_col, size)
+    met = _in_blocks(placed.select("k", "cluster", "component", "n"), "cluster", F.col("n")).join(whole, "k").select("cluster", "low", "high", "block", "k", "component", "n", "members")
 
     def compare(table):
-        keys, groups = table["k"].to_pylist(), np.unique(np.array([g.hex() for g in table["component"].to_pylist()]), return_inverse=True)[1]
-        parts = np.array(table["h"].to_pylist(), np.int64).reshape(len(keys), PARTS)
-        i, j = may_link(*(table[c].to_numpy() for c in ("n", "at")), parts, groups, table["block"].to_numpy(), percent)
-        left, right = [keys[x] for x in i], [keys[x] for x in j]
-        return pa.table({"ka": pa.array(list(map(min, left, right)), pa.binary()), "kb": pa.array(list(map(max, left, right)), pa.binary())})
+        k, n, block, component = (table[c].to_numpy() for c in ("k", "n", "block", "component"))
+        flat = table["members"].combine_chunks().flatten().to_numpy().view(np.uint64)
+        members = np.split(flat, np.cumsum(n)[:-1])
+        parts = np.stack([np.bincount((x & np.uint64(MANY_PARTS - 1)).astype(np.int64), minlength=MANY_PARTS).astype(np.int32) for x in members])
+
+        def similar(i, j):
+            return [x + y for x in range(0, len(j), TREE) for y in walk(members[i], [members[z] for z in j[x:x + TREE]], percent)]
+
+        return _pairs(k, forest(n, parts, component, component, block, percent, similar=similar))
 
-    return met.groupBy("m", "low", "high").applyInArrow(compare, "ka binary, kb binary")
+    return saved(met.groupBy("cluster", "low", "high").applyInArrow(compare, "ka bigint, kb bigint").distinct(), "similar")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, percent: int, size: int) -> DataFrame:
-    """Of pairs of set digests ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``n``, ``h`` and ``t``.
+    """Of pairs of sets ``ka``, ``kb`` those that are similar enough; ``sets`` has ``k``, ``key``, ``n``, ``h`` and ``t``.
 
     Each ``ka`` should have few ``kb``: these are in one row while its own columns are looked up.
     """
     # No more can be common than the smaller count in each part of the hash range.
-    side = lambda x: sets.select(*[F.col(c).alias(c + x) for c in ("k", "n", "h", "t")])
+    side = lambda x: sets.select(*[F.col(c).alias(c + x) for c in ("k", "n", "h")])
     most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
     pairs = pairs.groupBy("ka").agg(F.collect_set("kb").alias("all")).join(side("a"), "ka").withColumn("kb", F.explode("all")).drop("all") \
         .join(side("b"), "kb").where(most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-    pairs = saved(pairs.select("ka", "kb", "ta", "tb"), "pairs")
-    wanted = pairs.select(F.col("ka").alias("k"), F.col("ta").alias("t")).union(pairs.select(F.col("kb").alias("k"), F.col("tb").alias("t"))).distinct()
-    whole = _whole(wanted, df, text_col, size)
+    pairs = saved(pairs.select("ka", "kb"), "pairs")
+    wanted = pairs.select(F.col("ka").alias("k")).union(pairs.select(F.col("kb").alias("k"))).distinct()
+    whole = _whole(sets.select("k", "key", "t").join(wanted, "k", "left_semi"), df, text_col, size)
     sides = pairs.join(whole.select(F.col("k").alias("kb"), F.col("members").alias("b")), "kb") \
         .join(whole.select(F.col("k").alias("ka"), F.col("members").alias("a")), "ka").select("ka", "kb", "a", "b")
 
@@ -282,7 +336,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, df: DataFrame, text_col: str, p
                 begin = end
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-    return saved(in_tasks(sides, check, "ka binary, kb binary"), "similar")
+    return saved(in_tasks(sides, check, "ka bigint, kb bigint"), "similar")
 
 
 def _bitmap(bits: DataFrame) -> np.ndarray:
@@ -295,16 +349,16 @@ def _bitmap(bits: DataFrame) -> np.ndarray:
     return np.unpackbits(out.ravel(), bitorder="little")[:FILTER].astype(bool)
 
 
-def _stars(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """Each set with the one of another component that has the fewest members of its own, by ``most`` of its members.
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Each set with the one that has the fewest members of its own, by the most shared of its members.
 
-    Which pairs are taken here is free. A set's most shared members lead to the
-    families it may be of. The set met comes last: very many meet it, and it few.
+    Which pairs are taken here is free. A set's most shared member leads to the
+    family it may be of. The set met comes last: very many meet it, and it few.
     """
-    least = members.groupBy("m").agg(F.min(F.struct("own", "k", "n", "at", "component")).alias("least"))
+    least = members.groupBy("m").agg(F.min(F.struct("own", "k", "n", "at")).alias("least"))
     rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sets"), "m"))
-    tried = members.withColumn("rank", rank).where(F.col("rank") <= most)
-    return tried.join(least, "m").where("component <> least.component").select(
+    tried = members.withColumn("rank", rank).where(F.col("rank") == 1)
+    return tried.join(least, "m").where("k <> least.k").select(
         F.struct("k", "n", "at").alias("a"), F.struct("least.k", "least.n", "least.at").alias("b")).where(_may_link(percent)) \
         .select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
 
@@ -322,7 +376,7 @@ def _merged(found: DataFrame, between: DataFrame) -> DataFrame:
 
 
 def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, size: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Id, ``n_shingles`` and ``component_id`` of every row; and links between different sets (``ka``, ``kb``: digests).
+    """Id, ``n_shingles`` and ``component_id`` of every row; and links between different sets (``a``, ``b``: the smallest ids of each).
 
     The links span the components: of sets in one component, not every link is listed.
 
@@ -332,35 +386,36 @@ def shingle_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null ids it is null unless a linked row has one. Null and empty texts have
     no shingles and link with nothing. Rows may repeat; equal texts are linked.
     """
-    first = _sets(df, id_col, text_col, percent, size, []).select(F.explode("early").alias("m"))
+    first = _first(df, text_col, percent, size)
     many = saved(first.groupBy("m").agg(F.count("*").alias("texts")).where(F.col("texts") > SMALL), "common")
     # Any choice gives a valid order; the most common members are taken, at most MOST_COMMON.
     common = [r.m for r in many.orderBy(F.desc("texts"), "m").limit(MOST_COMMON).select("m").toLocalIterator()]
     rows = saved(_sets(df, id_col, text_col, percent, size, common), "early")
-    sets = saved(rows.where("n > 0").groupBy("k").agg(*[F.min(c).alias(c) if c == "t" else F.first(c).alias(c) for c in ("n", "early", "own", "h", "t")]), "sets")
-    # Most members are in one set only. That is found on the members alone, and only the rest is moved with its set.
-    twice = saved(sets.select(F.explode("early").alias("m")).groupBy("m").agg(F.count("*").alias("sets")).where("sets > 1"), "twice")
-    members = saved(sets.select("k", "n", "own", F.posexplode("early").alias("at", "m")).join(twice, "m"), "members")
-    small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL).withColumn("component", F.col("k"))
-    pair = [F.least("a.k", "b.k").alias("ka"), F.greatest("a.k", "b.k").alias("kb")]
+    # A set has the number of its first row, and is moved without its members.
+    kinds = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("least"))
+    sets = saved(kinds.drop("key").join(rows.select("row", "key", "n", "own", "h", "t"), "row").withColumnRenamed("row", "k"), "sets")
+    # Most members are in one set only: rows of all members are small and are moved once.
+    single = rows.join(sets.select(F.col("k").alias("row")), "row", "left_semi")
+    every = single.select(F.col("row").alias("k"), F.col("n").cast("int").alias("n"), F.col("own").cast("int").alias("own"), F.posexplode("early").alias("at", "m"))
+    twice = every.groupBy("m").agg(F.count("*").alias("sets")).where("sets > 1")
+    members = saved(every.join(twice, "m"), "members")
+    small, large = members.where(F.col("sets") <= SMALL), members.where(F.col("sets") > SMALL)
+    pair = [F.col("a.k").alias("ka"), F.col("b.k").alias("kb")]
     close = small.alias("a").join(small.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.k") < F.col("b.k")) & _may_link(percent)).select(*pair)
-    links = _verified(close.union(_stars(large, percent, 1)), sets, df, text_col, percent, size)
+    links = _verified(close.union(_stars(large, percent)), sets, df, text_col, percent, size)
     found = saved(components(links, "ka", "kb").withColumnsRenamed({"node": "k"}), "components")
-    rest = large
-    for candidates in (lambda r: _stars(r, percent, STARS), lambda r: _pairs_in_blocks(r, sets, percent)):
-        placed = rest.drop("component").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
-        # Only members whose sets are in several components can still link two of them.
-        apart = placed.groupBy("m").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("m")
-        rest = saved(placed.join(apart, "m", "left_semi"), "rest")
-        if rest.isEmpty():
-            break
-        between = _verified(candidates(rest), sets, df, text_col, percent, size)
+    placed = large.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    # Only members whose sets are in several components can still link two of them.
+    apart = placed.groupBy("m").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("m")
+    rest = saved(placed.join(apart, "m", "left_semi"), "rest")
+    if not rest.isEmpty():
+        between = _between(_clusters(rest, sets, percent), found, sets, df, text_col, percent, size)
         if not between.isEmpty():
             links, found = links.union(between), saved(_merged(found, between), "components")
-    ids = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("least"))
-    named = ids.join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+    named = sets.select("k", "key", "least").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "component").select("k", "component_id")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("k")).alias("k")).join(of, "k", "left").select(
+    of = named.join(smallest, "component").select("key", "component_id")
+    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    return out, links
+    ids = lambda k, c: sets.select(F.col("k").alias(k), F.col("least").alias(c))
+    return out, links.join(ids("ka", "a"), "ka").join(ids("kb", "b"), "kb").select("a", "b")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plaintide.llm import ngram_join, passages
+from plaintide.llm.common import saved
 from plaintide.llm.components import components
 from plaintide.llm.queries import QUERIES
 
@@ -270,3 +271,55 @@ def test_passages_with_a_block_replaced(spark):
     got = {(r.like_id, r.doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     # The chance that enough min-hashes agree is not 1.
     assert got <= {(k, k + 1) for k in range(0, 60, 2)} and len(got) >= 27
+
+
+def test_a_family_makes_few_rows():
+    """What a task tells of a block is less than its sets, however many pairs are similar; pairs that are not similar are not told."""
+    rng = np.random.default_rng(9)
+    base, parts = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)), ngram_join.MANY_PARTS
+    draw = lambda k: np.unique(np.concatenate([rng.permutation(base)[k:], rng.integers(0, 1 << 62, k).astype(np.uint64)]))
+    sets = [draw(int(k)) for k in rng.integers(0, 30, 200)]
+    n, block = np.array([len(x) for x in sets]), np.arange(200) % 2
+    counts = np.stack([np.bincount((x & np.uint64(parts - 1)).astype(np.int64), minlength=parts) for x in sets])
+    linked = np.array([[100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    similar = lambda i, j: ngram_join.walk(sets[i], [sets[x] for x in j], 90)
+    assert linked.sum() > 10 * 200
+
+    def groups(pairs):
+        label = np.arange(200)
+        for _ in range(200):
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        return label.tolist()
+
+    alone = np.arange(200)
+    for blocks, want in ((np.zeros(200, np.int64), linked), (block, linked & (block[:, None] != block))):
+        told = ngram_join.forest(n, counts, alone, alone, blocks, 90, similar=similar)
+        assert told.shape[1] < 200 and want[tuple(told)].all() and groups(told.T) == groups(np.argwhere(want))
+    # Sets of one component are not compared; by the bounds alone, all that is linked is in one cluster.
+    assert ngram_join.forest(n, counts, np.zeros(200), np.zeros(200), np.zeros(200), 90, similar=similar).shape == (2, 0)
+    cluster = np.array(groups(ngram_join.forest(n, counts, alone, alone, np.zeros(200), 90).T))
+    assert all(cluster[i] == cluster[j] for i, j in np.argwhere(linked))
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_families_without_a_hub(spark, monkeypatch, block):
+    """Copies with changes of their own, nearly similar enough to each other: links are found in blocks, and in few rows."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    told = []
+    monkeypatch.setattr(ngram_join, "saved", lambda df, name: told.append((name, out := saved(df, name))) or out)
+    rng = random.Random(12)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 6)):
+            w[at] = f"own{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    out, links = ngram_join.shingle_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute_components(rows)
+    assert found(out) == want and 10 < len({c for _, c in want.values()}) < 140
+    made = dict(told)
+    assert {"near", "placed"} <= set(made) and made["pairs"].count() <= 150
+    # Links by smallest ids, and no more than two blocks' sets for each two blocks.
+    ends = [(r.a, r.b) for r in links.collect()]
+    assert all(want[a][1] == want[b][1] for a, b in ends) and len(ends) < (2 * 150 if block == 512 else 150 * 11)
