@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_tasks, saved, slices
+from .common import in_tasks, kept, saved, slices
 from .merges import Endings, shared_start
 
 MARK = "▁"
@@ -195,9 +195,6 @@ def train(df: DataFrame, model: str, *, text_col: str = "text", lang_col: str =
     return fitted
 
 
-_MODELS: dict[int, Unigrams] = {}
-
-
 def predict(df: DataFrame, fitted: Unigrams, *, id_col: str = "doc_id", text_col: str = "text",
             keep: tuple[str, ...] = ()) -> DataFrame:
     """Id, the columns in ``keep``, ``lang_pred`` and ``score`` (the language's share of the probability).
@@ -211,10 +208,7 @@ def predict(df: DataFrame, fitted: Unigrams, *, id_col: str = "doc_id", text_col
     columns = [id_col, *keep]
 
     def run(batches):
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Unigrams(*shared.value)
-        unigrams, words = _MODELS[key], regex.compile(rf"\p{{L}}{{1,{LONGEST}}}")
+        unigrams, words = kept(("languages", key), lambda: Unigrams(*shared.value)), regex.compile(rf"\p{{L}}{{1,{LONGEST}}}")
         for batch in slices(batches, size=1 << 20):
             found = unigrams.predict_all([words.findall(t.lower()) if t and unigrams.languages else [] for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays(

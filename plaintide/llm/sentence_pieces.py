@@ -28,7 +28,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import in_tasks, slices
+from .common import in_tasks, kept, slices
 from .merges import REMEMBERED, Lattice
 
 MARK = "▁"
@@ -111,15 +111,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_PIECES: dict[int, Pieces] = {}
-
-
 def _pieces(broadcast) -> Pieces:
     raw = broadcast.value
-    if hash(raw) not in _PIECES:
-        _PIECES.clear()
-        _PIECES[hash(raw)] = Pieces(raw)
-    return _PIECES[hash(raw)]
+    return kept(("pieces", hash(raw)), lambda: Pieces(raw))
 
 
 def _shared(df: DataFrame, model: str):

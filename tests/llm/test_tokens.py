@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from plaintide.llm import merges, sentence_pieces, token_counts
+from plaintide.llm import common, merges, sentence_pieces, token_counts
 from plaintide.llm.sentence_pieces import Pieces
 from plaintide.llm.token_counts import ByteCounter
 
@@ -157,3 +157,12 @@ def test_a_long_text_is_cut_once(monkeypatch):
     cut = counter.cut(text)
     assert counter.within(text, 1024, cut) == COUNTER.within(text, 1024)
     assert seen.count(text) == 1
+
+
+def test_a_worker_keeps_one_model():
+    made = []
+    make = lambda x: lambda: made.append(x) or x
+    assert [common.kept(k, make(k)) for k in (("a", 1), ("a", 1), ("b", 1), ("a", 1))] == [("a", 1), ("a", 1), ("b", 1), ("a", 1)]
+    assert made == [("a", 1), ("b", 1), ("a", 1)] and len(common._KEPT) == 1
+    common.release()
+    assert not common._KEPT
