@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from plaintide.llm import urls
+from plaintide.llm.common import saved
 
 from .conftest import EXTRA, TABLES
 
@@ -132,3 +133,14 @@ def test_long_urls(spark):
     judged = found(frame_of(spark, rows))
     assert [(r[0], r[3]) for r in judged] == [(0, "net/"), (1, "org/fr/"), (2, None), (3, None)]
     assert [r[4] for r in judged][:2] == ["block", "allow"] and len(judged[0][2]) == (1 << 20) + 1
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """A saved table looks as small as its file, the characters of all URLs as small as the URLs: no join may broadcast them."""
+    made = []
+    monkeypatch.setattr(urls, "saved", lambda df, name: made.append((name, df)) or saved(df, name))
+    rows = [(i, f"http://a{i % 7}.{'net' if i % 2 else 'org/fr'}/{i}") for i in range(300)]
+    assert found(frame_of(spark, rows)) == plain_filter(rows)
+    plans = [(name, df._jdf.queryExecution().executedPlan().toString()) for name, df in made]
+    assert [name for name, _ in plans] == ["urls", "grams", *["model"] * (urls.ORDER + 1), "scores"]
+    assert not [name for name, plan in plans if "Broadcast" in plan] and sum(plan.count("SortMergeJoin") > 0 for _, plan in plans) == urls.ORDER + 2
