@@ -323,3 +323,22 @@ def test_families_without_a_hub(spark, monkeypatch, block):
     # Links by smallest ids, and no more than two blocks' sets for each two blocks.
     ends = [(r.a, r.b) for r in links.collect()]
     assert all(want[a][1] == want[b][1] for a, b in ends) and len(ends) < (2 * 150 if block == 512 else 150 * 11)
+
+
+def test_candidates_are_verified_once(spark, monkeypatch):
+    """Windows that stay open meet the texts of earlier rounds again; the candidates they made then are not verified again."""
+    made = []
+    monkeypatch.setattr(passages, "saved", lambda df, name: made.append((name, out := saved(df, name))) or out)
+    rng = random.Random(24)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(20):
+        passage, first = own(50), 100 * k
+        rows.append((first, " ".join([*own(60), *passage[:45], *own(60)])))
+        rows += [(first + i, " ".join([*own(60), *passage, *own(60)])) for i in range(1, 4)]
+        want |= {first + i: first + 1 for i in (2, 3)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.like_id for r in got} == want and len(got) == len(want)
+    rounds = [[tuple(r) for r in df.collect()] for name, df in made if name == "places"]
+    every = [place for places in rounds for place in places]
+    assert len(rounds) > 1 and rounds[0] and len(every) > len(rounds[0]) and len(set(every)) == len(every)
